@@ -50,6 +50,11 @@ class Scores(NamedTuple):
         return Scores(np.empty(rows, np.int64), *(np.empty(rows) for _ in range(4)))
 
 
+def _root(x: float) -> float:
+    # Sums that overflowed can turn negative or NaN.
+    return math.sqrt(x) if x >= 0 else math.nan
+
+
 def _ratio(distance: float, spread: float) -> float:
     if spread:
         return distance / spread
@@ -67,10 +72,10 @@ def fold_values(values: Iterable[float], state: SensorState, alpha: float) -> tu
         centre, gap = mean, x - mean
         mean = centre + gap / n
         m2 += gap * (x - mean)
-        spread = math.sqrt(m2 / (n - 1)) if n > 1 and m2 != 0 else 1.0
+        spread = _root(m2 / (n - 1)) if n > 1 and m2 != 0 else 1.0
         # EWMA: centre and spread both exclude this reading.
         drift = x - base
-        ewma_spread = 1.0 if var <= 0 else math.sqrt(var)
+        ewma_spread = 1.0 if var <= 0 else _root(var)
         rows.append((n, centre, _ratio(abs(gap), spread), base, _ratio(abs(drift), ewma_spread)))
         if n == 1:
             base, var = x, 1.0

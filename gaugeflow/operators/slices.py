@@ -36,7 +36,7 @@ EDGE_SCHEMA = (
     f"{SLICE} int, opens boolean, closes boolean, sensor_id string, n long, mean double, "
     "m2 double, ewma_mean double, ewma_var double, low double, high double"
 )
-_TOLERANCE = 1e-9
+_TOLERANCE = 1e-12
 
 
 @dataclass
