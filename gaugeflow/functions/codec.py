@@ -22,7 +22,7 @@ _WIRE_SCHEMA = (
 _TEXT_FIELDS = ("sensor_id", "sensor_type", "location", "unit")
 
 # RFC 3339 shape, and the zero values of absent fields.
-_RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
+_RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})\z"
 _ZERO_TIMESTAMP = "0001-01-01 00:00:00"
 
 _JSON_OPTIONS = {
@@ -78,7 +78,7 @@ def decode(lines: DataFrame, payload: str = "value", keep: tuple[str, ...] = ())
     wrong_tags = F.exists(tag_values, lambda v: ~_type_of(v).isin("STRING", "VOID"))
     no_number = F.isnan("j.value") | (F.abs("j.value") == float("inf"))
     bad_time = (_type_of(F.col("j.timestamp")) != "VOID") & F.col("stamp").isNull()
-    one_object = F.trim("raw").like("{%}")
+    one_object = F.btrim("raw", F.lit(" \t\r\n")).like("{%}")
 
     reason = (
         F.when(F.col("raw").isNull() | ~one_object | F.col("j._corrupt").isNotNull(), "malformed")
