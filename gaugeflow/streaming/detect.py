@@ -52,7 +52,8 @@ def score_stream(
     reading older than one scored in an earlier micro-batch is scored when it
     arrives and marked ``out_of_order``. The columns equal those of the batch
     operator, plus the event's unit and tags. ``state_ttl_ms`` forgets sensors
-    that stay silent that long; by default none is forgotten.
+    that stay silent that long; by default none is forgotten. Expiry needs a trigger
+    that keeps ticking, not ``availableNow``, which would wait for it for ever.
     """
     # Times travel as microseconds and tags as text: plain columns for pandas.
     wire = events.filter(F.col("value").isNotNull()).select(
