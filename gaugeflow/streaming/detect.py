@@ -27,11 +27,17 @@ def _stepper(alpha: float, order: list[str], ttl_ms: int | None):
             return
         *stored, last_at = state.get if state.exists else (*EMPTY, None)
         # One sensor's share of one micro-batch, bounded by the source's trigger cap.
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
+        rows = pd.concat(list(frames), ignore_index=True)
+        at = rows["_at"].to_numpy()
+        if len(at) > 1 and not (at[1:] > at[:-1]).all():
+            rows = rows.sort_values(order, kind="stable", ignore_index=True)
+            at = rows["_at"].to_numpy()
         scored, after = fold_values(rows["value"].tolist(), SensorState(*stored), alpha)
-        rows[list(SCORE_COLUMNS)] = scored
-        rows["out_of_order"] = False if last_at is None else (rows["_at"] < last_at).to_numpy()
-        newest = int(rows["_at"].iloc[-1])
+        rows = rows.assign(
+            **dict(zip(SCORE_COLUMNS, zip(*scored))),
+            out_of_order=False if last_at is None else at < last_at,
+        )
+        newest = int(at[-1])
         state.update((*after, newest if last_at is None else max(last_at, newest)))
         if ttl_ms is not None:
             state.setTimeoutDuration(ttl_ms)
