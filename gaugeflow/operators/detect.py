@@ -49,6 +49,11 @@ def _readings(events: DataFrame, tiebreak: Sequence[str]) -> DataFrame:
     return events.select(*columns).filter(F.col("value").isNotNull())
 
 
+def _heavy_sensors(events: DataFrame, skew: SkewSettings | None) -> HeavyKeys | None:
+    """Counted before rows without value are dropped, so only the key is read."""
+    return find_heavy(events, ["sensor_id"], skew, skew.sensor_limit if skew else int)
+
+
 # Which detector fired, as columns and as the equal numpy test that drops rows
 # before they leave the Python worker. Written as "not below" so that a NaN score
 # fires.
@@ -116,14 +121,14 @@ def _score(
     keep=None,
 ) -> DataFrame:
     readings = _readings(events, tiebreak)
-    heavy = find_heavy(readings, ["sensor_id"], skew)
+    heavy = _heavy_sensors(events, skew)
     if heavy is None:
         return _score_light(readings, settings.alpha, tiebreak, keep)
     light_rows, heavy_rows = heavy.split(readings)
-    light = _score_light(light_rows, settings.alpha, tiebreak, keep)
-    return light.unionByName(
-        _score_heavy(heavy_rows, heavy.rows, settings.alpha, tiebreak, keep, skew)
-    )
+    sliced = _score_heavy(heavy_rows, heavy.rows, settings.alpha, tiebreak, keep, skew)
+    if light_rows is None:
+        return sliced
+    return _score_light(light_rows, settings.alpha, tiebreak, keep).unionByName(sliced)
 
 
 def score_readings(
@@ -153,14 +158,15 @@ def z_scores(
     :func:`score_readings`, which gives the same columns.
     """
     readings = _readings(events, tiebreak)
-    heavy: HeavyKeys | None = find_heavy(readings, ["sensor_id"], skew)
+    heavy = _heavy_sensors(events, skew)
     if heavy is None:
         return _z_by_window(readings, tiebreak)
     light_rows, heavy_rows = heavy.split(readings)
     sliced = _score_heavy(heavy_rows, heavy.rows, DEFAULTS.alpha, tiebreak, None, skew)
-    return _z_by_window(light_rows, tiebreak).unionByName(
-        sliced.drop("ewma_expected", "ewma_deviation")
-    )
+    sliced = sliced.drop("ewma_expected", "ewma_deviation")
+    if light_rows is None:
+        return sliced
+    return _z_by_window(light_rows, tiebreak).unionByName(sliced)
 
 
 def _z_by_window(readings: DataFrame, tiebreak: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ loss of an executor and can be read as often as needed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,9 +22,9 @@ SLICE = "_slice"
 
 @dataclass(frozen=True)
 class HeavyKeys:
-    """Keys above the row limit (fewer than ``SkewSettings.max_heavy``)."""
+    """Keys above the row limit: at most ``max_heavy``, or all when there are more."""
 
-    frame: DataFrame
+    frame: DataFrame | None
     columns: tuple[str, ...]
     rows: int
 
@@ -34,11 +34,13 @@ class HeavyKeys:
             condition = condition & df[name].eqNullSafe(self.frame[f"_heavy_{name}"])
         return condition
 
-    def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(rows of light keys, rows of heavy keys).
+    def split(self, df: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        """(rows of light keys, rows of heavy keys); no light part if all are heavy.
 
-        The broadcast side holds fewer than ``max_heavy`` rows by construction.
+        The broadcast side holds at most ``max_heavy`` rows by construction.
         """
+        if self.frame is None:
+            return None, df
         small = F.broadcast(self.frame)
         light = df.join(small, self._matches(df), "left_anti")
         heavy = df.join(small, self._matches(df), "left_semi")
@@ -46,17 +48,22 @@ class HeavyKeys:
 
 
 def find_heavy(
-    df: DataFrame, columns: Sequence[str], skew: SkewSettings | None
+    df: DataFrame,
+    columns: Sequence[str],
+    skew: SkewSettings | None,
+    limit_for: Callable[[int], int],
 ) -> HeavyKeys | None:
     """Keys that need slicing, or None when there are none.
 
-    Runs one count, and only when the input is larger than the limit a second,
-    map-side combined count by key over the key columns alone.
+    ``limit_for`` gives the row limit of a key from the total number of rows.
+    Runs one count, which a columnar table answers from its footers, and only when
+    the total exceeds the limit a second, map-side combined count by key over the
+    key columns alone.
     """
     if skew is None or df.isStreaming:
         return None
     total = df.count()
-    limit = max(skew.heavy_rows, total // skew.max_heavy)
+    limit = limit_for(total)
     if total <= limit:
         return None
     counts = (
@@ -64,9 +71,11 @@ def find_heavy(
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > limit)
     )
-    found = counts.collect()  # fewer than max_heavy rows
+    found = counts.limit(skew.max_heavy + 1).collect()
     if not found:
         return None
+    if len(found) > skew.max_heavy:
+        return HeavyKeys(None, tuple(columns), total)
     frame = df.sparkSession.createDataFrame(found, counts.schema).drop("_rows")
     return HeavyKeys(frame, tuple(columns), sum(r["_rows"] for r in found))
 

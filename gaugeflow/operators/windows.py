@@ -79,13 +79,16 @@ def window_metrics(
         )
 
     keyed = _keyed(events, width)
-    heavy = None if approx else find_heavy(keyed, _KEYS, skew)
+    if approx or skew is None:
+        return _aggregate(keyed, approx, accuracy)
+    heavy = find_heavy(keyed, _KEYS, skew, lambda _: skew.group_rows)
     if heavy is None:
         return _aggregate(keyed, approx, accuracy)
     light_rows, heavy_rows = heavy.split(keyed)
-    return _aggregate(light_rows, approx, accuracy).unionByName(
-        _heavy_metrics(heavy_rows, heavy, skew)
-    )
+    ranked = _heavy_metrics(heavy_rows, heavy, skew)
+    if light_rows is None:
+        return ranked
+    return _aggregate(light_rows, approx, accuracy).unionByName(ranked)
 
 
 def _aggregate(keyed: DataFrame, approx: bool, accuracy: int) -> DataFrame:
@@ -131,17 +134,17 @@ def _heavy_metrics(rows: DataFrame, heavy: HeavyKeys, skew: SkewSettings) -> Dat
             "rank",
         )
     )
-    # One row per heavy group, so below SkewSettings.max_heavy.
-    located = slices.join(F.broadcast(target), _same(slices, target, [*_KEYS, SLICE]))
+    # One row per group in ``target`` and ``p99``; a group's rows in one slice are
+    # bounded by the slice, so neither join meets a skewed key.
+    located = slices.join(target, _same(slices, target, [*_KEYS, SLICE]))
+    in_slice = Window.partitionBy(*_KEYS, SLICE).orderBy("value")
     p99 = (
-        located.withColumn(
-            "upto", F.col("before") + F.sum("times").over(group.orderBy("value"))
-        )
+        located.withColumn("upto", F.col("before") + F.sum("times").over(in_slice))
         .filter(F.col("upto") >= F.col("rank"))
         .groupBy(*[F.col(k).alias(f"_{k}") for k in _KEYS])
         .agg(F.min("value").alias("p99"))
     )
-    joined = plain.join(F.broadcast(p99), _same(plain, p99, _KEYS), "left")
+    joined = plain.join(p99, _same(plain, p99, _KEYS), "left")
     return joined.select(*WINDOW_COLUMNS)
 
 

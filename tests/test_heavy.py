@@ -16,6 +16,10 @@ from gaugeflow.settings import DetectorSettings, SkewSettings
 TIGHT = SkewSettings(heavy_rows=100, slice_rows=150, max_heavy=1000)
 
 
+def _find(df, skew):
+    return find_heavy(df, ["sensor_id"], skew, skew.sensor_limit if skew else int)
+
+
 def _mixed_series():
     return {
         "varied": spiky(2500),
@@ -38,7 +42,7 @@ def events(spark, series):
 
 
 def test_heavy_keys_are_found_and_split(events):
-    heavy = find_heavy(events, ["sensor_id"], TIGHT)
+    heavy = _find(events, TIGHT)
     assert {r[0] for r in heavy.frame.collect()} == {
         "varied",
         "flat",
@@ -52,8 +56,8 @@ def test_heavy_keys_are_found_and_split(events):
 
 
 def test_no_heavy_key_means_no_second_count(events):
-    assert find_heavy(events, ["sensor_id"], SkewSettings()) is None
-    assert find_heavy(events, ["sensor_id"], None) is None
+    assert _find(events, SkewSettings()) is None
+    assert _find(events, None) is None
 
 
 def test_null_keys_are_kept(spark):
@@ -152,10 +156,11 @@ def _window_rows(spark):
     return event_frame(spark, rows).repartition(6)
 
 
-@pytest.mark.parametrize("limit", [100, 1])
-def test_heavy_windows_equal_plain_windows(spark, limit):
+# Some groups heavy; all groups heavy; more heavy groups than are kept in a list.
+@pytest.mark.parametrize("limit,max_heavy", [(100, 1000), (1, 1000), (1, 5)])
+def test_heavy_windows_equal_plain_windows(spark, limit, max_heavy):
     events = _window_rows(spark)
-    skew = SkewSettings(heavy_rows=limit, slice_rows=60, max_heavy=100_000)
+    skew = SkewSettings(group_rows=limit, slice_rows=60, max_heavy=max_heavy)
     sliced = windows.window_metrics(events, skew=skew)
     plain = windows.window_metrics(events, skew=None)
     assert sliced.columns == plain.columns
