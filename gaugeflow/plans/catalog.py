@@ -288,7 +288,7 @@ def decode_zero_fill(spark, sf_dir):
 @query
 def kafka_records(spark, sf_dir):
     """What is published for each event: its key, and fields of its JSON value."""
-    rows = streams.kafka_records(readings(spark, sf_dir, zoned=True))
+    rows = streams.kafka_records(readings(spark, sf_dir))
     fields = ("sensor_id", "sensor_type", "location", "value", "timestamp", "tags")
     return rows.select("key", F.json_tuple("value", *fields).alias(*fields))
 
@@ -342,13 +342,17 @@ def _run_dir(spark: SparkSession) -> str:
 
 
 def _finish(stream: DataFrame, mode: str, write, checkpoint: str) -> None:
-    running = (
+    spark = stream.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = min(configured, spark.sparkContext.defaultParallelism)
+    writer = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(write)
-        .start()
     )
+    with pipeline.state_partitions(spark, few):
+        running = writer.start()
     running.awaitTermination()
 
 

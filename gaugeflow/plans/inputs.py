@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import gaugeflow
+from gaugeflow.sources.streams import parquet_stream
 
 TIEBREAK = ("event_id",)
 
@@ -53,7 +54,7 @@ def readings(spark: SparkSession, sf_dir: str, zoned: bool = False) -> DataFrame
 
 def reading_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A glob, since a stream over a plain path expects a folder there.
-    raw = spark.readStream.schema(RAW_EVENTS).parquet(f"{sf_dir}/events.parque[t]")
+    raw = parquet_stream(spark, RAW_EVENTS, f"{sf_dir}/events.parque[t]")
     return as_readings(raw, zoned=True)
 
 

@@ -65,19 +65,24 @@ def publish_kafka_stream(
     )
 
 
+# What one micro-batch of files may hold unless told otherwise: one sensor may own
+# much of it, and its rows of one micro-batch are ordered by a single task.
+MAX_BATCH_BYTES = 256 * 1024 * 1024
+
+
+def _capped(reader, max_files: int | None):
+    if max_files:
+        return reader.option("maxFilesPerTrigger", max_files)
+    return reader.option("maxBytesPerTrigger", MAX_BATCH_BYTES)
+
+
 def parquet_stream(
     spark: SparkSession, schema: T.StructType, path: str, max_files: int | None = None
 ) -> DataFrame:
     """New Parquet files under ``path`` (a folder or a glob) as a stream."""
-    reader = spark.readStream.schema(schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return _capped(spark.readStream.schema(schema), max_files).parquet(path)
 
 
 def text_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """JSON lines under ``path`` as a stream with a ``value`` column, for replay."""
-    reader = spark.readStream
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(path)
+    return _capped(spark.readStream, max_files).text(path)

@@ -10,7 +10,8 @@ One JSON stream feeds three queries, each with its own checkpoint:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,6 +43,7 @@ class PipelineOptions:
     watermark: str = RETENTION
     tiebreak: tuple[str, ...] = ()
     available_now: bool = False
+    state_partitions: int | None = None
 
     def checkpoint(self, name: str) -> str:
         return f"{self.checkpoints.rstrip('/')}/{name}"
@@ -50,6 +52,25 @@ class PipelineOptions:
         return f"{self.base.rstrip('/')}/{name}"
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, count: int | None) -> Iterator[None]:
+    """Number of state partitions of the stateful queries started inside.
+
+    A query keeps the number it first started with. Each partition costs a state
+    store commit per micro-batch, so a few per core are plenty.
+    """
+    if count is None:
+        yield
+        return
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, count)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _start(stream: DataFrame, name: str, mode: str, options: PipelineOptions, write) -> StreamingQuery:
     writer = (
         stream.writeStream.queryName(name)
@@ -97,13 +118,14 @@ def start_pipeline(
     tiebreak = options.tiebreak or tuple(keep)
     scored = score_stream(good, options.settings, tiebreak)
     windows = window_metrics(good, watermark=options.watermark)
-    return {
-        "readings": _start(scored, "readings", "append", options, store_scored(options)),
-        REJECTS: _start(rejects, REJECTS, "append", options, store_changes(options.path(REJECTS))),
-        "windows": _start(
-            windows, "windows", "update", options, store_changes(options.path(LIVE_WINDOWS))
-        ),
-    }
+    rejects_sink = store_changes(options.path(REJECTS))
+    windows_sink = store_changes(options.path(LIVE_WINDOWS))
+    with state_partitions(lines.sparkSession, options.state_partitions):
+        return {
+            "readings": _start(scored, "readings", "append", options, store_scored(options)),
+            REJECTS: _start(rejects, REJECTS, "append", options, rejects_sink),
+            "windows": _start(windows, "windows", "update", options, windows_sink),
+        }
 
 
 def live_windows(spark: SparkSession, base: str) -> DataFrame:
