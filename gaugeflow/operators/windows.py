@@ -169,18 +169,41 @@ def retained(metrics: DataFrame, as_of: AsOf = None, minutes: int = RETAIN_MINUT
     return metrics.filter(F.col("window_start") >= minutes_before(_minute(as_of), minutes))
 
 
+# The same three views, reading only the events that can be in such a window: a
+# window that starts at a cutoff or later holds no earlier event, and one that
+# starts before it holds none later than a width after it. The bound reaches the
+# scan, where it prunes days and row groups.
+
+
 def current_window_metrics(
     events: DataFrame, as_of: AsOf = None, width: str = DEFAULT_WIDTH, **options
 ) -> DataFrame:
-    """:func:`in_progress` windows, reading only the events that can be in one.
-
-    A window that starts at the cutoff or later holds no earlier event, so the
-    cutoff goes down to the scan as well.
-    """
+    """:func:`in_progress` windows of ``events``."""
     recent = events.filter(F.col("recorded_at") >= _minute(as_of))
     return in_progress(window_metrics(recent, width, **options), as_of)
 
 
+def completed_window_metrics(
+    events: DataFrame, as_of: AsOf = None, width: str = DEFAULT_WIDTH, **options
+) -> DataFrame:
+    """:func:`completed` windows of ``events``."""
+    bound = _minute(as_of) + F.expr(f"INTERVAL {width}")
+    earlier = events.filter(F.col("recorded_at") < bound)
+    return completed(window_metrics(earlier, width, **options), as_of)
+
+
+def retained_window_metrics(
+    events: DataFrame,
+    as_of: AsOf = None,
+    minutes: int = RETAIN_MINUTES,
+    width: str = DEFAULT_WIDTH,
+    **options,
+) -> DataFrame:
+    """:func:`retained` windows of ``events``."""
+    recent = events.filter(F.col("recorded_at") >= minutes_before(_minute(as_of), minutes))
+    return retained(window_metrics(recent, width, **options), as_of, minutes)
+
+
 def newest_windows(metrics: DataFrame, limit: int = 8) -> DataFrame:
     """The short list of a live view, in a fixed order."""
     return metrics.orderBy(F.desc("window_start"), "sensor_type", "location").limit(limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,14 +85,14 @@ def windows_in_progress(spark, sf_dir):
 
 @query
 def windows_completed(spark, sf_dir):
-    metrics = windows.window_metrics(readings(spark, sf_dir))
-    return _metrics(windows.completed(metrics, _as_of(spark, sf_dir)))
+    as_of = _as_of(spark, sf_dir)
+    return _metrics(windows.completed_window_metrics(readings(spark, sf_dir), as_of))
 
 
 @query
 def windows_retained(spark, sf_dir):
-    metrics = windows.window_metrics(readings(spark, sf_dir))
-    return _metrics(windows.retained(metrics, _as_of(spark, sf_dir)))
+    as_of = _as_of(spark, sf_dir)
+    return _metrics(windows.retained_window_metrics(readings(spark, sf_dir), as_of))
 
 
 @query
@@ -335,10 +335,7 @@ def snapshot_json(spark, sf_dir):
 
 def _run_dir(spark: SparkSession) -> str:
     """A folder of its own under the shared one for this run."""
-    base = shared_dir(spark)
-    if "://" in base or base.startswith("file:"):
-        return f"{base.rstrip('/')}/run-{spark.sql('SELECT uuid()').first()[0]}"
-    return tempfile.mkdtemp(prefix="run-", dir=base)
+    return f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4()}"
 
 
 def _finish(stream: DataFrame, mode: str, write, checkpoint: str) -> None:

@@ -31,8 +31,12 @@ def _stored_schema(table: str) -> T.StructType:
 
 
 def ensure_tables(spark: SparkSession, base: str, database: str = "default") -> None:
-    """Create both catalog tables over ``base`` unless they exist."""
+    """Create both catalog tables over ``base``, and their folders, unless they exist."""
     for table in (EVENTS, ANOMALIES):
+        empty = spark.createDataFrame([], _stored_schema(table))
+        empty.write.mode("append").partitionBy("event_date", "batch_id").parquet(
+            table_path(base, table)
+        )
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _stored_schema(table))
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {database}.{table} ({columns}) USING parquet "
@@ -40,6 +44,15 @@ def ensure_tables(spark: SparkSession, base: str, database: str = "default") ->
         )
 
 
+def sync_partitions(spark: SparkSession, database: str = "default") -> None:
+    """Let the catalog tables see the partitions written since the last call.
+
+    Readers by path, :func:`read_table` among them, see them anyway.
+    """
+    for table in (EVENTS, ANOMALIES):
+        spark.sql(f"MSCK REPAIR TABLE {database}.{table}")
+
+
 def append_batch(rows: DataFrame, base: str, table: str, batch_id: int) -> None:
     """Write one micro-batch; writing the same batch again replaces it.
 

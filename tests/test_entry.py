@@ -64,8 +64,9 @@ def test_filters_and_columns_reach_the_scan(spark, small):
     assert "EqualTo(event_type,error)" in plan
     plan = _plan(QUERIES["window_metrics_1m"](spark, small))
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in plan
-    plan = _plan(QUERIES["windows_in_progress"](spark, small))
-    assert "GreaterThanOrEqual(ts," in plan
+    for name in ("windows_in_progress", "windows_retained"):
+        assert "GreaterThanOrEqual(ts," in _plan(QUERIES[name](spark, small))
+    assert "LessThan(ts," in _plan(QUERIES["windows_completed"](spark, small))
     plan = _plan(QUERIES["active_sensors"](spark, small))
     assert "GreaterThan(ts," in plan
 

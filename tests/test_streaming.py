@@ -239,7 +239,11 @@ def test_tables_are_created_once(spark, tmp_path):
     tables.ensure_tables(spark, base, "gf_test")
     created = {t.name for t in spark.catalog.listTables("gf_test") if not t.isTemporary}
     assert created == {"sensor_events", "anomalies"}
-    assert spark.table("gf_test.sensor_events").columns[-2:] == ["event_date", "batch_id"]
+    events = spark.table("gf_test.sensor_events")
+    assert events.columns[-2:] == ["event_date", "batch_id"] and events.isEmpty()
+    tables.append_batch(event_frame(spark, event_rows({"s": [1.0] * 7})), base, tables.EVENTS, 0)
+    tables.sync_partitions(spark, "gf_test")
+    assert spark.table("gf_test.sensor_events").count() == 7
     spark.sql("DROP DATABASE gf_test CASCADE")
 
 

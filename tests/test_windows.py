@@ -87,6 +87,13 @@ def test_completed_in_progress_and_retained(spark):
         now,
         now + 3 * minute,
     ]
+    for view, from_events in (
+        (windows.completed, windows.completed_window_metrics),
+        (windows.retained, windows.retained_window_metrics),
+    ):
+        assert starts(view(metrics, AS_OF)) == starts(from_events(events, AS_OF))
+        wide = windows.window_metrics(events, "1 hour")
+        assert starts(view(wide, AS_OF)) == starts(from_events(events, AS_OF, width="1 hour"))
     as_column = windows.in_progress(metrics, F.lit(AS_OF))
     assert starts(as_column) == [now, now + 3 * minute]
 
