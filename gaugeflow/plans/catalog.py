@@ -37,9 +37,14 @@ def _metrics(df: DataFrame) -> DataFrame:
     return _rounded(df, "sum", "avg")
 
 
-def _scores(df: DataFrame, *columns: str) -> DataFrame:
-    scored = df.select("sensor_id", "event_id", "reading_no", *columns)
-    return _rounded(scored, *columns)
+def _scores(df: DataFrame, *rounded: str, exact: tuple[str, ...] = ()) -> DataFrame:
+    scored = df.select("sensor_id", "event_id", "reading_no", *rounded, *exact)
+    return _rounded(scored, *rounded)
+
+
+# Equal to the last bit on both sides, and with as many decimals as readings, so
+# rounding these could only introduce ties.
+_EWMA = ("ewma_expected", "ewma_deviation")
 
 
 def _anomalies(df: DataFrame) -> DataFrame:
@@ -186,7 +191,7 @@ def welford_anomalies(spark, sf_dir):
 @query
 def ewma_scores(spark, sf_dir):
     scored = detect.score_readings(readings(spark, sf_dir), tiebreak=TIEBREAK)
-    return _scores(scored, "ewma_expected", "ewma_deviation")
+    return _scores(scored, exact=_EWMA)
 
 
 @query
@@ -197,7 +202,7 @@ def ewma_anomalies(spark, sf_dir):
 @query
 def layered_scores(spark, sf_dir):
     scored = detect.score_readings(readings(spark, sf_dir), tiebreak=TIEBREAK)
-    return _scores(scored, "expected", "z_score", "ewma_expected", "ewma_deviation")
+    return _scores(scored, "expected", "z_score", exact=_EWMA)
 
 
 @query

@@ -170,8 +170,8 @@ FROM events""",
 FROM tiered WHERE by_z"""
     ),
     "ewma_scores": _detector(
-        "SELECT sensor_id, event_id, reading_no, round(base, 8) AS ewma_expected, "
-        "round(dev, 8) AS ewma_deviation FROM scored"
+        "SELECT sensor_id, event_id, reading_no, base AS ewma_expected, "
+        "dev AS ewma_deviation FROM scored"
     ),
     "ewma_anomalies": _detector(
         f"""SELECT event_id, sensor_id, sensor_type, location, value,
@@ -181,8 +181,7 @@ FROM tiered WHERE by_ewma"""
     ),
     "layered_scores": _detector(
         "SELECT sensor_id, event_id, reading_no, round(expected, 8) AS expected, "
-        "round(z, 8) AS z_score, round(base, 8) AS ewma_expected, "
-        "round(dev, 8) AS ewma_deviation FROM scored"
+        "round(z, 8) AS z_score, base AS ewma_expected, dev AS ewma_deviation FROM scored"
     ),
     "layered_anomalies": _detector(f"SELECT {_ANOMALY_ROW} FROM layered"),
     "anomalies_by_severity": _detector(
