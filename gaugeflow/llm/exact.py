@@ -25,7 +25,7 @@ BUCKET_CAPACITY = 4096
 #: Bytes of text a task combines before it passes them on.
 COMBINE_BYTES = 32 << 20
 #: Buckets of one owner task.
-OWNED_BUCKETS = 4
+OWNED_BUCKETS = 2
 
 _ENTRY = pa.schema(
     [
@@ -60,27 +60,33 @@ def directory(keys: DataFrame, capacity: int = BUCKET_CAPACITY) -> DataFrame:
     rows per ``capacity`` distinct hashes, and splits are found by aggregations over
     the leaves that are still open, so it never needs the driver's memory.
     """
-    open_keys = keys.select("key").distinct().groupBy(
-        # Leaves are found on counts of 2^24 prefixes at most, finer than any bucket.
-        F.shiftright("key", 40).alias("fine")
-    ).agg(F.count("*").alias("n"))
-    open_keys = saved(open_keys, "fine")
-    depth, leaves = 0, None
+    # Counts of 2^24 prefixes at most, finer than any bucket.
+    fine = saved(
+        keys.select("key")
+        .distinct()
+        .groupBy(F.shiftright("key", 40).alias("fine"))
+        .agg(F.count("*").alias("n")),
+        "fine",
+    )
+    depth, leaves, full = 0, None, None
     while True:
         prefix = F.shiftright("fine", 24 - depth) if depth else F.lit(0).cast("long")
-        load = open_keys.groupBy(prefix.alias("prefix")).agg(
+        load = fine.groupBy(prefix.alias("prefix")).agg(
             F.sum("n").alias("n"), F.count("*").alias("fines")
         )
-        full = (F.col("n") > capacity) & (F.col("fines") > 1)
-        load = saved(load.withColumn("full", full).withColumn("depth", F.lit(depth)), "load")
-        done = load.where(~F.col("full")).select("depth", "prefix")
+        load = saved(
+            load.select("prefix", ((F.col("n") > capacity) & (F.col("fines") > 1)).alias("full")), "load"
+        )
+        done = load.where(~F.col("full"))
+        if full is not None:
+            parent = F.shiftright("prefix", 1) if depth > 1 else F.lit(0).cast("long")
+            done = done.withColumn("parent", parent).join(full, "parent", "left_semi")
+        done = done.select(F.lit(depth).alias("depth"), "prefix")
         leaves = done if leaves is None else leaves.union(done)
-        if load.where("full").isEmpty():
-            break
-        split = load.where("full").select("prefix")
-        open_keys = open_keys.withColumn("prefix", prefix).join(split, "prefix", "left_semi").select("fine", "n")
+        full = load.where("full").select(F.col("prefix").alias("parent"))
+        if full.isEmpty():
+            return leaves
         depth += 1
-    return leaves
 
 
 def bucket_of(rows: DataFrame, leaves: DataFrame) -> DataFrame:
