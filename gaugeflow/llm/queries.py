@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeflow.llm import compression, toxicity
 from gaugeflow.llm.common import table
 from gaugeflow.llm.exact import exact_groups
 from gaugeflow.llm.mixing import mix
@@ -23,6 +24,31 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def _remainder(modulus: int, column: str = "doc_id") -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def _predicted(scored: DataFrame, held_out: Column, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), _remainder(3) == 1
+    model = compression.train(docs, table(spark, sf_dir, "labels"), held_out)
+    return _predicted(compression.score(docs, model), held_out, 0.5)
+
+
+def op5_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), _remainder(4) == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out)
+    return _predicted(toxicity.score(docs, model), held_out, 0.3)
+
+
 def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = minimax_shards(table(spark, sf_dir, "documents"), shards=24)
     return placed.select(
@@ -43,6 +69,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
+    "op4_compression_quality": op4_compression_quality,
+    "op5_ngram_toxicity": op5_ngram_toxicity,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_exact_dedup": op10_exact_dedup,
 }
