@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.llm import compression, toxicity
 from gaugeflow.llm.common import table
+from gaugeflow.llm.decontaminate import contamination
 from gaugeflow.llm.exact import exact_groups
 from gaugeflow.llm.mixing import mix
 from gaugeflow.llm.sharding import minimax_shards
@@ -49,6 +50,18 @@ def op5_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.score(docs, model), held_out, 0.3)
 
 
+def op8_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = minimax_shards(table(spark, sf_dir, "documents"), shards=24)
     return placed.select(
@@ -71,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op4_compression_quality": op4_compression_quality,
     "op5_ngram_toxicity": op5_ngram_toxicity,
+    "op8_benchmark_contamination": op8_benchmark_contamination,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_exact_dedup": op10_exact_dedup,
 }
