@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import compression, toxicity
+from gaugeflow.llm.binary import token_index, write_tokens
 from gaugeflow.llm.common import table
 from gaugeflow.llm.decontaminate import contamination
 from gaugeflow.llm.exact import exact_groups
@@ -50,6 +51,17 @@ def op5_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.score(docs, model), held_out, 0.3)
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return token_index(spark, path)
+
+
 def op8_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -84,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op4_compression_quality": op4_compression_quality,
     "op5_ngram_toxicity": op5_ngram_toxicity,
+    "op7_rans_tokens": op7_rans_tokens,
     "op8_benchmark_contamination": op8_benchmark_contamination,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_exact_dedup": op10_exact_dedup,
