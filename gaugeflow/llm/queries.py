@@ -13,6 +13,7 @@ from gaugeflow.llm.common import table
 from gaugeflow.llm.decontaminate import contamination
 from gaugeflow.llm.exact import exact_groups
 from gaugeflow.llm.mixing import mix
+from gaugeflow.llm.neardup import near_duplicates
 from gaugeflow.llm.sharding import minimax_shards
 from gaugeflow.llm.urls import aliased_verdicts, page_links
 
@@ -51,6 +52,10 @@ def op5_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.score(docs, model), held_out, 0.3)
 
 
+def op6_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op4_compression_quality": op4_compression_quality,
     "op5_ngram_toxicity": op5_ngram_toxicity,
+    "op6_weighted_minhash": op6_weighted_minhash,
     "op7_rans_tokens": op7_rans_tokens,
     "op8_benchmark_contamination": op8_benchmark_contamination,
     "op9_minimax_shards": op9_minimax_shards,
