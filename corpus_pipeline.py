@@ -1,8 +1,109 @@
-"""Placeholder until the stages are written."""
+"""A training corpus from the documents table, in five stages.
 
-STAGES: list = []
-ORACLE_SQL = None
+Every stage is a function (spark, docs, sf_dir) -> DataFrame. ``run`` writes what a
+stage returns as Parquet in the folder all executors share and rereads it as the next
+stage's ``docs``, so a lost executor costs no more than the stage's own tasks. All
+stages but the last return the columns of ``docs``, whatever these are beside doc_id,
+text and source. Columns that a stage adds for itself begin with an underscore.
 
+1. quality      rejects documents that the compression classifier scores below 0.5
+2. near_dedup   of each class of near-duplicates keeps the smallest doc_id
+3. decontaminate drops documents that hold benchmark passages, by the 13-word rule
+4. mix          repeats or drops documents so that sources come near their targets
+5. tokens       writes token ids in entropy-coded files and reads their index back
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugeflow.llm import compression
+from gaugeflow.llm.binary import token_index, write_tokens
+from gaugeflow.llm.common import saved, table, with_row_ids
+from gaugeflow.llm.decontaminate import contamination
+from gaugeflow.llm.mixing import mix
+from gaugeflow.llm.neardup import near_duplicates
+from gaugeflow.llm.queries import quality_held_out, tokenizer_path
+from gaugeflow.plans.inputs import ship_package
+
+#: Documents with a lower score go.
+LEAST_QUALITY = 0.5
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """text and, as one struct, the other columns: no name can clash with a new one."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest"), "text")
+
+
+def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality of 0.5 or more; empty texts have a score like others."""
+    ship_package(spark)
+    model = compression.train(docs, table(spark, sf_dir, "labels"), quality_held_out())
+    scored = compression.score(_packed(docs), model, ["_rest", "text"], "_score")
+    return _unpacked(scored.where(F.col("_score") >= LEAST_QUALITY), docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates; of repeated rows, one."""
+    ship_package(spark)
+    rows = with_row_ids(docs)
+    classes = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    kept = classes.where("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated, unchanged."""
+    ship_package(spark)
+    found = contamination(_packed(docs), table(spark, sf_dir, "benchmark"), columns=["_rest", "text"])
+    return _unpacked(found.where(~F.col("contaminated")), docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it.
+
+    Runs of blocks begin and end inside documents; those are taken whole if at least
+    half of their words are.
+    """
+    ship_package(spark)
+    rows = with_row_ids(docs)
+    taken = mix(rows.select(F.col("_row").alias("doc_id"), "text", "source"))
+    times = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
+    copies = taken.select(F.col("doc_id").alias("_row"), times.alias("_times")).where("_times > 0")
+    repeated = rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return repeated.select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, read from the files."""
+    ship_package(spark)
+    return token_index(spark, write_tokens(docs, tokenizer_path(), end_id=2))
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix", mix_sources),
+    ("tokens", tokens),
+]
+
+#: Trained scores, sampled draws and entropy coding are not SQL; see tests/llm.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gaugeflow.session import shared_dir
 
@@ -81,3 +82,29 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint8), np.zeros(len(column) + 1, np.int64)
     data = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0]
+
+
+def with_row_ids(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """Add a long that is different for every row and the same in reruns.
+
+    It is doc_id where that is there and not repeated. Other rows get a negative number
+    from their doc_id, text and count among their like.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").count()
+    odd = saved(ids.where((F.col("count") > 1) | F.col("doc_id").isNull()).select("doc_id"), "odd")
+    if odd.isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    flagged = docs.join(odd.select(F.col("doc_id").alias("_odd"), F.lit(1).alias("_is_odd")),
+                        F.col("doc_id").eqNullSafe(F.col("_odd")), "left").drop("_odd")
+    key = F.xxhash64(F.col("doc_id"), whole_text())
+    like = Window.partitionBy("_key").orderBy("doc_id")
+    plain = flagged.where(F.col("_is_odd").isNull()).drop("_is_odd").withColumn(name, F.col("doc_id").cast("long"))
+    other = (
+        flagged.where(F.col("_is_odd").isNotNull())
+        .drop("_is_odd")
+        .withColumn("_key", key)
+        .withColumn("_nth", F.row_number().over(like))
+        .withColumn(name, -F.abs(F.shiftright(F.xxhash64("_key", "_nth"), 1)) - 1)
+        .drop("_key", "_nth")
+    )
+    return plain.unionByName(other)

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -337,3 +337,24 @@ def contamination(
     return judged.withColumn("contaminated", (F.col("n_hit") > 0) & share).drop(
         *([] if "text" in columns else ["text"])
     )
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """The text with its spans (see ``contamination``) cut out, as an expression."""
+    raw = text.cast("binary")
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
+    ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.octet_length(raw).cast("long")))
+    kept = F.transform(
+        F.arrays_zip(starts.alias("s"), ends.alias("e")),
+        lambda g: F.decode(
+            F.substring(raw, (g["s"] + 1).cast("int"), (g["e"] - g["s"]).cast("int")), "UTF-8"
+        ),
+    )
+    return F.when(F.size(spans) > 0, F.array_join(kept, "")).otherwise(text)
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+    """(doc_id, text) of every document, the hit spans cut out of contaminated ones."""
+    found = contamination(docs, items, window, coverage, ["doc_id", "text"])
+    cut = without_spans(F.col("text"), F.col("spans"))
+    return found.select("doc_id", F.when(F.col("contaminated"), cut).otherwise(F.col("text")).alias("text"))

@@ -40,8 +40,13 @@ def _predicted(scored: DataFrame, held_out: Column, threshold: float) -> DataFra
     )
 
 
+def quality_held_out() -> Column:
+    """Documents whose quality label is not learnt from."""
+    return _remainder(3) == 1
+
+
 def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents"), _remainder(3) == 1
+    docs, held_out = table(spark, sf_dir, "documents"), quality_held_out()
     model = compression.train(docs, table(spark, sf_dir, "labels"), held_out)
     return _predicted(compression.score(docs, model), held_out, 0.5)
 
