@@ -15,6 +15,7 @@ from gaugeflow.llm.exact import exact_groups
 from gaugeflow.llm.mixing import mix
 from gaugeflow.llm.neardup import near_duplicates
 from gaugeflow.llm.sharding import minimax_shards
+from gaugeflow.llm.substrings import without_repeats
 from gaugeflow.llm.urls import aliased_verdicts, page_links
 
 
@@ -27,6 +28,17 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_merged_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def _remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
@@ -104,6 +116,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
+    "op3_merged_bwt": op3_merged_bwt,
     "op4_compression_quality": op4_compression_quality,
     "op5_ngram_toxicity": op5_ngram_toxicity,
     "op6_weighted_minhash": op6_weighted_minhash,
