@@ -92,7 +92,7 @@ def directory(keys: DataFrame, capacity: int = BUCKET_CAPACITY) -> DataFrame:
 def bucket_of(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     """Add ``bucket``: the first hash of the row's bucket, a multiple of its range."""
     depths = [r[0] for r in leaves.select("depth").distinct().collect()]  # 25 at most
-    bucket = None
+    bucket = F.lit(0).cast("long") if not depths else None
     for i, depth in enumerate(sorted(depths)):
         prefix = F.shiftright("key", 64 - depth) if depth else F.lit(0).cast("long")
         first = F.shiftleft(prefix, 64 - depth) if depth else F.lit(0).cast("long")

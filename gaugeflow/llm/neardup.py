@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.common import pieces, saved, small_batches, utf8
@@ -24,9 +24,14 @@ from gaugeflow.llm.words import find_words, mix64
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-#: A link of similarity 0.8 is met in a band with probability 1 - (1 - 0.8^4)^13 = 0.999.
-BANDS = 13
-ROWS = 4
+#: A link of similarity 0.8 is met in a band with probability 1 - (1 - 0.8^8)^32 = 0.997,
+#: one of 0.85 with 0.99996; a pair of similarity 0.5 with 0.12.
+BANDS = 32
+ROWS = 8
+#: Bits kept of each draw in a signature, by which pairs of a bucket are sieved.
+SIGN_BITS = 4
+#: Standard deviations below a link's expected agreement that a pair may have.
+SIGN_SLACK = 4.0
 #: How much rarer shingles count more: a shingle of every text weighs 1, the rarest
 #: up to 1 + this.
 IDF_WEIGHT = 0.25
@@ -234,20 +239,26 @@ def _band_rows(shared, bands: int, rows: int):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             keys: list = []
+            signs: list = []
             for a, b in pieces(np.diff(offsets), CHUNK_BYTES):
                 h, counts, level, bounds = _weighed(
                     data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], rarity
                 )
                 some = np.flatnonzero(np.diff(bounds))
                 own: list = [[]] * (b - a)
+                sign: list = [[]] * (b - a)
                 if len(some):
                     kept = np.append(bounds[some], bounds[-1])
                     drawn = draws(h, rarity.weight(level, counts), kept, bands * rows)
-                    for i, row in zip(some.tolist(), _bands(drawn, bands, rows).tolist()):
-                        own[i] = row
+                    both = zip(some.tolist(), _bands(drawn, bands, rows).tolist(), _signature(drawn).tolist())
+                    for i, row, bits in both:
+                        own[i], sign[i] = row, bits
                 keys += own
+                signs += sign
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "bands"]
+                [batch.column(0), pa.array(keys, longs), pa.array(signs, longs)],
+                names=["doc_id", "bands", "signature"],
             )
 
     return run
@@ -261,6 +272,38 @@ def _bands(drawn: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _signature(drawn: np.ndarray) -> np.ndarray:
+    """The lowest bits of all draws, packed into 64-bit words."""
+    per_word = 64 // SIGN_BITS
+    draws_there = -(-drawn.shape[1] // per_word) * per_word
+    bits = np.zeros((len(drawn), draws_there), np.uint64)
+    bits[:, : drawn.shape[1]] = drawn & np.uint64((1 << SIGN_BITS) - 1)
+    bits = bits.reshape(len(drawn), -1, per_word) << (np.arange(per_word, dtype=np.uint64) * np.uint64(SIGN_BITS))
+    return np.bitwise_or.reduce(bits, axis=2).view(np.int64)
+
+
+def _agreeing(words: int, count: int, threshold: float) -> Column:
+    """Whether two signatures, as columns s0.. and t0.., agree as often as a link may.
+
+    Draws agree with the probability of the similarity, and other draws in their few
+    bits by chance. The bound lies ``SIGN_SLACK`` standard deviations below that, so a
+    link at the threshold fails with probability 3e-5, a hundredth of the bands' own
+    miss.
+    """
+    ones = int("1" * (64 // SIGN_BITS), 1 << SIGN_BITS)
+    ones = ones - (1 << 64) if ones >= 1 << 63 else ones
+    differing = F.lit(0)
+    for i in range(words):
+        x = F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))
+        any_bit = x
+        for k in range(1, SIGN_BITS):
+            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, k))
+        differing = differing + F.bit_count(any_bit.bitwiseAND(F.lit(ones)))
+    agree = threshold + (1 - threshold) / (1 << SIGN_BITS)
+    least = count * agree - SIGN_SLACK * (count * agree * (1 - agree)) ** 0.5
+    return differing <= F.lit(int(count - least))
+
+
 def _profile_rows(shared):
     """Hashes and weights of each text, sorted by hash, as bytes."""
 
@@ -320,15 +363,18 @@ def _classes(links: DataFrame, node: str) -> DataFrame:
     return connected_components(links.select("a", "b")).withColumnRenamed("node", node)
 
 
-def _pairs_left(members: DataFrame, star: DataFrame, threshold: float) -> DataFrame:
+def _pairs_left(
+    members: DataFrame, star: DataFrame, signatures: DataFrame, threshold: float, count: int
+) -> DataFrame:
     """Pairs of a bucket that may be links beside those with its leader.
 
     One minus the weighted Jaccard similarity is a metric. So two texts whose distances
     to the leader differ by more than a link's own distance are no link, and texts
     within that distance of the leader are of its class already. Left are pairs of
     different classes, one of them farther from the leader, in the same or the next
-    ring of that width around it.
+    ring of that width around it, whose signatures agree often enough.
     """
+    words = -(-count * SIGN_BITS // 64)
     reach = 1.0 - threshold
     rings = members.join(
         star.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), (1 - F.col("similarity")).alias("far")),
@@ -342,18 +388,22 @@ def _pairs_left(members: DataFrame, star: DataFrame, threshold: float) -> DataFr
         F.coalesce("component", "doc_id").alias("class"),
         F.when(F.col("far") <= reach, 0).otherwise(1 + F.floor((F.col("far") - reach) / reach)).alias("ring"),
     )
-    rings = saved(rings, "rings")
+    mixed = rings.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    mixed = mixed.where("low < high").select("bucket")
+    signs = signatures.select("doc_id", *[F.col("signature")[i].alias(f"s{i}") for i in range(words)])
+    rings = saved(rings.join(mixed, "bucket", "left_semi").join(signs, "doc_id"), "rings")
     outer = rings.where("ring > 0").select(
         "bucket",
         F.explode(F.array(F.col("ring") - 1, F.col("ring"))).alias("ring"),
         F.col("doc_id").alias("x"),
         F.col("far").alias("far_x"),
         F.col("class").alias("class_x"),
+        *[F.col(f"s{i}").alias(f"t{i}") for i in range(words)],
     )
     near = F.abs(F.col("far") - F.col("far_x")) <= reach + 1e-6
     return (
         rings.join(outer, ["bucket", "ring"])
-        .where((F.col("class") != F.col("class_x")) & near)
+        .where((F.col("class") != F.col("class_x")) & near & _agreeing(words, count, threshold))
         .select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b"))
         .distinct()
     )
@@ -376,22 +426,26 @@ def near_duplicates(
 
     Exact copies are folded into one text first. In a band's bucket, texts are not
     paired with each other: each is compared with the bucket's smallest, which joins
-    all of a group of near copies. Then only the pairs of different classes that their
-    distances to it leave possible are compared. So no link between candidates is lost
-    and no bucket is cut, but a group of copies never makes all its pairs.
+    all of a group of near copies. Then only the pairs of different classes are
+    compared that their distances to it and their signatures leave possible. So no link
+    is lost but by the chance that draws leave, and no bucket is cut, yet a group of
+    copies never makes all its pairs.
     """
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(Rarity.of(base))  # 1 MB
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    banded = base.mapInArrow(_band_rows(shared, bands, rows), "doc_id long, bands array<long>")
+    banded = base.mapInArrow(
+        _band_rows(shared, bands, rows), "doc_id long, bands array<long>, signature array<long>"
+    )
+    banded = saved(banded, "bands")
     ids = base.select("doc_id", digest.alias("digest"))
     texts = ids.groupBy("digest").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies"))
     texts = saved(texts, "texts")
     firsts = texts.select(F.col("text_id").alias("doc_id"))
     bucket = F.explode("bands").alias("bucket")
-    members = saved(banded.join(firsts, "doc_id", "left_semi").select(bucket, "doc_id"), "bands")
+    members = banded.join(firsts, "doc_id", "left_semi").select(bucket, "doc_id")
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader"))
     members = saved(members.join(buckets.where("n > 1"), "bucket").drop("n"), "members")
     candidates = members.select("doc_id").distinct()
@@ -401,7 +455,9 @@ def near_duplicates(
     profiles = saved(profiles, "profiles")
     pairs = members.where("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     star = _similarities(pairs.distinct(), profiles)
-    rest = _similarities(_pairs_left(members, star, threshold), profiles)
+    signatures = banded.join(candidates, "doc_id", "left_semi").select("doc_id", "signature")
+    signatures = signatures.dropDuplicates(["doc_id"])
+    rest = _similarities(_pairs_left(members, star, signatures, threshold, bands * rows), profiles)
     classes = _classes(star.union(rest).where(F.col("similarity") >= threshold), "text_id")
     by_text = texts.join(classes, "text_id", "left").select(
         "digest", "text_id", "copies", F.coalesce("component", "text_id").alias("class_id")
