@@ -49,6 +49,26 @@ def _text(variant: Column) -> Column:
     return F.try_variant_get(variant, "$", "string")
 
 
+# A closing brace with more text behind it: a nested object's, one in a text, or the
+# end of an object that something follows.
+_BRACE_INSIDE = r"\}[ \t\r\n]*[^ \t\r\n}]"
+
+
+def _goes_on(raw: Column) -> Column:
+    """Whether text follows the JSON object that ``raw`` begins with.
+
+    The parser stops at the object's end. So suspicious texts are parsed once more as
+    the first element of an array: there, anything but one object leaves an array of
+    another size or no array at all. Texts whose braces pair up and close at the end are
+    not parsed again.
+    """
+    opened, closed = (F.length(F.replace(raw, F.lit(b), F.lit(""))) for b in "{}")
+    whole = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(",0]")))
+    two = F.size(F.try_variant_get(whole, "$", "array<variant>")) == 2
+    suspicious = raw.rlike(_BRACE_INSIDE) | (opened != closed)
+    return suspicious & ~F.coalesce(two, F.lit(False))
+
+
 def decode(lines: DataFrame, payload: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Decode one JSON object per row of ``payload`` (string or binary).
 
@@ -64,7 +84,11 @@ def decode(lines: DataFrame, payload: str = "value", keep: tuple[str, ...] = ())
             F.from_json(
                 raw,
                 _WIRE_SCHEMA,
-                {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
+                {
+                    "mode": "PERMISSIVE",
+                    "columnNameOfCorruptRecord": "_corrupt",
+                    "allowSingleQuotes": "false",
+                },
             )
         ).alias("j"),
     )
@@ -78,7 +102,7 @@ def decode(lines: DataFrame, payload: str = "value", keep: tuple[str, ...] = ())
     wrong_tags = F.exists(tag_values, lambda v: ~_type_of(v).isin("STRING", "VOID"))
     no_number = F.isnan("j.value") | (F.abs("j.value") == float("inf"))
     bad_time = (_type_of(F.col("j.timestamp")) != "VOID") & F.col("stamp").isNull()
-    one_object = F.btrim("raw", F.lit(" \t\r\n")).like("{%}")
+    one_object = F.btrim("raw", F.lit(" \t\r\n")).like("{%}") & ~_goes_on(F.col("raw"))
 
     reason = (
         F.when(F.col("raw").isNull() | ~one_object | F.col("j._corrupt").isNotNull(), "malformed")

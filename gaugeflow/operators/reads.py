@@ -85,7 +85,8 @@ def sensor_directory(
 ) -> DataFrame:
     """The newest event of each sensor: of all events, or of the newest ``scope``."""
     if scope != "all":
-        events = recent_events(events, int(scope), tiebreak=tiebreak)
+        columns = events.select(*EVENT_COLUMNS, *tiebreak)
+        events = columns.orderBy(*_newest_first("recorded_at", tiebreak)).limit(int(scope))
     return latest_per_sensor(events, tiebreak)
 
 

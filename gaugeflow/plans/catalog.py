@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions import codec
 from gaugeflow.functions.severity import escalate, higher, severity_rank, z_severity
-from gaugeflow.operators import detect, reads, windows
+from gaugeflow.operators import derived, detect, reads, windows
 from gaugeflow.plans import inputs, snapshot
 from gaugeflow.plans.inputs import TIEBREAK, readings
 from gaugeflow.session import shared_dir
@@ -102,8 +103,9 @@ def windows_retained(spark, sf_dir):
 
 @query
 def windows_newest(spark, sf_dir):
-    metrics = windows.window_metrics(readings(spark, sf_dir))
-    return _metrics(windows.newest_windows(metrics))
+    """The short list of the live view: windows in progress only."""
+    current = windows.current_window_metrics(readings(spark, sf_dir), _as_of(spark, sf_dir))
+    return _metrics(windows.newest_windows(current))
 
 
 @query
@@ -145,6 +147,12 @@ def sensor_directory_recent1000(spark, sf_dir):
     return _events(reads.sensor_directory(readings(spark, sf_dir), 1000, TIEBREAK))
 
 
+@query
+def sensor_directory_recent1001(spark, sf_dir):
+    """A scope above the largest list length of the event query."""
+    return _events(reads.sensor_directory(readings(spark, sf_dir), 1001, TIEBREAK))
+
+
 @query
 def active_sensors(spark, sf_dir):
     return reads.active_sensors(readings(spark, sf_dir), _as_of(spark, sf_dir))
@@ -260,6 +268,17 @@ def _broken(line: Column) -> Column:
     )
 
 
+def _not_json(line: Column) -> Column:
+    """Texts that begin like an event but are not one JSON object, by event id."""
+    return (
+        F.when(F.col("event_id") % 5 == 0, F.translate(line, '"', "'"))
+        .when(F.col("event_id") % 5 == 1, F.concat(line, F.lit(" junk}")))
+        .when(F.col("event_id") % 5 == 2, F.concat(line, F.lit(" "), line))
+        .when(F.col("event_id") % 5 == 3, F.concat(line, F.lit(',{"a":1}')))
+        .otherwise(F.concat(F.lit(" "), line, F.lit("\n")))
+    )
+
+
 @query
 def decode_events(spark, sf_dir):
     """Encode every event, decode it again."""
@@ -283,6 +302,16 @@ def decode_rejects(spark, sf_dir):
     return rejects.select("event_id", "reject_reason")
 
 
+@query
+def decode_rejects_strict(spark, sf_dir):
+    """Single quotes, a second object, and text behind the object are rejects."""
+    rows = readings(spark, sf_dir, zoned=True)
+    lines = rows.select("event_id", codec.evaluated_once(codec.event_json()).alias("line"))
+    lines = lines.select("event_id", codec.evaluated_once(_not_json(F.col("line"))).alias("value"))
+    _, rejects = codec.split(codec.decode(lines, keep=("event_id",)))
+    return rejects.select("event_id", "reject_reason")
+
+
 @query
 def decode_zero_fill(spark, sf_dir):
     decoded = codec.decode(_damaged(spark, sf_dir), keep=("event_id",))
@@ -306,11 +335,24 @@ def tags_lookup(spark, sf_dir):
 # Snapshot
 
 
+def _run_dir(spark: SparkSession) -> str:
+    """A folder of its own under the shared one for this run."""
+    return f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4()}"
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    """Written and read back: the snapshot reads its anomalies from a table, so the
+    detector runs once for their number and the newest of them."""
+    path = f"{_run_dir(rows.sparkSession)}/stored"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _snapshot(spark, sf_dir):
     rows = readings(spark, sf_dir)
     as_of = _as_of(spark, sf_dir)
     started_at = rows.agg(F.min("recorded_at")).first()[0]
-    anomalies = _layered(spark, sf_dir)
+    anomalies = _stored(_layered(spark, sf_dir))
     return snapshot.pipeline_snapshot(rows, anomalies, started_at, as_of, tiebreak=TIEBREAK)
 
 
@@ -330,17 +372,149 @@ def snapshot_counters(spark, sf_dir):
     )
 
 
+_SNAPSHOT_WIRE = """type string, data struct<
+  stats: struct<events_ingested: long, events_per_second: double, anomalies_detected: long,
+                active_sensors: long, processor_lag_ms: long>,
+  anomalies: array<struct<sensor_id: string, sensor_type: string, location: string, value: double,
+                          expected: double, z_score: double, severity: string, detected_at: string>>,
+  events: array<struct<sensor_id: string, sensor_type: string, location: string, value: double,
+                       unit: string, tags: map<string, string>, recorded_at: string>>,
+  windows: array<struct<sensor_type: string, location: string, window_start: string,
+                        window_end: string, count: long, sum: double, min: double, max: double,
+                        avg: double, p99: double>>,
+  ts: string>"""
+
+
 @query
 def snapshot_json(spark, sf_dir):
-    return snapshot.snapshot_json(_snapshot(spark, sf_dir))
+    """The snapshot's text read again: one row per entry, every field as text."""
+    text = snapshot.snapshot_json(_snapshot(spark, sf_dir))
+    wire = text.select(codec.evaluated_once(F.from_json("json", _SNAPSHOT_WIRE)).alias("s"))
+
+    def entries(part: str, *fields: Column) -> DataFrame:
+        rows = wire.select(F.posexplode(F.col(f"s.data.{part}")).alias("position", "e"))
+        return rows.select(F.lit(part).alias("part"), "position", _fields(*fields))
+
+    def shown(name: str, digits: int | None = None) -> Column:
+        value = F.col(f"e.{name}")
+        return F.format_string(f"%.{digits}f", value) if digits is not None else value.cast("string")
+
+    stats = wire.select(
+        F.lit("stats").alias("part"),
+        F.lit(0).alias("position"),
+        _fields(
+            *[F.col(f"s.data.stats.{n}").cast("string") for n in ("events_ingested", "anomalies_detected")],
+            F.format_string("%.6f", "s.data.stats.events_per_second"),
+            F.col("s.data.stats.processor_lag_ms").cast("string"),
+            F.col("s.type"),
+            F.col("s.data.ts"),
+        ),
+    )
+    anomalies = entries(
+        "anomalies",
+        *[shown(n) for n in ("sensor_id", "sensor_type", "location")],
+        *[shown(n, 6) for n in ("value", "expected", "z_score")],
+        *[shown(n) for n in ("severity", "detected_at")],
+    )
+    events = entries(
+        "events",
+        *[shown(n) for n in ("sensor_id", "sensor_type", "location")],
+        shown("value", 6),
+        *[shown(n) for n in ("unit", "recorded_at")],
+        F.col("e.tags")["k"],
+    )
+    current = entries(
+        "windows",
+        *[shown(n) for n in ("sensor_type", "location", "window_start", "window_end", "count")],
+        *[shown(n, 6) for n in ("sum", "min", "max", "avg", "p99")],
+    )
+    return stats.union(anomalies).union(events).union(current)
 
 
-# Streams: run to the end of the table, then read what was written
+def _fields(*columns: Column) -> Column:
+    return F.concat_ws("|", *[F.coalesce(c, F.lit("null")) for c in columns]).alias("fields")
 
 
-def _run_dir(spark: SparkSession) -> str:
-    """A folder of its own under the shared one for this run."""
-    return f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4()}"
+# Derived views
+
+
+@query
+def rollup_5m(spark, sf_dir):
+    rows = readings(spark, sf_dir)
+    minutes = _stored(windows.window_metrics(rows))
+    return _rounded(derived.rollup(minutes, rows, "5 minutes"), "sum", "avg", digits=6)
+
+
+@query
+def events_deduped(spark, sf_dir):
+    """The events, a third of them sent twice with another id, kept once each."""
+    rows = readings(spark, sf_dir)
+    again = rows.where("event_id % 3 = 0").withColumn("event_id", F.col("event_id") + 1_000_000_000)
+    return _events(derived.deduplicated_events(rows.union(again), TIEBREAK))
+
+
+@query
+def alerts_deduped(spark, sf_dir):
+    return derived.alert_episodes(_layered(spark, sf_dir), "1 day", TIEBREAK)
+
+
+@query
+def alerts_routed(spark, sf_dir):
+    routed = derived.routed_alerts(_layered(spark, sf_dir))
+    return routed.select("event_id", "sensor_id", "severity", "channel")
+
+
+@query
+def rejects_depth(spark, sf_dir):
+    _, rejects = codec.split(codec.decode(_damaged(spark, sf_dir), keep=("event_id",)))
+    return derived.reject_depth(rejects)
+
+
+@query
+def rejects_replayed(spark, sf_dir):
+    """Rejects read again after their cause is mended: here, a leading mark is removed."""
+    _, rejects = codec.split(codec.decode(_damaged(spark, sf_dir), keep=("event_id",)))
+    mended = rejects.select("event_id", F.ltrim("raw", F.lit("#")).alias("value"))
+    good, _ = codec.split(codec.decode(mended, keep=("event_id",)))
+    return good.select("event_id", "sensor_id", "value")
+
+
+@query
+def validation_reasons(spark, sf_dir):
+    """All rules that each reading fails."""
+    rules = {
+        "value_range": F.col("value").between(5, 80),
+        "known_type": F.col("sensor_type").isin("click", "view", "purchase"),
+        "location_form": F.col("location").rlike("^zone-[0-2]$"),
+    }
+    failed = F.array_join(derived.failed_rules(rules), ",")
+    rows = readings(spark, sf_dir).select("event_id", failed.alias("failed_rules"))
+    return rows.where("failed_rules <> ''")
+
+
+@query
+def replay_range(spark, sf_dir):
+    """The last five days, warmed up on the twenty before."""
+    end = _as_of(spark, sf_dir).replace(hour=0, minute=0, second=0, microsecond=0)
+    start = end - dt.timedelta(days=5)
+    rows = readings(spark, sf_dir)
+    warm_up = dt.timedelta(days=20)
+    return _anomalies(derived.replay_range(rows, start, end, warm_up, tiebreak=TIEBREAK))
+
+
+@query
+def tables_by_name(spark, sf_dir):
+    """The catalog tables over stored events, read by name: events by day."""
+    base, database = _run_dir(spark), f"run_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{base}/database'")
+    tables.ensure_tables(spark, base, database)
+    tables.append_batch(readings(spark, sf_dir, zoned=True), base, tables.EVENTS, 0)
+    tables.sync_partitions(spark, database)
+    days = spark.table(f"{database}.{tables.EVENTS}").groupBy("event_date", "sensor_type")
+    return days.agg(F.count(F.lit(1)).alias("events"))
+
+
+# Streams: run to the end of the table, then read what was written
 
 
 def _finish(stream: DataFrame, mode: str, write, checkpoint: str) -> None:
@@ -358,37 +532,65 @@ def _finish(stream: DataFrame, mode: str, write, checkpoint: str) -> None:
     running.awaitTermination()
 
 
+def _options(base: str) -> pipeline.PipelineOptions:
+    return pipeline.PipelineOptions(base, f"{base}/checkpoint", tiebreak=TIEBREAK)
+
+
 @query
 def stream_windows(spark, sf_dir):
-    """Update-mode metrics, newest state of each window."""
+    """Windows kept up to date while the events arrive in slices, the newest first."""
     base = _run_dir(spark)
-    events = inputs.reading_stream(spark, sf_dir)
-    metrics = windows.window_metrics(events, watermark=pipeline.RETENTION)
-    write = pipeline.store_changes(f"{base}/{pipeline.LIVE_WINDOWS}")
-    _finish(metrics, "update", write, f"{base}/checkpoint")
+    options = _options(base)
+    run = tables.run_of(spark, options.checkpoints)
+    write = pipeline.in_turn(pipeline.store_events(options, run), pipeline.store_windows(options, run))
+    events = inputs.arriving_readings(spark, sf_dir, f"{base}/arrivals", newest_first=True)
+    _finish(events, "append", write, options.checkpoints)
     live = pipeline.live_windows(spark, base)
     for name in ("window_start", "window_end"):
         live = live.withColumn(name, F.col(name).cast("timestamp_ntz"))
     return _metrics(live)
 
 
+def _run_scored(spark: SparkSession, sf_dir: str, base: str) -> None:
+    """Score and store the events as they arrive, slice after slice."""
+    options = _options(base)
+    arriving = inputs.arriving_readings(spark, sf_dir, f"{base}/arrivals")
+    scored = stream_detect.score_stream(arriving, tiebreak=TIEBREAK)
+    write = pipeline.store_scored(options, tables.run_of(spark, options.checkpoints))
+    _finish(scored, "append", write, options.checkpoints)
+
+
 @query
 def stream_layered(spark, sf_dir):
     """Anomalies found by the stateful stream and stored by the pipeline's sink."""
     base = _run_dir(spark)
-    scored = stream_detect.score_stream(inputs.reading_stream(spark, sf_dir), tiebreak=TIEBREAK)
-    options = pipeline.PipelineOptions(base, f"{base}/checkpoint", tiebreak=TIEBREAK)
-    _finish(scored, "append", pipeline.store_scored(options), f"{base}/checkpoint")
+    _run_scored(spark, sf_dir, base)
     found = tables.read_table(spark, base, tables.ANOMALIES).drop("event_date")
     return _anomalies(found.withColumn("detected_at", F.col("detected_at").cast("timestamp_ntz")))
 
 
 @query
 def stream_events(spark, sf_dir):
-    """Events stored by the same sink, read back from the table."""
+    """Events stored by the pipeline's sink, newest slice first, read from the table."""
     base = _run_dir(spark)
-    scored = stream_detect.score_stream(inputs.reading_stream(spark, sf_dir), tiebreak=TIEBREAK)
-    options = pipeline.PipelineOptions(base, f"{base}/checkpoint", tiebreak=TIEBREAK)
-    _finish(scored, "append", pipeline.store_scored(options), f"{base}/checkpoint")
+    options = _options(base)
+    arriving = inputs.arriving_readings(spark, sf_dir, f"{base}/arrivals", newest_first=True)
+    scored = stream_detect.score_stream(arriving, tiebreak=TIEBREAK)
+    write = pipeline.store_scored(options, tables.run_of(spark, options.checkpoints))
+    _finish(scored, "append", write, options.checkpoints)
     stored = tables.read_table(spark, base, tables.EVENTS).drop("event_date")
     return _events(stored.withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz")))
+
+
+@query
+def stream_windows_completed(spark, sf_dir):
+    """Windows that the watermark has passed, each written once."""
+    base = _run_dir(spark)
+    arriving = inputs.arriving_readings(spark, sf_dir, f"{base}/arrivals")
+    done = pipeline.completed_windows(arriving)
+    run = tables.run_of(spark, f"{base}/checkpoint")
+    _finish(done, "append", pipeline.store_changes(f"{base}/{pipeline.COMPLETED_WINDOWS}", run), f"{base}/checkpoint")
+    stored = pipeline.stored_windows(spark, base, pipeline.COMPLETED_WINDOWS)
+    for name in ("window_start", "window_end"):
+        stored = stored.withColumn(name, F.col(name).cast("timestamp_ntz"))
+    return _metrics(stored)

@@ -58,6 +58,35 @@ def reading_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_readings(raw, zoned=True)
 
 
+#: Rows of one arrival file of the stream queries, at most.
+ARRIVAL_ROWS = 1_000_000
+
+
+def arriving_readings(
+    spark: SparkSession, sf_dir: str, folder: str, newest_first: bool = False, least: int = 4
+) -> DataFrame:
+    """The event table as a stream of several files, one per micro-batch.
+
+    The table is cut by time into ``least`` slices or more, which arrive in the order
+    of time or, ``newest_first``, against it: every slice but the first is then late.
+    """
+    raw = spark.read.schema(RAW_EVENTS).parquet(f"{sf_dir}/events.parquet")
+    slices = max(least, -(-raw.count() // ARRIVAL_ROWS))
+    shares = [i / slices for i in range(1, slices)]
+    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = raw.agg(F.percentile_approx(seconds, shares, 10_000)).first()[0] or []
+    bounds = [None, *cuts, None]
+    spans = list(zip(bounds, bounds[1:]))
+    for low, high in reversed(spans) if newest_first else spans:
+        own = raw
+        if low is not None:
+            own = own.where(seconds >= low)
+        if high is not None:
+            own = own.where(seconds < high)
+        own.coalesce(1).write.mode("append").parquet(folder)  # bounded by the slices
+    return as_readings(parquet_stream(spark, RAW_EVENTS, folder, max_files=1), zoned=True)
+
+
 def as_of_day_before_end(spark: SparkSession, sf_dir: str) -> dt.datetime:
     """The point in time the queries look from: a day before the last event."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")

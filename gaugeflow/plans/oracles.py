@@ -109,7 +109,9 @@ ORACLES: dict[str, str] = {
     ),
     "windows_newest": _with(
         _windows("1 minute"),
-        select="SELECT * FROM metrics ORDER BY window_start DESC, sensor_type, location LIMIT 8",
+        _AS_OF,
+        select="""SELECT metrics.* FROM metrics, as_of WHERE window_start >= minute
+ORDER BY window_start DESC, sensor_type, location LIMIT 8""",
     ),
     "events_per_minute": """
 SELECT date_trunc('minute', ts) AS window_start, count(*) AS events
@@ -135,6 +137,11 @@ ORDER BY recorded_at DESC, event_id DESC LIMIT 1000"""
     "sensor_directory_recent1000": _with(
         "newest AS (SELECT * FROM readings ORDER BY recorded_at DESC, event_id DESC LIMIT 1000)",
         select=f"""SELECT {_EVENT_ROW} FROM newest QUALIFY row_number() OVER
+(PARTITION BY sensor_id ORDER BY recorded_at DESC, event_id DESC) = 1""",
+    ),
+    "sensor_directory_recent1001": _with(
+        "newest AS (SELECT * FROM readings ORDER BY recorded_at DESC, event_id DESC LIMIT 1001)",
+        select=f"""SELECT {_EVENT_ROW} FROM newest QUALIFY row_number() OVER
 (PARTITION BY sensor_id ORDER BY recorded_at DESC, event_id DESC) = 1""",
     ),
     "active_sensors": _with(
@@ -203,6 +210,8 @@ FROM ranked""",
 SELECT event_id, CASE event_type WHEN 'error' THEN 'malformed' WHEN 'signup' THEN 'malformed'
   WHEN 'view' THEN 'bad_timestamp' WHEN 'click' THEN 'missing_field' END AS reject_reason
 FROM events WHERE event_type <> 'purchase'""",
+    "decode_rejects_strict": """
+SELECT event_id, 'malformed' AS reject_reason FROM events WHERE event_id % 5 < 4""",
     "decode_zero_fill": _with(
         select="""SELECT event_id, sensor_id,
   CASE WHEN sensor_type = 'click' THEN '' ELSE location END AS location, value
@@ -225,7 +234,88 @@ FROM readings WHERE sensor_type IN ('purchase', 'click')"""
         _windows("1 minute"),
         _AS_OF,
     ),
+    "snapshot_json": _detector(
+        """SELECT 'stats' AS part, 0 AS position, concat_ws('|',
+    (SELECT count(*) FROM readings), (SELECT count(*) FROM layered),
+    (SELECT printf('%.6f', count(*) / (date_diff('microsecond', min(recorded_at), any_value(t)) / 1000000.0::DOUBLE))
+     FROM readings, as_of),
+    '0', 'pipeline_update', (SELECT strftime(t, '%Y-%m-%dT%H:%M:%S.%fZ') FROM as_of)) AS fields
+UNION ALL
+SELECT 'anomalies', (row_number() OVER (ORDER BY detected_at DESC, event_id DESC) - 1)::INTEGER,
+  concat_ws('|', sensor_id, sensor_type, location, printf('%.6f', value), printf('%.6f', expected),
+    printf('%.6f', z_score), severity, strftime(detected_at, '%Y-%m-%dT%H:%M:%S.%fZ'))
+FROM (SELECT * FROM layered ORDER BY detected_at DESC, event_id DESC LIMIT 5)
+UNION ALL
+SELECT 'events', (row_number() OVER (ORDER BY recorded_at DESC, event_id DESC) - 1)::INTEGER,
+  concat_ws('|', sensor_id, sensor_type, location, printf('%.6f', value), unit,
+    strftime(recorded_at, '%Y-%m-%dT%H:%M:%S.%fZ'), json_extract_string(props, '$.k'))
+FROM (SELECT * FROM readings ORDER BY recorded_at DESC, event_id DESC LIMIT 5)
+UNION ALL
+SELECT 'windows', (row_number() OVER (ORDER BY window_start DESC, sensor_type DESC, location DESC) - 1)::INTEGER,
+  concat_ws('|', sensor_type, location, strftime(window_start, '%Y-%m-%dT%H:%M:%S.%fZ'),
+    strftime(window_end, '%Y-%m-%dT%H:%M:%S.%fZ'), count, printf('%.6f', sum), printf('%.6f', min),
+    printf('%.6f', max), printf('%.6f', avg), printf('%.6f', p99))
+FROM metrics, as_of WHERE window_start >= minute""",
+        _windows("1 minute"),
+        _AS_OF,
+    ),
+    "rollup_5m": _with(
+        _windows("5 minutes"),
+        select="SELECT * REPLACE (round(sum, 6) AS sum, round(avg, 6) AS avg) FROM metrics",
+    ),
+    "events_deduped": _with(select=f"SELECT {_EVENT_ROW} FROM readings"),
+    "alerts_deduped": _detector(
+        """SELECT sensor_id, min(detected_at) AS detected_at, max(detected_at) AS last_at,
+  count(*) AS anomalies, arg_min(severity, (detected_at, event_id)) AS severity,
+  (['low', 'medium', 'high', 'critical'])[max(list_position(['low', 'medium', 'high', 'critical'], severity))] AS worst
+FROM (SELECT *, sum(starts) OVER (PARTITION BY sensor_id ORDER BY detected_at, event_id
+        ROWS UNBOUNDED PRECEDING) AS run
+      FROM (SELECT *, CASE WHEN detected_at <= lag(detected_at) OVER (PARTITION BY sensor_id
+              ORDER BY detected_at, event_id) + INTERVAL 1 DAY THEN 0 ELSE 1 END AS starts FROM layered))
+GROUP BY sensor_id, run"""
+    ),
+    "alerts_routed": _detector(
+        """SELECT event_id, sensor_id, severity, unnest(CASE severity WHEN 'low' THEN ['log']
+  WHEN 'medium' THEN ['log', 'mail'] WHEN 'high' THEN ['log', 'mail', 'chat']
+  ELSE ['log', 'mail', 'chat', 'pager'] END) AS channel FROM layered"""
+    ),
+    "rejects_depth": """
+SELECT CASE event_type WHEN 'error' THEN 'malformed' WHEN 'signup' THEN 'malformed'
+  WHEN 'view' THEN 'bad_timestamp' WHEN 'click' THEN 'missing_field' END AS reject_reason,
+  count(*) AS waiting
+FROM events WHERE event_type <> 'purchase' GROUP BY 1""",
+    "rejects_replayed": _with(
+        select="SELECT event_id, sensor_id, value FROM readings WHERE sensor_type = 'error'"
+    ),
+    "validation_reasons": _with(
+        select="""SELECT * FROM (SELECT event_id, concat_ws(',',
+    CASE WHEN NOT value BETWEEN 5 AND 80 THEN 'value_range' END,
+    CASE WHEN sensor_type NOT IN ('click', 'view', 'purchase') THEN 'known_type' END,
+    CASE WHEN NOT regexp_matches(location, '^zone-[0-2]$') THEN 'location_form' END) AS failed_rules
+  FROM readings) WHERE failed_rules <> ''"""
+    ),
+    "replay_range": _with(
+        _STATES.replace(
+            "FROM readings\n)",
+            """FROM readings
+  WHERE recorded_at >= (SELECT date_trunc('day', max(ts) - INTERVAL 1 DAY) - INTERVAL 25 DAY FROM events)
+    AND recorded_at < (SELECT date_trunc('day', max(ts) - INTERVAL 1 DAY) FROM events)
+)""",
+            1,
+        ),
+        select=f"""SELECT {_ANOMALY_ROW} FROM layered WHERE detected_at >=
+  (SELECT date_trunc('day', max(ts) - INTERVAL 1 DAY) - INTERVAL 5 DAY FROM events)""",
+        recursive=True,
+    ),
+    "tables_by_name": """
+SELECT ts::DATE AS event_date, event_type AS sensor_type, count(*) AS events
+FROM events GROUP BY ALL""",
     "stream_windows": _with(_windows("1 minute"), select="SELECT * FROM metrics"),
+    "stream_windows_completed": _with(
+        _windows("1 minute"),
+        select="""SELECT * FROM metrics
+WHERE window_end <= (SELECT max(ts) - INTERVAL 60 MINUTE FROM events)""",
+    ),
     "stream_layered": _detector(
         """SELECT sensor_id, sensor_type, location, value, round(expected, 8) AS expected,
   round(z_score, 8) AS z_score, severity, detected_at FROM layered"""

@@ -7,6 +7,9 @@ skip row groups).
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +22,15 @@ ANOMALIES = "anomalies"
 _TIME_COLUMN = {EVENTS: "recorded_at", ANOMALIES: "detected_at"}
 _SORT = {EVENTS: ("sensor_type", "recorded_at"), ANOMALIES: ("severity", "detected_at")}
 _SCHEMA = {EVENTS: EVENT, ANOMALIES: ANOMALY}
-_PARTITIONS = (T.StructField("event_date", T.DateType()), T.StructField("batch_id", T.LongType()))
+#: A micro-batch is known by its run and its number: after a checkpoint was lost the
+#: numbers begin anew, in another run.
+RUN = "run_id"
+BATCH = "batch_id"
+_PARTITIONS = (
+    T.StructField("event_date", T.DateType()),
+    T.StructField(RUN, T.StringType()),
+    T.StructField(BATCH, T.LongType()),
+)
 
 
 def table_path(base: str, table: str) -> str:
@@ -34,13 +45,13 @@ def ensure_tables(spark: SparkSession, base: str, database: str = "default") ->
     """Create both catalog tables over ``base``, and their folders, unless they exist."""
     for table in (EVENTS, ANOMALIES):
         empty = spark.createDataFrame([], _stored_schema(table))
-        empty.write.mode("append").partitionBy("event_date", "batch_id").parquet(
+        empty.write.mode("append").partitionBy("event_date", RUN, BATCH).parquet(
             table_path(base, table)
         )
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _stored_schema(table))
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {database}.{table} ({columns}) USING parquet "
-            f"PARTITIONED BY (event_date, batch_id) LOCATION '{table_path(base, table)}'"
+            f"PARTITIONED BY (event_date, {RUN}, {BATCH}) LOCATION '{table_path(base, table)}'"
         )
 
 
@@ -53,8 +64,23 @@ def sync_partitions(spark: SparkSession, database: str = "default") -> None:
         spark.sql(f"MSCK REPAIR TABLE {database}.{table}")
 
 
-def append_batch(rows: DataFrame, base: str, table: str, batch_id: int) -> None:
-    """Write one micro-batch; writing the same batch again replaces it.
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The run that a stream's checkpoint folder belongs to; kept in that folder.
+
+    A stream that goes on from its checkpoint has the same run, one whose checkpoint
+    was removed gets another.
+    """
+    path = f"{checkpoint.rstrip('/')}/run"
+    try:
+        return spark.read.text(path).first()[0]
+    except AnalysisException:
+        run = uuid.uuid4().hex
+        spark.createDataFrame([(run,)], "value string").coalesce(1).write.text(path)
+        return run
+
+
+def append_batch(rows: DataFrame, base: str, table: str, batch_id: int, run: str = "") -> None:
+    """Write one micro-batch; writing the same batch of the same run again replaces it.
 
     ``rebalance`` lets adaptive execution split a day that fills most of the
     batch and join small ones, so files come out evenly sized.
@@ -64,13 +90,14 @@ def append_batch(rows: DataFrame, base: str, table: str, batch_id: int) -> None:
         rows.select(
             *columns,
             F.to_date(_TIME_COLUMN[table]).alias("event_date"),
-            F.lit(batch_id).cast("long").alias("batch_id"),
+            F.lit(run or "0").alias(RUN),
+            F.lit(batch_id).cast("long").alias(BATCH),
         )
         .hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", *_SORT[table])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date", "batch_id")
+        .partitionBy("event_date", RUN, BATCH)
         .parquet(table_path(base, table))
     )
 
@@ -81,7 +108,7 @@ def read_table(spark: SparkSession, base: str, table: str) -> DataFrame:
     ``event_date`` stays, for filters that prune days.
     """
     stored = spark.read.schema(_stored_schema(table)).parquet(table_path(base, table))
-    return stored.drop("batch_id")
+    return stored.drop(RUN, BATCH)
 
 
 def since(rows: DataFrame, table: str, start) -> DataFrame:

@@ -15,6 +15,7 @@ from gaugeflow.operators.detect import merge_detectors
 from gaugeflow.operators.fold import EMPTY, SCORE_COLUMNS, SensorState, fold_values
 from gaugeflow.settings import DetectorSettings
 
+_SCORE_TYPES = ("Int64", *["Float64"] * (len(SCORE_COLUMNS) - 1))
 _STATE = "n long, mean double, m2 double, ewma_mean double, ewma_var double, last_at long"
 
 
@@ -32,9 +33,16 @@ def _stepper(alpha: float, order: list[str], ttl_ms: int | None):
         if len(at) > 1 and not (at[1:] > at[:-1]).all():
             rows = rows.sort_values(order, kind="stable", ignore_index=True)
             at = rows["_at"].to_numpy()
-        scored, after = fold_values(rows["value"].tolist(), SensorState(*stored), alpha)
+        there = rows["value"].notna()
+        scored, after = fold_values(rows["value"][there].tolist(), SensorState(*stored), alpha)
+        # A reading without a value keeps its row, without scores.
         rows = rows.assign(
-            **dict(zip(SCORE_COLUMNS, zip(*scored))),
+            **{
+                name: pd.Series(list(column), index=rows.index[there], dtype=kind).reindex(rows.index)
+                for name, column, kind in zip(
+                    SCORE_COLUMNS, zip(*scored) if scored else [()] * len(SCORE_COLUMNS), _SCORE_TYPES
+                )
+            },
             out_of_order=False if last_at is None else at < last_at,
         )
         newest = int(at[-1])
@@ -62,7 +70,7 @@ def score_stream(
     that keeps ticking, not ``availableNow``, which would wait for it for ever.
     """
     # Times travel as microseconds and tags as text: plain columns for pandas.
-    wire = events.filter(F.col("value").isNotNull()).select(
+    wire = events.select(
         "sensor_id",
         "sensor_type",
         "location",

@@ -1,11 +1,12 @@
 """The streams of a running installation.
 
-One JSON stream feeds three queries, each with its own checkpoint:
+One JSON stream feeds two queries, each with its own checkpoint:
 
-* ``readings``: decode, score, then per micro-batch write the anomalies and after
-  them the events. A batch that is retried replaces its own rows.
+* ``readings``: decode, score, then per micro-batch write the anomalies, after them
+  the events, and last the windows that the batch touched, taken anew from the stored
+  events. So a reading of any age counts in its window. A batch that is retried
+  replaces its own rows.
 * ``rejects``: the records that could not be decoded, with the reason.
-* ``windows``: tumbling metrics, the live state of every window that changed.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from gaugeflow.operators.windows import DEFAULT_WIDTH, window_metrics
 from gaugeflow.plans.snapshot import pipeline_snapshot, snapshot_json
 from gaugeflow.schemas import WINDOW_COLUMNS, WINDOW_METRIC
 from gaugeflow.settings import DetectorSettings
-from gaugeflow.sources.tables import ANOMALIES, EVENTS, append_batch
+from gaugeflow.sources.tables import ANOMALIES, BATCH, EVENTS, RUN, append_batch, read_table, run_of
 from gaugeflow.streaming.detect import score_stream
 
 LIVE_WINDOWS = "live_windows"
+COMPLETED_WINDOWS = "completed_windows"
 REJECTS = "rejects"
 RETENTION = "60 minutes"
 
@@ -83,26 +85,80 @@ def _start(stream: DataFrame, name: str, mode: str, options: PipelineOptions, wr
     return writer.start()
 
 
-def store_scored(options: PipelineOptions) -> Callable[[DataFrame, int], None]:
+Sink = Callable[[DataFrame, int], None]
+
+
+def store_scored(options: PipelineOptions, run: str) -> Sink:
     """Per micro-batch: anomalies first, then all events."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             anomalies = merge_detectors(batch, options.settings)
-            append_batch(anomalies, options.base, ANOMALIES, batch_id)
-            append_batch(batch, options.base, EVENTS, batch_id)
+            append_batch(anomalies, options.base, ANOMALIES, batch_id, run)
+            append_batch(batch, options.base, EVENTS, batch_id, run)
         finally:
             batch.unpersist()
 
     return write
 
 
-def store_changes(path: str) -> Callable[[DataFrame, int], None]:
-    """Per micro-batch: a folder of its own, replaced when the batch is retried."""
+def store_changes(path: str, run: str) -> Sink:
+    """Per micro-batch: a folder of its own, replaced when the batch is retried.
+
+    Times of the batches order the states of a window across runs.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stamped = batch.withColumn("stored_at", F.current_timestamp())
+        stamped.write.mode("overwrite").parquet(f"{path}/{RUN}={run}/{BATCH}={batch_id}")
+
+    return write
+
+
+def touched_windows(spark: SparkSession, base: str, batch: DataFrame, width: str) -> DataFrame:
+    """Metrics of the windows that ``batch`` has readings in, over all stored events.
+
+    Only the batch's days are read, of them only rows in its windows.
+    """
+    slot = F.window("recorded_at", width)
+    keys = batch.select(slot.alias("_slot"), "sensor_type", "location").distinct()
+    last = F.date_trunc("day", F.col("_slot.end") - F.expr("INTERVAL 1 MICROSECOND"))
+    days = keys.select(
+        F.explode(F.sequence(F.to_date("_slot.start"), F.to_date(last))).alias("event_date")
+    )
+    stored = read_table(spark, base, EVENTS).join(days.distinct(), "event_date", "left_semi")
+    rows = stored.withColumn("_slot", slot).join(keys, ["_slot", "sensor_type", "location"], "left_semi")
+    return window_metrics(rows.drop("_slot"), width)
+
+
+def store_windows(options: PipelineOptions, run: str, width: str = DEFAULT_WIDTH) -> Sink:
+    """Per micro-batch whose events are stored: the windows it touched."""
+    store = store_changes(options.path(LIVE_WINDOWS), run)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store(touched_windows(batch.sparkSession, options.base, batch, width), batch_id)
+
+    return write
+
+
+def in_turn(*sinks: Sink) -> Sink:
+    """One sink after the other; a retry repeats all, each replacing its own rows."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            for sink in sinks:
+                sink(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    return write
+
 
+def store_events(options: PipelineOptions, run: str) -> Sink:
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        append_batch(batch, options.base, EVENTS, batch_id, run)
 
     return write
 
@@ -110,33 +166,51 @@ def store_changes(path: str) -> Callable[[DataFrame, int], None]:
 def start_pipeline(
     lines: DataFrame, options: PipelineOptions, payload: str = "value", keep: Sequence[str] = ()
 ) -> dict[str, StreamingQuery]:
-    """Start the three queries over a stream of JSON records.
+    """Start the two queries over a stream of JSON records.
 
     ``keep`` names the arrival-order columns to carry (partition, offset).
     """
     good, rejects = split(decode(lines, payload, tuple(keep)), options.on_missing)
     tiebreak = options.tiebreak or tuple(keep)
     scored = score_stream(good, options.settings, tiebreak)
-    windows = window_metrics(good, watermark=options.watermark)
-    rejects_sink = store_changes(options.path(REJECTS))
-    windows_sink = store_changes(options.path(LIVE_WINDOWS))
-    with state_partitions(lines.sparkSession, options.state_partitions):
+    spark = lines.sparkSession
+    run = run_of(spark, options.checkpoint("readings"))
+    readings_sink = in_turn(store_scored(options, run), store_windows(options, run))
+    rejects_sink = store_changes(
+        options.path(REJECTS), run_of(spark, options.checkpoint(REJECTS))
+    )
+    with state_partitions(spark, options.state_partitions):
         return {
-            "readings": _start(scored, "readings", "append", options, store_scored(options)),
+            "readings": _start(scored, "readings", "append", options, readings_sink),
             REJECTS: _start(rejects, REJECTS, "append", options, rejects_sink),
-            "windows": _start(windows, "windows", "update", options, windows_sink),
         }
 
 
+def _stored_changes(spark: SparkSession, base: str, name: str) -> DataFrame:
+    schema = T.StructType(
+        [
+            *WINDOW_METRIC.fields,
+            T.StructField("stored_at", T.TimestampType()),
+            T.StructField(RUN, T.StringType()),
+            T.StructField(BATCH, T.LongType()),
+        ]
+    )
+    return spark.read.schema(schema).parquet(f"{base.rstrip('/')}/{name}")
+
+
+def stored_windows(spark: SparkSession, base: str, name: str = COMPLETED_WINDOWS) -> DataFrame:
+    """Windows that were written once."""
+    return _stored_changes(spark, base, name).select(*WINDOW_COLUMNS)
+
+
 def live_windows(spark: SparkSession, base: str) -> DataFrame:
-    """The newest state of each window written by the ``windows`` query."""
-    schema = T.StructType([*WINDOW_METRIC.fields, T.StructField("batch_id", T.LongType())])
-    stored = spark.read.schema(schema).parquet(f"{base.rstrip('/')}/{LIVE_WINDOWS}")
+    """The newest state of each window that the pipeline wrote."""
     newest = Window.partitionBy("window_start", "window_end", "sensor_type", "location").orderBy(
-        F.desc("batch_id")
+        F.desc("stored_at"), F.desc(BATCH)
     )
     return (
-        stored.withColumn("_rank", F.row_number().over(newest))
+        _stored_changes(spark, base, LIVE_WINDOWS)
+        .withColumn("_rank", F.row_number().over(newest))
         .filter(F.col("_rank") == 1)
         .select(*WINDOW_COLUMNS)
     )

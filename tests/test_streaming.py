@@ -146,7 +146,7 @@ def test_update_mode_windows_equal_batch(spark, medium, source, tmp_path):
         metrics.writeStream.outputMode("update")
         .option("checkpointLocation", str(tmp_path / "ck"))
         .trigger(availableNow=True)
-        .foreachBatch(pipeline.store_changes(f"{base}/{pipeline.LIVE_WINDOWS}"))
+        .foreachBatch(pipeline.store_changes(f"{base}/{pipeline.LIVE_WINDOWS}", "a"))
         .start()
     )
     running.awaitTermination()
@@ -201,7 +201,7 @@ def test_pipeline_end_to_end(spark, small, tmp_path):
         str(tmp_path / "base"), str(tmp_path / "ck"), available_now=True, watermark="60 days"
     )
     queries = pipeline.start_pipeline(text_stream(spark, lines_dir), options)
-    assert sorted(queries) == ["readings", "rejects", "windows"]
+    assert sorted(queries) == ["readings", "rejects"]
     for query in queries.values():
         query.awaitTermination()
 
@@ -219,16 +219,20 @@ def test_pipeline_end_to_end(spark, small, tmp_path):
     batch = detect.layered_anomalies(readings(spark, small), tiebreak=TIEBREAK)
     assert sorted(r.z_score for r in found.collect()) == sorted(r.z_score for r in batch.collect())
 
-    # Time filters prune days; the same batch written again replaces itself.
+    # Time filters prune days; a batch written again replaces itself, while an equal
+    # number of another run, as after a lost checkpoint, replaces nothing.
     late = tables.since(stored, tables.EVENTS, dt.datetime(2024, 1, 29))
     plan = late._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
     batch_rows = stored.filter("event_date = '2024-01-05'").drop("event_date")
     before = batch_rows.count()
     snapshot = spark.createDataFrame(batch_rows.collect(), batch_rows.schema)
-    tables.append_batch(snapshot, options.base, tables.EVENTS, 0)
+    run = tables.run_of(spark, options.checkpoint("readings"))
+    assert run == tables.run_of(spark, options.checkpoint("readings"))
+    assert run != tables.run_of(spark, str(tmp_path / "another"))
+    tables.append_batch(snapshot, options.base, tables.EVENTS, 0, run)
     assert tables.read_table(spark, options.base, tables.EVENTS).count() == 1000
-    tables.append_batch(snapshot, options.base, tables.EVENTS, 7)
+    tables.append_batch(snapshot, options.base, tables.EVENTS, 0, "another")
     assert tables.read_table(spark, options.base, tables.EVENTS).count() == 1000 + before
 
 
@@ -240,7 +244,7 @@ def test_tables_are_created_once(spark, tmp_path):
     created = {t.name for t in spark.catalog.listTables("gf_test") if not t.isTemporary}
     assert created == {"sensor_events", "anomalies"}
     events = spark.table("gf_test.sensor_events")
-    assert events.columns[-2:] == ["event_date", "batch_id"] and events.isEmpty()
+    assert events.columns[-3:] == ["event_date", "run_id", "batch_id"] and events.isEmpty()
     tables.append_batch(event_frame(spark, event_rows({"s": [1.0] * 7})), base, tables.EVENTS, 0)
     tables.sync_partitions(spark, "gf_test")
     assert spark.table("gf_test.sensor_events").count() == 7
