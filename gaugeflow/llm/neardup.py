@@ -28,8 +28,9 @@ THRESHOLD = 0.8
 #: one of 0.85 with 0.99996; a pair of similarity 0.5 with 0.12.
 BANDS = 32
 ROWS = 8
-#: Bits kept of each draw in a signature, by which pairs of a bucket are sieved.
-SIGN_BITS = 4
+#: Draws of a signature, by which pairs of a bucket are sieved, and bits kept of each.
+SIGN_DRAWS = 1024
+SIGN_BITS = 2
 #: Standard deviations below a link's expected agreement that a pair may have.
 SIGN_SLACK = 4.0
 #: How much rarer shingles count more: a shingle of every text weighs 1, the rarest
@@ -181,9 +182,11 @@ def _rank(log_weight: np.ndarray, r: np.ndarray, log_c: np.ndarray, beta: np.nda
     return (log_c - r * (t - beta) - r).astype(np.float32), t.astype(np.int64)
 
 
-def draws(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarray:
-    """``count`` consistent weighted samples of each text, hashed; every text must have
-    shingles.
+def draws(
+    hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray, count: int, begin: int = 0
+) -> np.ndarray:
+    """``count`` consistent weighted samples of each text, hashed, from the draw numbered
+    ``begin`` on; every text must have shingles.
 
     The draw is the (k, t) of least a over the text's shingles k. r, c and beta are
     functions of k and the draw: an entry of a table of independent variates, picked by
@@ -204,9 +207,10 @@ def draws(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray, count: in
     out = np.zeros((len(starts), count), np.uint64)
     mask = np.uint64((1 << TABLE_BITS) - 1)
     per_mix = 64 // TABLE_BITS
-    for j in range(count):
-        if j % per_mix == 0:
-            mixed = mix64(hashes + np.uint64((0x9E3779B97F4A7C15 * (j + 1)) % (1 << 64)))
+    for j in range(begin, begin + count):
+        if j == begin or j % per_mix == 0:
+            mixed = mix64(hashes + np.uint64((0x9E3779B97F4A7C15 * (j // per_mix * per_mix + 1)) % (1 << 64)))
+            mixed = mixed >> np.uint64(j % per_mix * TABLE_BITS)
         place = (mixed & mask).astype(np.int64)
         mixed = mixed >> np.uint64(TABLE_BITS)
         entry = base + place
@@ -223,7 +227,7 @@ def draws(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray, count: in
         at = at[first]
         e = place[at]
         t = _rank(np.log(weights[at]), r[e], log_c[e], beta[e])[1]
-        out[:, j] = mix64(hashes[at] + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        out[:, j - begin] = mix64(hashes[at] + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return out
 
 
@@ -239,26 +243,20 @@ def _band_rows(shared, bands: int, rows: int):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             keys: list = []
-            signs: list = []
             for a, b in pieces(np.diff(offsets), CHUNK_BYTES):
                 h, counts, level, bounds = _weighed(
                     data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], rarity
                 )
                 some = np.flatnonzero(np.diff(bounds))
                 own: list = [[]] * (b - a)
-                sign: list = [[]] * (b - a)
                 if len(some):
                     kept = np.append(bounds[some], bounds[-1])
                     drawn = draws(h, rarity.weight(level, counts), kept, bands * rows)
-                    both = zip(some.tolist(), _bands(drawn, bands, rows).tolist(), _signature(drawn).tolist())
-                    for i, row, bits in both:
-                        own[i], sign[i] = row, bits
+                    for i, row in zip(some.tolist(), _bands(drawn, bands, rows).tolist()):
+                        own[i] = row
                 keys += own
-                signs += sign
-            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, longs), pa.array(signs, longs)],
-                names=["doc_id", "bands", "signature"],
+                [batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "bands"]
             )
 
     return run
@@ -282,6 +280,25 @@ def _signature(drawn: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=2).view(np.int64)
 
 
+def _sign_rows(begin: int):
+    """Signatures of profiles, from draws that the bands have not used."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            weights = [np.frombuffer(x.as_buffer(), np.float32) for x in batch.column(2)]
+            signs: list = []
+            for a, b in pieces(np.array([8 * len(h) for h in hashes]), CHUNK_BYTES):
+                bounds = np.concatenate([[0], np.cumsum([len(h) for h in hashes[a:b]])])
+                h, w = np.concatenate(hashes[a:b]), np.concatenate(weights[a:b]).astype(np.float64)
+                signs += _signature(draws(h, w, bounds, SIGN_DRAWS, begin)).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(signs, pa.list_(pa.int64()))], names=["doc_id", "signature"]
+            )
+
+    return run
+
+
 def _agreeing(words: int, count: int, threshold: float) -> Column:
     """Whether two signatures, as columns s0.. and t0.., agree as often as a link may.
 
@@ -364,7 +381,7 @@ def _classes(links: DataFrame, node: str) -> DataFrame:
 
 
 def _pairs_left(
-    members: DataFrame, star: DataFrame, signatures: DataFrame, threshold: float, count: int
+    members: DataFrame, star: DataFrame, profiles: DataFrame, threshold: float, count: int
 ) -> DataFrame:
     """Pairs of a bucket that may be links beside those with its leader.
 
@@ -372,9 +389,10 @@ def _pairs_left(
     to the leader differ by more than a link's own distance are no link, and texts
     within that distance of the leader are of its class already. Left are pairs of
     different classes, one of them farther from the leader, in the same or the next
-    ring of that width around it, whose signatures agree often enough.
+    ring of that width around it, whose signatures agree often enough. Only texts of
+    buckets with several classes get a signature; it begins after ``count`` draws.
     """
-    words = -(-count * SIGN_BITS // 64)
+    words = -(-SIGN_DRAWS * SIGN_BITS // 64)
     reach = 1.0 - threshold
     rings = members.join(
         star.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), (1 - F.col("similarity")).alias("far")),
@@ -390,8 +408,14 @@ def _pairs_left(
     )
     mixed = rings.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     mixed = mixed.where("low < high").select("bucket")
-    signs = signatures.select("doc_id", *[F.col("signature")[i].alias(f"s{i}") for i in range(words)])
-    rings = saved(rings.join(mixed, "bucket", "left_semi").join(signs, "doc_id"), "rings")
+    rings = saved(rings.join(mixed, "bucket", "left_semi"), "mixed")
+    signs = (
+        profiles.join(rings.select("doc_id").distinct(), "doc_id", "left_semi")
+        .dropDuplicates(["doc_id"])
+        .mapInArrow(_sign_rows(count), "doc_id long, signature array<long>")
+        .select("doc_id", *[F.col("signature")[i].alias(f"s{i}") for i in range(words)])
+    )
+    rings = saved(rings.join(signs, "doc_id"), "rings")
     outer = rings.where("ring > 0").select(
         "bucket",
         F.explode(F.array(F.col("ring") - 1, F.col("ring"))).alias("ring"),
@@ -403,7 +427,7 @@ def _pairs_left(
     near = F.abs(F.col("far") - F.col("far_x")) <= reach + 1e-6
     return (
         rings.join(outer, ["bucket", "ring"])
-        .where((F.col("class") != F.col("class_x")) & near & _agreeing(words, count, threshold))
+        .where((F.col("class") != F.col("class_x")) & near & _agreeing(words, SIGN_DRAWS, threshold))
         .select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b"))
         .distinct()
     )
@@ -436,9 +460,7 @@ def near_duplicates(
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(Rarity.of(base))  # 1 MB
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    banded = base.mapInArrow(
-        _band_rows(shared, bands, rows), "doc_id long, bands array<long>, signature array<long>"
-    )
+    banded = base.mapInArrow(_band_rows(shared, bands, rows), "doc_id long, bands array<long>")
     banded = saved(banded, "bands")
     ids = base.select("doc_id", digest.alias("digest"))
     texts = ids.groupBy("digest").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies"))
@@ -455,9 +477,7 @@ def near_duplicates(
     profiles = saved(profiles, "profiles")
     pairs = members.where("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     star = _similarities(pairs.distinct(), profiles)
-    signatures = banded.join(candidates, "doc_id", "left_semi").select("doc_id", "signature")
-    signatures = signatures.dropDuplicates(["doc_id"])
-    rest = _similarities(_pairs_left(members, star, signatures, threshold, bands * rows), profiles)
+    rest = _similarities(_pairs_left(members, star, profiles, threshold, bands * rows), profiles)
     classes = _classes(star.union(rest).where(F.col("similarity") >= threshold), "text_id")
     by_text = texts.join(classes, "text_id", "left").select(
         "digest", "text_id", "copies", F.coalesce("component", "text_id").alias("class_id")

@@ -117,10 +117,14 @@ def test_far_pairs_of_a_bucket_are_compared(spark):
         [(1, 2, 0.9), (1, 3, 0.7), (1, 4, 0.65), (1, 5, 0.1), (1, 6, 0.05)], "a long, b long, similarity double"
     )
     members = spark.createDataFrame([(7, i, 1) for i in range(1, 7)], "bucket long, doc_id long, leader long")
-    same = [[7, -1] if i < 6 else [7, 0x0101010101010101] for i in range(1, 7)]
-    signs = spark.createDataFrame([(i, s) for i, s in enumerate(same, 1)], "doc_id long, signature array<long>")
-    got = {tuple(r) for r in neardup._pairs_left(members, star, signs, 0.8, 32).collect()}
-    assert got == {(2, 3), (3, 4)}  # (5, 6) differ in half of their draws
+    pool = np.sort(np.random.default_rng(4).integers(1, 2**63, 300).astype(np.uint64))
+    hashes = [pool[:200] if i < 6 else pool[60:260] for i in range(1, 7)]
+    profiles = spark.createDataFrame(
+        [(i, bytearray(h.tobytes()), bytearray(np.ones(200, np.float32).tobytes())) for i, h in enumerate(hashes, 1)],
+        "doc_id long, hashes binary, weights binary",
+    )
+    got = {tuple(r) for r in neardup._pairs_left(members, star, profiles, 0.8, 32).collect()}
+    assert got == {(2, 3), (3, 4)}  # (5, 6) differ in about half of their draws
 
 
 def test_draws_agree_as_often_as_the_texts_are_similar():
