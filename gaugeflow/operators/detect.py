@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,7 @@ from gaugeflow.functions.severity import (
     z_rank,
     z_severity,
 )
-from gaugeflow.operators.fold import EMPTY, SCORE_COLUMNS, Scores, score_batches
+from gaugeflow.operators.fold import SCORE_COLUMNS, Scores, score_batches
 from gaugeflow.operators.skew import SLICE, HeavyKeys, find_heavy, sorted_slices
 from gaugeflow.operators.slices import carry_states
 from gaugeflow.schemas import ANOMALY_COLUMNS
@@ -106,7 +106,7 @@ def _score_heavy(
     schema = T.StructType([*slices.schema.fields, *_SCORE_FIELDS])
 
     def start_of(chunk):
-        return starts.get(chunk.column(SLICE)[0].as_py(), EMPTY)
+        return starts.get(chunk.column(SLICE)[0].as_py())
 
     return slices.mapInArrow(
         lambda it: score_batches(it, alpha, start_of=start_of, keep=keep), schema
@@ -152,35 +152,8 @@ def z_scores(
     tiebreak: Sequence[str] = (),
     skew: SkewSettings | None = SKEW,
 ) -> DataFrame:
-    """The z-score columns alone, as window aggregates inside the JVM.
-
-    Sensors too heavy for one task take the sliced route of
-    :func:`score_readings`, which gives the same columns.
-    """
-    readings = _readings(events, tiebreak)
-    heavy = _heavy_sensors(events, skew)
-    if heavy is None:
-        return _z_by_window(readings, tiebreak)
-    light_rows, heavy_rows = heavy.split(readings)
-    sliced = _score_heavy(heavy_rows, heavy.rows, DEFAULTS.alpha, tiebreak, None, skew)
-    sliced = sliced.drop("ewma_expected", "ewma_deviation")
-    if light_rows is None:
-        return sliced
-    return _z_by_window(light_rows, tiebreak).unionByName(sliced)
-
-
-def _z_by_window(readings: DataFrame, tiebreak: Sequence[str]) -> DataFrame:
-    series = Window.partitionBy("sensor_id").orderBy(*_order(tiebreak)[1:])
-    so_far = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = series.rowsBetween(Window.unboundedPreceding, -1)
-    spread = F.coalesce(F.nullif(F.stddev_samp("value").over(so_far), F.lit(0.0)), F.lit(1.0))
-    return (
-        readings.withColumn("reading_no", F.row_number().over(series).cast("long"))
-        .withColumn("expected", F.coalesce(F.avg("value").over(before), F.lit(0.0)))
-        .withColumn("_spread", spread)
-        .withColumn("z_score", F.abs(F.col("value") - F.col("expected")) / F.col("_spread"))
-        .drop("_spread")
-    )
+    """The z-score columns alone."""
+    return _score(events, DEFAULTS, tiebreak, skew).drop("ewma_expected", "ewma_deviation")
 
 
 def _anomaly(scored: DataFrame, expected: Column, z_score: Column, severity: Column, keep) -> DataFrame:
@@ -204,7 +177,8 @@ def z_anomalies(
     skew: SkewSettings | None = SKEW,
 ) -> DataFrame:
     """Readings far from their sensor's running mean."""
-    fired = z_scores(events, tiebreak, skew).filter(z_fired(settings))
+    keep = _fired_mask(settings, z=True, ewma=False)
+    fired = _score(events, settings, tiebreak, skew, keep)
     z = F.col("z_score")
     return _anomaly(fired, F.col("expected"), z, z_severity(z), tiebreak)
 

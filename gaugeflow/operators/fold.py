@@ -1,13 +1,15 @@
 """The per-sensor recurrences of both detectors.
 
-``SensorState`` is everything a sensor carries from one reading to the next:
-a running mean and sum of squared deviations (z-score), and an exponentially
-weighted mean and variance (EWMA). Both detectors see every reading, so one
-reading count serves both.
-
-``fold_values`` walks one series; ``fold_lanes`` advances many series in step
-with numpy. They perform the same floating-point operations in the same order
-and give bit-identical results.
+A state is what a sensor carries from one reading to the next: its number of readings,
+the first of them, the sums of the distances from it and of their squares (z-score), and
+an exponentially weighted mean and variance (EWMA). Both detectors see every reading, so
+one count serves both.
+
+The sums have twice the precision of a double, so mean and deviation are those of exact
+arithmetic, rounded once, wherever a series is cut and however long it is. The EWMA is
+the plain recurrence, bit by bit: long series are cut into blocks that advance side by
+side, each after as many earlier readings as make it forget where it started; a block
+that does not meet the end of the one before is walked again from there.
 """
 
 from __future__ import annotations
@@ -19,21 +21,22 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
+from gaugeflow.operators.twofold import add, divide, multiply, negated, running_sums, two_product, two_sum
+
 CHUNK_ROWS = 1 << 17
+#: Fewer lanes than this are walked one by one.
 MIN_LANES = 64
+#: Readings of a long series that one lane scores.
+LANE_ROWS = 256
 
 SCORE_COLUMNS = ("reading_no", "expected", "z_score", "ewma_expected", "ewma_deviation")
+STATE_FIELDS = ("n", "first", "sum_high", "sum_low", "square_high", "square_low", "ewma_mean", "ewma_var")
+_N, _FIRST, _SUM, _SQUARE, _MEAN, _VAR = 0, 1, slice(2, 4), slice(4, 6), 6, 7
 
 
-class SensorState(NamedTuple):
-    n: int = 0
-    mean: float = 0.0
-    m2: float = 0.0
-    ewma_mean: float = 0.0
-    ewma_var: float = 0.0
-
-
-EMPTY = SensorState()
+def empty_states(count: int) -> np.ndarray:
+    """States before the first reading, a row each."""
+    return np.zeros((count, len(STATE_FIELDS)))
 
 
 class Scores(NamedTuple):
@@ -45,125 +48,180 @@ class Scores(NamedTuple):
     ewma_expected: np.ndarray
     ewma_deviation: np.ndarray
 
-    @staticmethod
-    def allocate(rows: int) -> Scores:
-        return Scores(np.empty(rows, np.int64), *(np.empty(rows) for _ in range(4)))
 
+class _Runs(NamedTuple):
+    """Series laid end to end in ``values``, with the states they start in."""
 
-def _root(x: float) -> float:
-    # Sums that overflowed can turn negative or NaN.
-    return math.sqrt(x) if x >= 0 else math.nan
+    values: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    states: np.ndarray
 
+    def spread(self, column: np.ndarray) -> np.ndarray:
+        return np.repeat(column, self.lengths)
 
-def _ratio(distance: float, spread: float) -> float:
-    if spread:
-        return distance / spread
-    return math.inf if distance > 0 else math.nan
 
+def _sums(runs: _Runs):
+    """For every reading the series' first one, and both sums with the reading in them."""
+    known = runs.states[:, _N] > 0
+    first = runs.spread(np.where(known, runs.states[:, _FIRST], runs.values[runs.starts]))
+    gap = two_sum(runs.values, -first)
+    square = two_product(gap[0], gap[0])
+    square = two_sum(square[0], square[1] + 2 * gap[0] * gap[1])
+    sums = running_sums(np.stack([gap[0], square[0]]), np.stack([gap[1], square[1]]), runs.starts, runs.lengths)
+    if known.any():
+        before = runs.states[:, 2:6].T
+        sums = add([np.repeat(before[i::2], runs.lengths, axis=1) for i in (0, 1)], sums)
+    return first, (sums[0][0], sums[1][0]), (sums[0][1], sums[1][1])
 
-def fold_values(values: Iterable[float], state: SensorState, alpha: float) -> tuple[list, SensorState]:
-    """Score one series in order; returns score rows and the state after it."""
-    n, mean, m2, base, var = state
-    decay = 1.0 - alpha
-    rows = []
-    for x in values:
-        n += 1
-        # z-score: the centre excludes this reading, the spread includes it.
-        centre, gap = mean, x - mean
-        mean = centre + gap / n
-        m2 += gap * (x - mean)
-        spread = _root(m2 / (n - 1)) if n > 1 and m2 != 0 else 1.0
-        # EWMA: centre and spread both exclude this reading.
-        drift = x - base
-        ewma_spread = 1.0 if var <= 0 else _root(var)
-        rows.append((n, centre, _ratio(abs(gap), spread), base, _ratio(abs(drift), ewma_spread)))
-        if n == 1:
-            base, var = x, 1.0
-        else:
-            step = alpha * drift
-            base, var = base + step, decay * (var + step * drift)
-    return rows, SensorState(n, mean, m2, base, var)
+
+def _forgets(alpha: float) -> int:
+    """Readings after which less than 2^-80 is left of the state before them."""
+    return math.ceil(80 * math.log(2) / -math.log1p(-alpha))
 
 
-def advance(values: Iterable[float], state: SensorState, alpha: float) -> SensorState:
-    """The state after a series, without scores."""
-    n, mean, m2, base, var = state
+def walk(values: list, mean: float, var: float, fresh: bool, alpha: float) -> tuple[list, list]:
+    """Mean and variance before each reading, and after the last."""
     decay = 1.0 - alpha
+    means, variances = [mean], [var]
     for x in values:
-        n += 1
-        gap = x - mean
-        mean += gap / n
-        m2 += gap * (x - mean)
-        if n == 1:
-            base, var = x, 1.0
+        if fresh:
+            mean, var, fresh = x, 1.0, False
         else:
-            drift = x - base
+            drift = x - mean
             step = alpha * drift
-            base, var = base + step, decay * (var + step * drift)
-    return SensorState(n, mean, m2, base, var)
+            mean, var = mean + step, decay * (var + step * drift)
+        means.append(mean)
+        variances.append(var)
+    return means, variances
 
 
-def fold_lanes(
-    values: np.ndarray,
-    starts: np.ndarray,
-    lengths: np.ndarray,
-    states: list[SensorState],
-    alpha: float,
-) -> tuple[Scores, list[SensorState]]:
-    """Score many series laid end to end in ``values``.
+def _same(a: float, b: float) -> bool:
+    return a == b or (a != a and b != b)
 
-    Lanes are ordered by length, so those still running form a prefix. While at
-    least ``MIN_LANES`` run they advance together; the rest is finished one by one.
+
+def _lanes(runs: _Runs, alpha: float):
+    """Where each lane starts reading, starts scoring and ends, and its series.
+
+    Long series make several lanes if there are then enough to advance together.
     """
-    out = Scores.allocate(len(values))
-    order = np.argsort(-lengths, kind="stable")
-    begin, length = starts[order], lengths[order]
-    lanes = len(order)
-    n = np.array([states[i].n for i in order], np.int64)
-    mean, m2, base, var = (
-        np.array([states[i][field] for i in order]) for field in range(1, 5)
-    )
-    decay = 1.0 - alpha
-    together = int(length[MIN_LANES - 1]) if lanes >= MIN_LANES else 0
-    running = np.searchsorted(-length, -np.arange(together), side="left")
+    warm = _forgets(alpha)
+    blocks = np.where(runs.lengths > warm + 2 * LANE_ROWS, -(-runs.lengths // LANE_ROWS), 1)
+    if blocks[blocks > 1].sum() < MIN_LANES:
+        blocks[:] = 1
+    first = np.concatenate(([0], np.cumsum(blocks)[:-1]))
+    within = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    series = np.repeat(np.arange(len(blocks)), blocks)
+    size = np.where(blocks > 1, LANE_ROWS, runs.lengths)
+    scores_from = runs.starts[series] + within * size[series]
+    ends = np.minimum(scores_from + size[series], (runs.starts + runs.lengths)[series])
+    reads_from = np.maximum(runs.starts[series], scores_from - np.where(within > 0, warm, 0))
+    return reads_from, scores_from, ends, series
+
+
+def _moving(runs: _Runs, alpha: float):
+    """EWMA mean and variance before every reading, and after each series."""
+    reads_from, scores_from, ends, series = _lanes(runs, alpha)
+    lanes, decay = len(series), 1.0 - alpha
+    order = np.argsort(reads_from - ends, kind="stable")
+    begin, steps = reads_from[order], (ends - reads_from)[order]
+    warm = (scores_from - reads_from)[order]
+    # A lane that starts in mid-series has no state; its first reading sets one.
+    own = reads_from[order] == runs.starts[series[order]]
+    start = np.where(own[:, None], runs.states[series[order]], 0.0)
+    mean, var, fresh = start[:, _MEAN].copy(), start[:, _VAR].copy(), start[:, _N] == 0
+    means, variances = np.empty(len(runs.values)), np.empty(len(runs.values))
+    together = int(steps[MIN_LANES - 1]) if lanes >= MIN_LANES else 0
+    running = np.searchsorted(-steps, -np.arange(together), side="left")
+    for step_no, k in enumerate(running):
+        at = begin[:k] + step_no
+        x = runs.values[at]
+        scored = warm[:k] <= step_no
+        means[at[scored]], variances[at[scored]] = mean[:k][scored], var[:k][scored]
+        drift = x - mean[:k]
+        step = alpha * drift
+        new_mean, new_var = mean[:k] + step, decay * (var[:k] + step * drift)
+        if step_no == 0:
+            new_mean, new_var = np.where(fresh[:k], x, new_mean), np.where(fresh[:k], 1.0, new_var)
+        mean[:k], var[:k] = new_mean, new_var
+    for lane in np.flatnonzero(steps > together):
+        lo, hi = begin[lane] + together, begin[lane] + steps[lane]
+        walked = walk(runs.values[lo:hi].tolist(), mean[lane], var[lane], bool(fresh[lane]) and not together, alpha)
+        skip = max(0, warm[lane] - together)
+        means[lo + skip : hi], variances[lo + skip : hi] = (w[skip:-1] for w in walked)
+        mean[lane], var[lane] = walked[0][-1], walked[1][-1]
+    after = np.empty((lanes, 2))
+    after[order, 0], after[order, 1] = mean, var
+
+    for lane in np.flatnonzero(series[1:] == series[:-1]) + 1:
+        lo, hi = scores_from[lane], ends[lane]
+        mean_now, var_now = after[lane - 1].tolist()
+        if _same(mean_now, means[lo]) and _same(var_now, variances[lo]):
+            continue
+        walked = walk(runs.values[lo:hi].tolist(), mean_now, var_now, False, alpha)
+        means[lo:hi], variances[lo:hi] = walked[0][:-1], walked[1][:-1]
+        after[lane] = walked[0][-1], walked[1][-1]
+    last = np.flatnonzero(np.append(series[1:] != series[:-1], True))
+    return means, variances, after[last]
+
+
+def _after(runs: _Runs, sums, squares, first, moved) -> np.ndarray:
+    last = runs.starts + runs.lengths - 1
+    counts = runs.states[:, _N] + runs.lengths
+    return np.column_stack([counts, first[last], *(part[last] for part in (*sums, *squares)), moved])
 
+
+def advance(values: np.ndarray, state: np.ndarray, alpha: float) -> np.ndarray:
+    """The state after one stretch of a series, without scores."""
+    if not len(values):
+        return state
+    runs = _Runs(values, np.array([0]), np.array([len(values)]), state[None, :])
     with np.errstate(all="ignore"):
-        for step_no, k in enumerate(running):
-            at = begin[:k] + step_no
-            x = values[at]
-            n[:k] += 1
-            count = n[:k]
-            centre = mean[:k].copy()
-            gap = x - centre
-            mean[:k] = centre + gap / count
-            m2[:k] += gap * (x - mean[:k])
-            spread = np.sqrt(m2[:k] / np.maximum(count - 1, 1))
-            spread[(count < 2) | (m2[:k] == 0)] = 1.0
-            ewma_centre = base[:k].copy()
-            drift = x - ewma_centre
-            ewma_spread = np.where(var[:k] <= 0, 1.0, np.sqrt(var[:k]))
-            out.reading_no[at] = count
-            out.expected[at] = centre
-            out.z_score[at] = np.abs(gap) / spread
-            out.ewma_expected[at] = ewma_centre
-            out.ewma_deviation[at] = np.abs(drift) / ewma_spread
-            step = alpha * drift
-            first = count == 1
-            base[:k] = np.where(first, x, ewma_centre + step)
-            var[:k] = np.where(first, 1.0, decay * (var[:k] + step * drift))
-
-    ends: list[SensorState] = [EMPTY] * lanes
-    for lane in range(lanes):
-        state = SensorState(
-            int(n[lane]), float(mean[lane]), float(m2[lane]), float(base[lane]), float(var[lane])
-        )
-        if length[lane] > together:
-            lo, hi = begin[lane] + together, begin[lane] + length[lane]
-            rows, state = fold_values(values[lo:hi].tolist(), state, alpha)
-            for column, scored in zip(out, zip(*rows)):
-                column[lo:hi] = scored
-        ends[order[lane]] = state
-    return out, ends
+        first, sums, squares = _sums(runs)
+        return _after(runs, sums, squares, first, _moving(runs, alpha)[2])[0]
+
+
+def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The state after two stretches, the second of them folded on its own; the EWMA
+    part is the second's."""
+    if left[_N] == 0:
+        return right
+    with np.errstate(all="ignore"):
+        gap = two_sum(right[_FIRST], -left[_FIRST])
+        moved = multiply(gap, (right[_N], 0.0))
+        sums = add(add(left[_SUM], right[_SUM]), moved)
+        cross = multiply(gap, add(right[_SUM], add(right[_SUM], moved)))
+        squares = add(add(left[_SQUARE], right[_SQUARE]), cross)
+    return np.array([left[_N] + right[_N], left[_FIRST], *sums, *squares, right[_MEAN], right[_VAR]])
+
+
+def score_runs(
+    values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, states: np.ndarray, alpha: float
+) -> tuple[Scores, np.ndarray]:
+    """Score series laid end to end, each from its state; returns the states after them.
+
+    The z-score's centre leaves the reading out, its spread has it in; centre and spread
+    of the EWMA both leave it out. A spread of nothing counts as one. Readings so far
+    apart that a square overflows have no number for a score.
+    """
+    runs = _Runs(values, starts, lengths, states)
+    with np.errstate(all="ignore"):
+        first, sums, squares = _sums(runs)
+        number = np.arange(len(values)) - runs.spread(starts) + runs.spread(states[:, _N]) + 1
+        earlier = [np.concatenate(([0.0], part[:-1])) for part in sums]
+        for part, before in zip(earlier, states[:, _SUM].T):
+            part[starts] = before
+        centre = divide(earlier, np.maximum(number - 1, 1))
+        high, low = two_sum(first, centre[0])
+        expected = np.where(number > 1, high + (low + centre[1]), 0.0)
+        scatter = add(squares, negated(divide(multiply(sums, sums), number)))
+        spread = np.sqrt(sum(divide(scatter, np.maximum(number - 1, 1))))
+        spread[(number < 2) | (scatter[0] == 0)] = 1.0
+        z_score = np.abs(values - expected) / spread
+        mean, var, moved = _moving(runs, alpha)
+        deviation = np.abs(values - mean) / np.where(var <= 0, 1.0, np.sqrt(var))
+    scores = Scores(number.astype(np.int64), expected, z_score, mean, deviation)
+    return scores, _after(runs, sums, squares, first, moved)
 
 
 def rechunk(batches: Iterable[pa.RecordBatch], rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
@@ -201,7 +259,7 @@ Keep = Callable[[Scores], np.ndarray]
 def score_batches(
     batches: Iterable[pa.RecordBatch],
     alpha: float,
-    start_of: Callable[[pa.RecordBatch], SensorState] | None = None,
+    start_of: Callable[[pa.RecordBatch], np.ndarray | None] | None = None,
     keep: Keep | None = None,
 ) -> Iterator[pa.RecordBatch]:
     """Append the score columns to batches sorted by sensor and time.
@@ -211,18 +269,19 @@ def score_batches(
     state in which the very first series starts; ``keep`` may drop scored rows
     before they travel back to the JVM.
     """
-    open_key, open_state, begun = None, EMPTY, False
+    open_key, open_state, begun = None, None, False
     for chunk in rechunk(batches):
         keys = chunk.column("sensor_id")
         starts, lengths = run_bounds(keys)
-        states = [EMPTY] * len(starts)
-        if not begun:
-            states[0] = start_of(chunk) if start_of else EMPTY
-            begun = True
-        elif keys[0].as_py() == open_key:
-            states[0] = open_state
+        states = empty_states(len(starts))
+        if begun:
+            start = open_state if keys[0].as_py() == open_key else None
+        else:
+            start, begun = start_of(chunk) if start_of else None, True
+        if start is not None:
+            states[0] = start
         values = chunk.column("value").to_numpy(zero_copy_only=False)
-        scores, ends = fold_lanes(values, starts, lengths, states, alpha)
+        scores, ends = score_runs(values, starts, lengths, states, alpha)
         open_key, open_state = keys[len(keys) - 1].as_py(), ends[-1]
         if keep is not None:
             mask = keep(scores)

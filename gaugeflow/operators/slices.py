@@ -4,15 +4,15 @@ A heavy sensor's series lies in several consecutive slices (see
 :mod:`gaugeflow.operators.skew`). Each slice needs the state its first series
 starts in:
 
-* The running mean and squared deviations of two adjacent stretches combine
-  exactly in one formula, so one pass over all slices in parallel is enough.
-* The exponentially weighted part has no such formula that is exact in floating
-  point, but it forgets: after one slice its state hardly ever depends on where
-  it started. So each slice is first folded from scratch, then again from the
-  end of its predecessor, until no end changes any more. Every round settles at
-  least one more slice of each series, normally all of them in the first; slices
-  holding a single constant value, where forgetting can stall, are advanced
-  arithmetically without reading them.
+* The sums of two adjacent stretches combine by formula, with so much precision that
+  the scores are those of one pass; so one pass over all slices in parallel is enough.
+* The exponentially weighted part forgets: after one slice its state hardly ever
+  depends on where it started. So each slice is first folded from scratch, then again
+  from the end of its predecessor, until every slice has met the exact state it starts
+  in. Every round settles at least one more slice of each series, normally all of them
+  in the first; slices holding a single constant value, where forgetting can stall, are
+  advanced arithmetically without reading them. Series that forget too slowly for
+  ``EXACT_ROUNDS`` rounds are held to ``_TOLERANCE`` from then on.
 
 What passes through the driver is two states per slice, and the number of slices
 is bounded by ``SkewSettings.max_slices``.
@@ -24,19 +24,22 @@ import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.operators.fold import EMPTY, SensorState, advance, rechunk, run_bounds
+from gaugeflow.operators.fold import STATE_FIELDS, advance, combine, empty_states, rechunk, run_bounds, walk
 from gaugeflow.operators.skew import SLICE
 
-EDGE_SCHEMA = (
-    f"{SLICE} int, opens boolean, closes boolean, sensor_id string, n long, mean double, "
-    "m2 double, ewma_mean double, ewma_var double, low double, high double"
+_NUMBERS = (*STATE_FIELDS, "low", "high")
+EDGE_SCHEMA = f"{SLICE} int, opens boolean, closes boolean, sensor_id string, " + ", ".join(
+    f"{name} double" for name in _NUMBERS
 )
+EXACT_ROUNDS = 8
 _TOLERANCE = 1e-12
+_MEAN, _VAR = STATE_FIELDS.index("ewma_mean"), STATE_FIELDS.index("ewma_var")
 
 
 @dataclass
@@ -47,25 +50,25 @@ class Edge:
     opens: bool
     closes: bool
     sensor_id: str | None
-    end: SensorState
+    end: np.ndarray
     low: float
     high: float
 
 
 class _Stretch:
-    def __init__(self, key: str | None, state: SensorState) -> None:
-        self.key, self.state = key, state
+    def __init__(self, key: str | None, state: np.ndarray | None = None) -> None:
+        self.key, self.state = key, empty_states(1)[0] if state is None else state
         self.low, self.high = math.inf, -math.inf
 
     def extend(self, values: pa.Array, alpha: float) -> None:
         bounds = pc.min_max(values)
         self.low = min(self.low, bounds["min"].as_py())
         self.high = max(self.high, bounds["max"].as_py())
-        self.state = advance(values.to_pylist(), self.state, alpha)
+        self.state = advance(values.to_numpy(zero_copy_only=False), self.state, alpha)
 
 
 def edge_batches(
-    batches: Iterable[pa.RecordBatch], alpha: float, starts: dict[int, SensorState]
+    batches: Iterable[pa.RecordBatch], alpha: float, starts: dict[int, np.ndarray]
 ) -> Iterator[pa.RecordBatch]:
     """At most two rows per slice: its first and its last series stretch."""
     slice_no, first, current = None, None, None
@@ -74,14 +77,14 @@ def edge_batches(
         run_starts, run_lengths = run_bounds(keys)
         if current is None:
             slice_no = chunk.column(SLICE)[0].as_py()
-            first = current = _Stretch(keys[0].as_py(), starts.get(slice_no, EMPTY))
+            first = current = _Stretch(keys[0].as_py(), starts.get(slice_no))
         # Only the chunk's first run can belong to the stretch in hand, and only
         # its last run can still be open when the chunk ends.
         if keys[0].as_py() == current.key:
             current.extend(values.slice(0, run_lengths[0]), alpha)
         if len(run_starts) > 1 or keys[0].as_py() != current.key:
             tail = run_starts[-1]
-            current = _Stretch(keys[int(tail)].as_py(), EMPTY)
+            current = _Stretch(keys[int(tail)].as_py())
             current.extend(values.slice(tail, run_lengths[-1]), alpha)
     if current is None:
         return
@@ -92,7 +95,7 @@ def edge_batches(
             "opens": s is first,
             "closes": s is current,
             "sensor_id": s.key,
-            **s.state._asdict(),
+            **dict(zip(STATE_FIELDS, s.state.tolist())),
             "low": s.low,
             "high": s.high,
         }
@@ -107,14 +110,13 @@ _EDGE_ARROW = pa.schema(
         ("opens", pa.bool_()),
         ("closes", pa.bool_()),
         ("sensor_id", pa.string()),
-        ("n", pa.int64()),
-        *[(name, pa.float64()) for name in ("mean", "m2", "ewma_mean", "ewma_var", "low", "high")],
+        *[(name, pa.float64()) for name in _NUMBERS],
     ]
 )
 
 
 def read_edges(
-    slices: DataFrame, alpha: float, starts: dict[int, SensorState], only: list[int] | None = None
+    slices: DataFrame, alpha: float, starts: dict[int, np.ndarray], only: list[int] | None = None
 ) -> list[Edge]:
     source = slices.select(SLICE, "sensor_id", "value")
     if only is not None:
@@ -126,7 +128,7 @@ def read_edges(
             r["opens"],
             r["closes"],
             r["sensor_id"],
-            SensorState(r["n"], r["mean"], r["m2"], r["ewma_mean"], r["ewma_var"]),
+            np.array([r[name] for name in STATE_FIELDS]),
             r["low"],
             r["high"],
         )
@@ -135,70 +137,67 @@ def read_edges(
     return sorted(edges, key=lambda e: (e.slice_no, not e.opens))
 
 
-def combine(left: SensorState, right: SensorState) -> tuple[int, float, float]:
-    """Count, mean and squared deviations of two stretches put together."""
-    if left.n == 0:
-        return right.n, right.mean, right.m2
-    n = left.n + right.n
-    shift = right.mean - left.mean
-    mean = left.mean + shift * (right.n / n)
-    return n, mean, left.m2 + right.m2 + shift * shift * (left.n * right.n / n)
-
-
-def repeat_value(x: float, times: int, state: SensorState, alpha: float) -> SensorState:
+def repeat_value(x: float, times: int, state: np.ndarray, alpha: float) -> np.ndarray:
     """The state after ``times`` readings of ``x``, EWMA part only.
 
     Stops early once a reading no longer changes anything.
     """
+    mean, var, fresh = float(state[_MEAN]), float(state[_VAR]), bool(state[0] == 0)
     for _ in range(times):
-        after = advance((x,), state, alpha)
-        if after.ewma_mean == state.ewma_mean and after.ewma_var == state.ewma_var and state.n > 0:
+        (_, new_mean), (_, new_var) = walk([x], mean, var, fresh, alpha)
+        if not fresh and (new_mean, new_var) == (mean, var):
             break
-        state = after
-    return state
+        mean, var, fresh = new_mean, new_var, False
+    after = state.copy()
+    after[_MEAN], after[_VAR] = mean, var
+    return after
 
 
-def _settled(a: SensorState, b: SensorState) -> bool:
+def _settled(a: np.ndarray | None, b: np.ndarray, exact: bool) -> bool:
     """Whether two EWMA states give the same scores for whatever follows."""
-    if (a.ewma_mean, a.ewma_var) == (b.ewma_mean, b.ewma_var):
+    if a is None:
+        return False
+    if np.array_equal(a[[_MEAN, _VAR]], b[[_MEAN, _VAR]], equal_nan=True):
         return True
-    if not (a.ewma_var > 0 and b.ewma_var > 0):
+    if exact or not (a[_VAR] > 0 and b[_VAR] > 0):
         return False
-    return (
-        abs(a.ewma_mean - b.ewma_mean) <= _TOLERANCE * math.sqrt(min(a.ewma_var, b.ewma_var))
-        and abs(a.ewma_var - b.ewma_var) <= _TOLERANCE * min(a.ewma_var, b.ewma_var)
+    least = min(a[_VAR], b[_VAR])
+    return bool(
+        abs(a[_MEAN] - b[_MEAN]) <= _TOLERANCE * math.sqrt(least) and abs(a[_VAR] - b[_VAR]) <= _TOLERANCE * least
     )
 
 
-def carry_states(slices: DataFrame, alpha: float) -> dict[int, SensorState]:
+def carry_states(slices: DataFrame, alpha: float) -> dict[int, np.ndarray]:
     """For each slice that opens in mid-series, the state its first row meets."""
     edges = read_edges(slices, alpha, {})
-    folded_from: dict[int, SensorState] = {}  # start used for the EWMA end of a slice
-    folded_end: dict[int, SensorState] = {}
+    folded_from: dict[int, np.ndarray] = {}  # start used for the EWMA end of a slice
+    folded_end: dict[int, np.ndarray] = {}
+    rounds = 0
 
     while True:
-        starts: dict[int, SensorState] = {}
+        starts: dict[int, np.ndarray] = {}
         stale: list[int] = []
-        previous: tuple[str | None, SensorState] | None = None
+        previous: tuple[str | None, np.ndarray] | None = None
         for edge, following in zip(edges, [*edges[1:], None]):
             continues = edge.opens and previous is not None and previous[0] == edge.sensor_id
             if not continues:
                 end = edge.end
             else:
                 start = starts[edge.slice_no] = previous[1]
-                n, mean, m2 = combine(start, edge.end)
+                end = combine(start, edge.end)
                 if edge.low == edge.high:
-                    ewma = repeat_value(edge.low, edge.end.n, start, alpha)
+                    moved = repeat_value(edge.low, int(edge.end[0]), start, alpha)
                 else:
-                    ewma = folded_end.get(edge.slice_no, edge.end)
+                    moved = folded_end.get(edge.slice_no, edge.end)
                     feeds = edge.closes and following and following.sensor_id == edge.sensor_id
-                    if feeds and not _settled(folded_from.get(edge.slice_no, EMPTY), start):
+                    if feeds and not _settled(folded_from.get(edge.slice_no), start, rounds < EXACT_ROUNDS):
                         stale.append(edge.slice_no)
-                end = SensorState(n, mean, m2, ewma.ewma_mean, ewma.ewma_var)
+                end[[_MEAN, _VAR]] = moved[[_MEAN, _VAR]]
             if edge.closes:
                 previous = (edge.sensor_id, end)
         if not stale:
             return starts
+        rounds += 1
         for edge in read_edges(slices, alpha, starts, only=stale):
             if edge.opens:
                 folded_from[edge.slice_no] = starts[edge.slice_no]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+from fractions import Fraction
 
 START = dt.datetime(2024, 3, 1, 12, 0, 0)
 
@@ -17,14 +18,13 @@ class SequentialDetectors:
         self.z_state, self.ewma_state = {}, {}
 
     def z(self, sensor, x):
-        count, mean, m2 = self.z_state.get(sensor, (0, 0.0, 0.0))
-        expected = mean
-        count += 1
-        delta = x - mean
-        mean += delta / count
-        m2 += delta * (x - mean)
-        self.z_state[sensor] = (count, mean, m2)
-        sd = 1.0 if count < 2 or m2 == 0 else math.sqrt(m2 / (count - 1))
+        """In rationals; mean and variance are rounded once each."""
+        count, total, squares = self.z_state.get(sensor, (0, Fraction(0), Fraction(0)))
+        expected = float(total / count) if count else 0.0
+        count, total, squares = count + 1, total + Fraction(x), squares + Fraction(x) ** 2
+        self.z_state[sensor] = (count, total, squares)
+        scatter = squares - total * total / count
+        sd = 1.0 if count < 2 or scatter == 0 else math.sqrt(float(scatter / (count - 1)))
         return count, expected, abs(x - expected) / sd
 
     def ewma(self, sensor, x):

@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from helpers import SequentialDetectors, event_frame, event_rows, spiky, wavy
+from helpers import SequentialDetectors, event_frame, event_rows, spiky
 from pyspark.sql import functions as F
 
 from gaugeflow import DetectorSettings
@@ -9,11 +9,8 @@ from gaugeflow.functions import severity as sv
 from gaugeflow.operators import detect
 from gaugeflow.plans.inputs import TIEBREAK, readings
 
-NOISE = [22.0, 22.1, 22.2]
-
-
-def _noisy(n):
-    return [NOISE[i % 3] for i in range(n)]
+LEVEL = 64.0
+NUDGE = 1e-9
 
 
 def _run(spark, detector, series, settings=DetectorSettings()):
@@ -21,83 +18,101 @@ def _run(spark, detector, series, settings=DetectorSettings()):
     return detector(events, settings, TIEBREAK).orderBy("event_id").collect()
 
 
-def _fired_last(rows, series):
-    """Anomalies on the last reading of the only series."""
-    length = len(next(iter(series.values())))
-    return [r for r in rows if r.event_id == length - 1]
+def _swinging(n):
+    """Mean LEVEL and a square distance of one from it after every even number."""
+    return [LEVEL + (-1) ** i for i in range(n)]
 
 
-Z_CASES = [
-    ("near the mean", _noisy(50) + [22.15], False),
-    ("far off", _noisy(50) + [999.0], True),
-    ("still warming up", [9999.0] * 9, False),
-]
+def _at_z(score, before=60):
+    """A swinging series and a reading that scores ``score`` after it.
 
+    With ``before`` readings of square distance one, a reading at distance t has the
+    z-score t / sqrt(1 + t^2 / (before + 1)).
+    """
+    return [*_swinging(before), LEVEL + score / math.sqrt(1 - score * score / (before + 1))]
 
-@pytest.mark.parametrize("name,values,fires", Z_CASES)
-def test_z_detector(spark, name, values, fires):
-    series = {"s1": values}
-    found = _fired_last(_run(spark, detect.z_anomalies, series), series)
-    assert bool(found) == fires
-    assert all(r.z_score >= 2.0 for r in found)
 
+def _at_deviation(score, before=30, alpha=0.1):
+    """A flat series, whose moving variance is what is left of one, and a reading that
+    deviates by ``score``."""
+    return [*[LEVEL] * before, LEVEL + score * math.sqrt((1 - alpha) ** (before - 1))]
 
-@pytest.mark.parametrize("spike", [100.0, 500.0, 2000.0, 9999.0])
-def test_z_tiers_after_a_hundred_readings_are_critical(spark, spike):
-    series = {"s1": _noisy(100) + [spike]}
-    (found,) = _fired_last(_run(spark, detect.z_anomalies, series), series)
-    assert found.severity == "critical"
-    assert math.isclose(found.z_score, math.sqrt(101), rel_tol=1e-2)
 
+def _tiers_of_last(spark, detector, scores, series_of):
+    """The severity of each series' last reading, None where it is silent."""
+    series = {f"s{i}": series_of(score) for i, score in enumerate(scores)}
+    last = {}
+    for r in _run(spark, detector, series):
+        if r.value == series[r.sensor_id][-1]:
+            last[r.sensor_id] = r.severity
+    return [last.get(sensor) for sensor in series]
 
-def test_sensors_do_not_affect_each_other(spark):
-    series = {"s1": wavy(50) + [9999.0], "s2": wavy(50) + [22.0]}
-    for detector in (detect.z_anomalies, detect.ewma_anomalies, detect.layered_anomalies):
-        assert {r.sensor_id for r in _run(spark, detector, series)} == {"s1"}
 
+# The bounds of the tiers; the z-score's count as reached, those of the
+# EWMA must be exceeded.
+Z_BOUNDS = [(2.0, None, "low"), (3.0, "low", "medium"), (4.0, "medium", "high"), (5.0, "high", "critical")]
+EWMA_BOUNDS = [(3.0, None, "low"), (4.0, "low", "medium"), (5.0, "medium", "high"), (7.0, "high", "critical")]
 
-def test_event_fields_are_copied(spark):
-    events = event_frame(spark, event_rows({"s1": _noisy(50) + [9999.0]}))
-    (found,) = detect.z_anomalies(events, tiebreak=TIEBREAK).collect()
-    source = events.filter("value = 9999").first()
-    for name in ("sensor_id", "sensor_type", "location", "value"):
-        assert found[name] == source[name]
-    assert found.detected_at == source.recorded_at
-    assert found.z_score > 0
-    assert math.isclose(found.expected, sum(_noisy(50)) / 50)
 
+@pytest.mark.parametrize(
+    "detector,bounds,series_of",
+    [(detect.z_anomalies, Z_BOUNDS, _at_z), (detect.ewma_anomalies, EWMA_BOUNDS, _at_deviation)],
+)
+def test_tiers_change_at_their_bounds(spark, detector, bounds, series_of):
+    scores = [bound * (1 + sign * NUDGE) for bound, _, _ in bounds for sign in (-1, 1)]
+    expected = [tier for _, below, above in bounds for tier in (below, above)]
+    assert _tiers_of_last(spark, detector, scores, series_of) == expected
 
-EWMA_CASES = [
-    ("warming up, the twentieth is active", [99999.0] * 20, None),
-    *[("near the baseline", wavy(50) + [x], None) for x in (22.0, 22.1, 22.02, 22.05, 21.95)],
-    ("spike of 200", wavy(100) + [200.0], {"high", "critical"}),
-    ("spike of 9999", wavy(100) + [9999.0], {"critical"}),
-    *[("flat then spike", [20.0] * 100 + [x], {"critical"}) for x in (100.0, 500.0, 9999.0)],
-]
 
+def test_a_z_score_at_the_threshold_fires(spark):
+    alone = {"s": [*[LEVEL] * 15, LEVEL + 1.0]}  # sqrt(16) after a flat stretch
+    for threshold, fires in ((4.0, True), (4.0 + NUDGE, False)):
+        found = _run(spark, detect.z_anomalies, alone, DetectorSettings(z_threshold=threshold))
+        assert bool(found) == fires
 
-@pytest.mark.parametrize("name,values,tiers", EWMA_CASES)
-def test_ewma_detector(spark, name, values, tiers):
-    series = {"s1": values}
-    found = _fired_last(_run(spark, detect.ewma_anomalies, series), series)
-    assert bool(found) == bool(tiers)
-    assert all(r.severity in tiers and r.z_score > 3.0 for r in found)
 
+def test_a_deviation_at_the_threshold_is_silent(spark):
+    # A moving variance of 2^-24 and a distance of 2^-11: exactly two deviations.
+    values = {"s": [*[LEVEL] * 25, LEVEL + 2.0**-11]}
+    for threshold, fires in ((2.0, False), (2.0 - NUDGE, True)):
+        settings = DetectorSettings(ewma_threshold=threshold, alpha=0.5)
+        assert bool(_run(spark, detect.ewma_anomalies, values, settings)) == fires
 
-LAYERED_CASES = [
-    ("flat then spike", [20.0] * 100 + [9999.0], {"critical"}),
-    ("normal", wavy(100) + [22.05], None),
-    ("both silent in warm-up", [9999.0] * 19, None),
-    ("smaller spike", [20.0] * 100 + [500.0], {"low", "medium", "high", "critical"}),
-]
 
+@pytest.mark.parametrize("detector,first_active", [(detect.z_anomalies, 10), (detect.ewma_anomalies, 20)])
+def test_detectors_warm_up(spark, detector, first_active):
+    """A jump is silent as the last reading of the warm-up and fires as the next one."""
+    series = {f"s{n}": [*_swinging(n - 1), LEVEL + 1e6] for n in (first_active - 1, first_active)}
+    found = {r.sensor_id for r in _run(spark, detector, series) if r.value == LEVEL + 1e6}
+    assert found == {f"s{first_active}"}
 
-@pytest.mark.parametrize("name,values,tiers", LAYERED_CASES)
-def test_layered_detector(spark, name, values, tiers):
-    series = {"s1": values}
-    found = _run(spark, detect.layered_anomalies, series)
-    assert bool(found) == bool(tiers)
-    assert all(r.severity in tiers for r in found)
+
+def test_sensors_do_not_affect_each_other(spark):
+    series = {"loud": [*_swinging(40), LEVEL + 1e4], "calm": [*_swinging(40), LEVEL]}
+    for detector in (detect.z_anomalies, detect.ewma_anomalies, detect.layered_anomalies):
+        assert {r.sensor_id for r in _run(spark, detector, series)} == {"loud"}
+
+
+def test_event_fields_are_copied(spark):
+    values = [*_swinging(40), LEVEL + 1e4]
+    events = event_frame(spark, event_rows({"s1": values}, sensor_type="flow", location="dock"))
+    (found,) = detect.z_anomalies(events, tiebreak=TIEBREAK).collect()
+    source = events.filter(f"event_id = {len(values) - 1}").first()
+    for name in ("sensor_id", "sensor_type", "location", "value"):
+        assert found[name] == source[name]
+    assert found.detected_at == source.recorded_at
+    assert found.expected == LEVEL
+
+
+@pytest.mark.parametrize("z_score", [1.9, 2.5, 3.5, 4.5, 6.0])
+def test_one_detector_keeps_its_tier_and_both_raise_the_graver(spark, z_score):
+    (tier,) = _tiers_of_last(spark, detect.layered_anomalies, [z_score], _at_z)
+    alone = _tiers_of_last(spark, detect.z_anomalies, [z_score], _at_z)[0]
+    moving = _tiers_of_last(spark, detect.ewma_anomalies, [z_score], _at_z)[0]
+    rank = {None: 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
+    names = {v: k for k, v in rank.items()}
+    both = min(4, max(rank[alone], rank[moving]) + 1) if alone and moving else rank[alone or moving]
+    assert tier == names[both]
 
 
 @pytest.mark.parametrize(
