@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -72,21 +73,23 @@ def arriving_readings(
     """
     raw = spark.read.schema(RAW_EVENTS).parquet(f"{sf_dir}/events.parquet")
     slices = max(least, -(-raw.count() // ARRIVAL_ROWS))
-    shares = [i / slices for i in range(1, slices)]
-    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
-    cuts = raw.agg(F.percentile_approx(seconds, shares, 10_000)).first()[0] or []
-    bounds = [None, *cuts, None]
-    spans = list(zip(bounds, bounds[1:]))
-    for low, high in reversed(spans) if newest_first else spans:
-        own = raw
-        if low is not None:
-            own = own.where(seconds >= low)
-        if high is not None:
-            own = own.where(seconds < high)
-        own.coalesce(1).write.mode("append").parquet(folder)  # bounded by the slices
+    # One job; events without a time are in the first slice.
+    raw.repartitionByRange(slices, F.col("ts").asc_nulls_first()).write.parquet(folder)
+    _arrive_in_turn(spark, folder, newest_first)
     return as_readings(parquet_stream(spark, RAW_EVENTS, folder, max_files=1), zoned=True)
 
 
+def _arrive_in_turn(spark: SparkSession, folder: str, newest_first: bool) -> None:
+    """Let the files' times tell the order of their slices: streams read the oldest first."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(s.getPath().toString() for s in files.listStatus(path) if s.getPath().getName().startswith("part-"))
+    began = int(time.time() * 1000) - 1000 * len(parts)
+    for i, part in enumerate(reversed(parts) if newest_first else parts):
+        files.setTimes(jvm.org.apache.hadoop.fs.Path(part), began + 1000 * i, -1)
+
+
 def as_of_day_before_end(spark: SparkSession, sf_dir: str) -> dt.datetime:
     """The point in time the queries look from: a day before the last event."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")

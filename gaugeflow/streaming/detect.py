@@ -1,9 +1,11 @@
-"""The detectors on a stream: one state per sensor, kept by the state store."""
+"""The detectors on a stream: the states of many sensors in one bucket, kept by the
+state store."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,44 +14,92 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaugeflow.functions.codec import tags_from_json, tags_to_json
 from gaugeflow.operators.detect import merge_detectors
-from gaugeflow.operators.fold import EMPTY, SCORE_COLUMNS, SensorState, fold_values
+from gaugeflow.operators.fold import SCORE_COLUMNS, STATE_FIELDS, empty_states, score_runs
 from gaugeflow.settings import DetectorSettings
 
+#: Buckets that the sensors are hashed to; part of the state's key, so fixed for the life
+#: of a checkpoint. A bucket's states are read and written together, some 80 bytes each.
+BUCKETS = 64
+
+_STATE = "sensors array<string>, numbers binary, last_at array<long>, seen_ms array<long>"
 _SCORE_TYPES = ("Int64", *["Float64"] * (len(SCORE_COLUMNS) - 1))
-_STATE = "n long, mean double, m2 double, ewma_mean double, ewma_var double, last_at long"
+_NEVER = np.iinfo(np.int64).min
+
+
+class _Bucket:
+    """States of a bucket's sensors: a row of numbers for each, the newest time scored
+    and when the sensor was last heard of."""
+
+    def __init__(self, stored: tuple | None):
+        sensors, numbers, last_at, seen = stored or ([], b"", [], [])
+        self.sensors = list(sensors)
+        self.numbers = np.frombuffer(numbers).reshape(-1, len(STATE_FIELDS)).copy()
+        self.last_at, self.seen = np.array(last_at, np.int64), np.array(seen, np.int64)
+
+    def forget(self, before_ms: int) -> None:
+        kept = self.seen > before_ms
+        if not kept.all():
+            self.sensors = [s for s, stays in zip(self.sensors, kept) if stays]
+            self.numbers, self.last_at, self.seen = (x[kept] for x in (self.numbers, self.last_at, self.seen))
+
+    def places(self, sensors: Sequence) -> np.ndarray:
+        """Rows of the given sensors; new ones are added."""
+        place = {s: i for i, s in enumerate(self.sensors)}
+        new = [s for s in sensors if s not in place]
+        place |= {s: len(self.sensors) + i for i, s in enumerate(new)}
+        self.sensors += new
+        self.numbers = np.concatenate([self.numbers, empty_states(len(new))])
+        self.last_at = np.concatenate([self.last_at, np.full(len(new), _NEVER)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        return np.array([place[s] for s in sensors], np.int64)
+
+    def stored(self) -> tuple:
+        return self.sensors, self.numbers.tobytes(), self.last_at.tolist(), self.seen.tolist()
+
+
+def _score_bucket(rows: pd.DataFrame, bucket: _Bucket, alpha: float, order: list[str], now: int) -> pd.DataFrame:
+    """The rows of all sensors of a bucket, sorted by sensor and time, with their scores."""
+    codes, sensors = pd.factorize(rows["sensor_id"], use_na_sentinel=False)
+    sensors = [None if pd.isna(s) else s for s in sensors]
+    rows = rows.assign(_code=codes).sort_values(["_code", *order], kind="stable", ignore_index=True)
+    codes, at = rows["_code"].to_numpy(), rows["_at"].to_numpy()
+    place = bucket.places(sensors)
+    out_of_order = at < bucket.last_at[place][codes]
+
+    # A reading without a value keeps its row, without scores.
+    there = np.flatnonzero(rows["value"].notna().to_numpy())
+    scores = {name: pd.Series(index=rows.index, dtype=kind) for name, kind in zip(SCORE_COLUMNS, _SCORE_TYPES)}
+    if len(there):
+        own = codes[there]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        lengths = np.diff(np.append(starts, len(own)))
+        at_place = place[own[starts]]
+        values = rows["value"].to_numpy(np.float64)[there]
+        scored, ends = score_runs(values, starts, lengths, bucket.numbers[at_place], alpha)
+        bucket.numbers[at_place] = ends
+        for name, kind, column in zip(SCORE_COLUMNS, _SCORE_TYPES, scored):
+            scores[name] = pd.Series(pd.array(column, dtype=kind), index=there).reindex(rows.index)
+    np.maximum.at(bucket.last_at, place[codes], at)
+    bucket.seen[place] = now
+    return rows.drop(columns="_code").assign(**scores, out_of_order=out_of_order)
 
 
 def _stepper(alpha: float, order: list[str], ttl_ms: int | None):
-    def step(
-        key: tuple, frames: Iterable[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        bucket = _Bucket(state.get if state.exists else None)
+        now = state.getCurrentProcessingTimeMs() if ttl_ms is not None else 0
+        if ttl_ms is not None:
+            bucket.forget(now - ttl_ms)
+        if not state.hasTimedOut:
+            # A bucket's share of one micro-batch, bounded by the source's trigger cap.
+            rows = pd.concat(list(frames), ignore_index=True).drop(columns="_bucket")
+            yield _score_bucket(rows, bucket, alpha, order, now)
+        if not bucket.sensors:
             state.remove()
             return
-        *stored, last_at = state.get if state.exists else (*EMPTY, None)
-        # One sensor's share of one micro-batch, bounded by the source's trigger cap.
-        rows = pd.concat(list(frames), ignore_index=True)
-        at = rows["_at"].to_numpy()
-        if len(at) > 1 and not (at[1:] > at[:-1]).all():
-            rows = rows.sort_values(order, kind="stable", ignore_index=True)
-            at = rows["_at"].to_numpy()
-        there = rows["value"].notna()
-        scored, after = fold_values(rows["value"][there].tolist(), SensorState(*stored), alpha)
-        # A reading without a value keeps its row, without scores.
-        rows = rows.assign(
-            **{
-                name: pd.Series(list(column), index=rows.index[there], dtype=kind).reindex(rows.index)
-                for name, column, kind in zip(
-                    SCORE_COLUMNS, zip(*scored) if scored else [()] * len(SCORE_COLUMNS), _SCORE_TYPES
-                )
-            },
-            out_of_order=False if last_at is None else at < last_at,
-        )
-        newest = int(at[-1])
-        state.update((*after, newest if last_at is None else max(last_at, newest)))
+        state.update(bucket.stored())
         if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
-        yield rows
+            state.setTimeoutDuration(max(1, int(bucket.seen.min()) + ttl_ms - now + 1))
 
     return step
 
@@ -59,6 +109,7 @@ def score_stream(
     settings: DetectorSettings = DetectorSettings(),
     tiebreak: Sequence[str] = (),
     state_ttl_ms: int | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Every event with the scores of both detectors, in append mode.
 
@@ -68,6 +119,10 @@ def score_stream(
     operator, plus the event's unit and tags. ``state_ttl_ms`` forgets sensors
     that stay silent that long; by default none is forgotten. Expiry needs a trigger
     that keeps ticking, not ``availableNow``, which would wait for it for ever.
+
+    Sensors are hashed to ``buckets``, and one call scores all readings that a bucket
+    has in a micro-batch. Take so many that a bucket holds some thousand sensors; a
+    checkpoint keeps the number it began with.
     """
     # Times travel as microseconds and tags as text: plain columns for pandas.
     wire = events.select(
@@ -93,7 +148,8 @@ def score_stream(
         if state_ttl_ms is None
         else GroupStateTimeout.ProcessingTimeTimeout
     )
-    scored = wire.groupBy("sensor_id").applyInPandasWithState(
+    bucketed = wire.withColumn("_bucket", F.pmod(F.xxhash64("sensor_id"), F.lit(buckets)))
+    scored = bucketed.groupBy("_bucket").applyInPandasWithState(
         _stepper(settings.alpha, ["_at", *tiebreak, "value"], state_ttl_ms),
         schema,
         _STATE,
@@ -119,9 +175,10 @@ def anomaly_stream(
     settings: DetectorSettings = DetectorSettings(),
     tiebreak: Sequence[str] = (),
     state_ttl_ms: int | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Layered anomalies of a stream."""
-    scored = score_stream(events, settings, tiebreak, state_ttl_ms)
+    scored = score_stream(events, settings, tiebreak, state_ttl_ms, buckets)
     return merge_detectors(scored, settings, tiebreak)
 
 
