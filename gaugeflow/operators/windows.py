@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.timeparts import AsOf, as_of_column, minute_start, minutes_before
-from gaugeflow.operators.skew import SLICE, HeavyKeys, find_heavy, sorted_slices
+from gaugeflow.operators.skew import HeavyKeys, find_heavy
 from gaugeflow.schemas import WINDOW_COLUMNS
 from gaugeflow.settings import SkewSettings
 
@@ -17,6 +16,10 @@ DEFAULT_WIDTH = "1 minute"
 RETAIN_MINUTES = 60
 _KEYS = ("window_start", "window_end", "sensor_type", "location")
 _QUANTILE = 0.99
+#: An exact quantile keeps the values of a group in memory up to so many rows; larger
+#: groups are bracketed first, with the same result.
+BRACKET_ROWS = 100_000
+_BRACKET_ACCURACY = 10_000
 
 
 def _keyed(events: DataFrame, width: str) -> DataFrame:
@@ -57,13 +60,15 @@ def window_metrics(
     approx: bool = False,
     accuracy: int = 10_000,
     skew: SkewSettings | None = SkewSettings(),
+    bracket_rows: int = BRACKET_ROWS,
 ) -> DataFrame:
     """Count, sum, min, max, avg and p99 of each (window, sensor type, location).
 
     Works on batch and streaming frames; a stream takes the lateness it tolerates
-    as ``watermark``. The exact p99 keeps the distinct values of a group; groups
-    too large for that are ranked over range slices instead (batch), or use
-    ``approx=True``, a sketch of fixed size (wide windows on streams).
+    as ``watermark``. The exact p99 keeps the distinct values of a group; of groups
+    above ``bracket_rows`` only the values near the rank are kept (batch), or use
+    ``approx=True``, a sketch of fixed size (wide windows on streams). ``skew=None``
+    leaves out the search for large groups.
     """
     if events.isStreaming:
         if watermark is not None:
@@ -81,11 +86,11 @@ def window_metrics(
     keyed = _keyed(events, width)
     if approx or skew is None:
         return _aggregate(keyed, approx, accuracy)
-    heavy = find_heavy(keyed, _KEYS, skew, lambda _: skew.group_rows)
+    heavy = find_heavy(keyed, _KEYS, skew, lambda _: bracket_rows)
     if heavy is None:
         return _aggregate(keyed, approx, accuracy)
     light_rows, heavy_rows = heavy.split(keyed)
-    ranked = _heavy_metrics(heavy_rows, heavy, skew)
+    ranked = _bracketed_metrics(heavy_rows, heavy)
     if light_rows is None:
         return ranked
     return _aggregate(light_rows, approx, accuracy).unionByName(ranked)
@@ -96,56 +101,58 @@ def _aggregate(keyed: DataFrame, approx: bool, accuracy: int) -> DataFrame:
     return metrics.select(*WINDOW_COLUMNS)
 
 
-def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for name in columns:
-        condition = condition & left[name].eqNullSafe(right[f"_{name}"])
-    return condition
+def nearest_rank(rows: Column) -> Column:
+    """The rank of the quantile among so many values."""
+    return F.greatest(F.ceil(rows.cast("double") * F.lit(_QUANTILE)), F.lit(1))
 
 
-def _heavy_metrics(rows: DataFrame, heavy: HeavyKeys, skew: SkewSettings) -> DataFrame:
-    """Groups of any size: plain metrics map-side combined, p99 by rank.
+def _bracketed_metrics(rows: DataFrame, heavy: HeavyKeys) -> DataFrame:
+    """Groups of any size in two passes without a sort of their rows.
 
-    The group's (value, multiplicity) pairs are sorted across slices; the counts
-    per slice tell which slice holds the wanted rank, and only that slice is
-    ranked row by row.
+    A sketch of fixed size, combined map-side, gives two values of each group that
+    certainly enclose the rank. The second pass counts, map-side combined, the values
+    below the lower one and every value between the two: a few of ten thousand rows are
+    left to be ranked.
     """
-    plain = rows.groupBy(*_KEYS).agg(*_plain_metrics())
-    counted = (
-        rows.filter(F.col("value").isNotNull())
-        .groupBy(*_KEYS, "value")
-        .agg(F.count(F.lit(1)).alias("times"))
+    margin = 3 / _BRACKET_ACCURACY
+    shares = F.array(F.lit(max(0.0, _QUANTILE - margin)), F.lit(min(1.0, _QUANTILE + margin)))
+    bounds = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in _KEYS]).agg(
+        F.percentile_approx("value", shares, _BRACKET_ACCURACY).alias("_bounds")
     )
-    slices = sorted_slices(counted, [*_KEYS, "value"], heavy.rows, skew)
-    group = Window.partitionBy(*_KEYS)
-    rank = F.greatest(F.ceil(F.col("rows").cast("double") * F.lit(_QUANTILE)), F.lit(1))
-    target = (
-        slices.groupBy(*_KEYS, SLICE)
-        .agg(F.sum("times").alias("in_slice"))
-        .withColumn("rows", F.sum("in_slice").over(group))
-        .withColumn("rank", rank)
-        .withColumn("upto", F.sum("in_slice").over(group.orderBy(SLICE)))
-        .withColumn("before", F.col("upto") - F.col("in_slice"))
-        .filter((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
-        .select(
-            *[F.col(k).alias(f"_{k}") for k in _KEYS],
-            F.col(SLICE).alias(f"_{SLICE}"),
-            "before",
-            "rank",
+    if heavy.frame is not None:
+        bounds = F.broadcast(bounds)  # one row per heavy group, at most ``max_heavy``
+    same = F.lit(True)
+    for k in _KEYS:
+        same = same & rows[k].eqNullSafe(bounds[f"_{k}"])
+    value, low, high = F.col("value"), F.col("_bounds")[0], F.col("_bounds")[1]
+    cells = (
+        rows.join(bounds, same)
+        .groupBy(*_KEYS, F.when((value >= low) & (value <= high), value).alias("near"))
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count("value").alias("values"),
+            F.sum("value").alias("sum"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            F.count_if(value < low).alias("below"),
         )
     )
-    # One row per group in ``target`` and ``p99``; a group's rows in one slice are
-    # bounded by the slice, so neither join meets a skewed key.
-    located = slices.join(target, _same(slices, target, [*_KEYS, SLICE]))
-    in_slice = Window.partitionBy(*_KEYS, SLICE).orderBy("value")
-    p99 = (
-        located.withColumn("upto", F.col("before") + F.sum("times").over(in_slice))
-        .filter(F.col("upto") >= F.col("rank"))
-        .groupBy(*[F.col(k).alias(f"_{k}") for k in _KEYS])
-        .agg(F.min("value").alias("p99"))
+    group = Window.partitionBy(*_KEYS)
+    upto = group.orderBy("near").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near_upto = F.sum(F.when(F.col("near").isNotNull(), F.col("values")).otherwise(0)).over(upto)
+    ranked = cells.withColumn("reaches", F.sum("below").over(group) + near_upto >= nearest_rank(F.sum("values").over(group)))
+    return (
+        ranked.groupBy(*_KEYS)
+        .agg(
+            F.sum("rows").alias("count"),
+            F.sum("sum").alias("sum"),
+            F.min("min").alias("min"),
+            F.max("max").alias("max"),
+            (F.sum("sum") / F.sum("values")).alias("avg"),
+            F.min(F.when(F.col("reaches"), F.col("near"))).alias("p99"),
+        )
+        .select(*WINDOW_COLUMNS)
     )
-    joined = plain.join(p99, _same(plain, p99, _KEYS), "left")
-    return joined.select(*WINDOW_COLUMNS)
 
 
 def _minute(as_of: AsOf) -> Column:

@@ -17,7 +17,7 @@ from gaugeflow.plans.inputs import TIEBREAK, readings
 from gaugeflow.session import shared_dir
 from gaugeflow.sources import streams, tables
 from gaugeflow.streaming import detect as stream_detect
-from gaugeflow.streaming import pipeline
+from gaugeflow.streaming import parts, pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -538,14 +538,16 @@ def _options(base: str) -> pipeline.PipelineOptions:
 
 @query
 def stream_windows(spark, sf_dir):
-    """Windows kept up to date while the events arrive in slices, the newest first."""
+    """Windows kept up by parts while the events arrive in slices, the newest first; all
+    parts but the last slice's are compacted."""
     base = _run_dir(spark)
     options = _options(base)
     run = tables.run_of(spark, options.checkpoints)
-    write = pipeline.in_turn(pipeline.store_events(options, run), pipeline.store_windows(options, run))
+    write = pipeline.in_turn(pipeline.store_events(options, run), parts.store_parts(base, run))
     events = inputs.arriving_readings(spark, sf_dir, f"{base}/arrivals", newest_first=True)
     _finish(events, "append", write, options.checkpoints)
-    live = pipeline.live_windows(spark, base)
+    parts.compact_windows(spark, base)
+    live = parts.live_windows(spark, base)
     for name in ("window_start", "window_end"):
         live = live.withColumn(name, F.col(name).cast("timestamp_ntz"))
     return _metrics(live)

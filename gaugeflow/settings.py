@@ -36,14 +36,12 @@ class SkewSettings:
 
     A sensor is heavy when it holds more than ``heavy_rows`` rows and more than
     1/``max_heavy`` of all rows, so there are fewer than ``max_heavy`` of them
-    whatever the data looks like. A window group is heavy above ``group_rows``,
-    which bounds the values an exact quantile keeps in memory. ``slice_rows`` is
-    the target size of one slice of heavy rows; there are at most ``max_slices``
-    slices, the slices grow beyond that.
+    whatever the data looks like. ``slice_rows`` is the target size of one slice of
+    heavy rows; there are at most ``max_slices`` slices, the slices grow beyond that.
+    The results do not depend on any of these.
     """
 
     heavy_rows: int = 5_000_000
-    group_rows: int = 100_000
     slice_rows: int = 2_000_000
     max_heavy: int = 10_000
     max_slices: int = 20_000

@@ -3,9 +3,9 @@
 One JSON stream feeds two queries, each with its own checkpoint:
 
 * ``readings``: decode, score, then per micro-batch write the anomalies, after them
-  the events, and last the windows that the batch touched, taken anew from the stored
-  events. So a reading of any age counts in its window. A batch that is retried
-  replaces its own rows.
+  the events, and last what the batch adds to the windows
+  (:mod:`gaugeflow.streaming.parts`). So a reading of any age counts in its window, and
+  nothing stored is read again. A batch that is retried replaces its own rows.
 * ``rejects``: the records that could not be decoded, with the reason.
 """
 
@@ -27,10 +27,11 @@ from gaugeflow.operators.windows import DEFAULT_WIDTH, window_metrics
 from gaugeflow.plans.snapshot import pipeline_snapshot, snapshot_json
 from gaugeflow.schemas import WINDOW_COLUMNS, WINDOW_METRIC
 from gaugeflow.settings import DetectorSettings
-from gaugeflow.sources.tables import ANOMALIES, BATCH, EVENTS, RUN, append_batch, read_table, run_of
+from gaugeflow.sources.tables import ANOMALIES, BATCH, EVENTS, RUN, append_batch, run_of
 from gaugeflow.streaming.detect import score_stream
+from gaugeflow.streaming.parts import store_parts
 
-LIVE_WINDOWS = "live_windows"
+CHANGED_WINDOWS = "changed_windows"
 COMPLETED_WINDOWS = "completed_windows"
 REJECTS = "rejects"
 RETENTION = "60 minutes"
@@ -116,32 +117,6 @@ def store_changes(path: str, run: str) -> Sink:
     return write
 
 
-def touched_windows(spark: SparkSession, base: str, batch: DataFrame, width: str) -> DataFrame:
-    """Metrics of the windows that ``batch`` has readings in, over all stored events.
-
-    Only the batch's days are read, of them only rows in its windows.
-    """
-    slot = F.window("recorded_at", width)
-    keys = batch.select(slot.alias("_slot"), "sensor_type", "location").distinct()
-    last = F.date_trunc("day", F.col("_slot.end") - F.expr("INTERVAL 1 MICROSECOND"))
-    days = keys.select(
-        F.explode(F.sequence(F.to_date("_slot.start"), F.to_date(last))).alias("event_date")
-    )
-    stored = read_table(spark, base, EVENTS).join(days.distinct(), "event_date", "left_semi")
-    rows = stored.withColumn("_slot", slot).join(keys, ["_slot", "sensor_type", "location"], "left_semi")
-    return window_metrics(rows.drop("_slot"), width)
-
-
-def store_windows(options: PipelineOptions, run: str, width: str = DEFAULT_WIDTH) -> Sink:
-    """Per micro-batch whose events are stored: the windows it touched."""
-    store = store_changes(options.path(LIVE_WINDOWS), run)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        store(touched_windows(batch.sparkSession, options.base, batch, width), batch_id)
-
-    return write
-
-
 def in_turn(*sinks: Sink) -> Sink:
     """One sink after the other; a retry repeats all, each replacing its own rows."""
 
@@ -175,7 +150,7 @@ def start_pipeline(
     scored = score_stream(good, options.settings, tiebreak)
     spark = lines.sparkSession
     run = run_of(spark, options.checkpoint("readings"))
-    readings_sink = in_turn(store_scored(options, run), store_windows(options, run))
+    readings_sink = in_turn(store_scored(options, run), store_parts(options.base, run))
     rejects_sink = store_changes(
         options.path(REJECTS), run_of(spark, options.checkpoint(REJECTS))
     )
@@ -203,13 +178,13 @@ def stored_windows(spark: SparkSession, base: str, name: str = COMPLETED_WINDOWS
     return _stored_changes(spark, base, name).select(*WINDOW_COLUMNS)
 
 
-def live_windows(spark: SparkSession, base: str) -> DataFrame:
-    """The newest state of each window that the pipeline wrote."""
+def latest_windows(spark: SparkSession, base: str) -> DataFrame:
+    """The newest state of each window that a query in update mode wrote."""
     newest = Window.partitionBy("window_start", "window_end", "sensor_type", "location").orderBy(
         F.desc("stored_at"), F.desc(BATCH)
     )
     return (
-        _stored_changes(spark, base, LIVE_WINDOWS)
+        _stored_changes(spark, base, CHANGED_WINDOWS)
         .withColumn("_rank", F.row_number().over(newest))
         .filter(F.col("_rank") == 1)
         .select(*WINDOW_COLUMNS)

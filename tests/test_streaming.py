@@ -13,7 +13,7 @@ from gaugeflow.plans.inputs import RAW_EVENTS, TIEBREAK, as_readings, readings
 from gaugeflow.schemas import WINDOW_COLUMNS
 from gaugeflow.sources import tables
 from gaugeflow.sources.streams import parquet_stream, text_stream
-from gaugeflow.streaming import pipeline
+from gaugeflow.streaming import parts, pipeline
 from gaugeflow.streaming.detect import anomaly_stream, score_stream
 from gaugeflow.streaming.progress import handling_ms, progress_frame
 
@@ -146,11 +146,11 @@ def test_update_mode_windows_equal_batch(spark, medium, source, tmp_path):
         metrics.writeStream.outputMode("update")
         .option("checkpointLocation", str(tmp_path / "ck"))
         .trigger(availableNow=True)
-        .foreachBatch(pipeline.store_changes(f"{base}/{pipeline.LIVE_WINDOWS}", "a"))
+        .foreachBatch(pipeline.store_changes(f"{base}/{pipeline.CHANGED_WINDOWS}", "a"))
         .start()
     )
     running.awaitTermination()
-    live = pipeline.live_windows(spark, base)
+    live = pipeline.latest_windows(spark, base)
     for name in ("window_start", "window_end"):
         live = live.withColumn(name, F.col(name).cast("timestamp_ntz"))
     batch = windows.window_metrics(readings(spark, medium), "1 day")
@@ -214,7 +214,7 @@ def test_pipeline_end_to_end(spark, small, tmp_path):
         ('{"sensor_id":"x"}', "missing_field"),
         ('{"value":"1"}', "malformed"),
     }
-    assert pipeline.live_windows(spark, options.base).agg(F.sum("count")).first()[0] == 1000
+    assert parts.live_windows(spark, options.base).agg(F.sum("count")).first()[0] == 1000
     found = tables.read_table(spark, options.base, tables.ANOMALIES)
     batch = detect.layered_anomalies(readings(spark, small), tiebreak=TIEBREAK)
     assert sorted(r.z_score for r in found.collect()) == sorted(r.z_score for r in batch.collect())
@@ -270,3 +270,58 @@ def test_snapshot_feed(spark, small, tmp_path):
     finally:
         query.stop()
     assert json.loads(published[0])["data"]["stats"]["events_ingested"] == 1000
+
+
+def _metric_rows(df):
+    exact = [c for c in WINDOW_COLUMNS if c not in ("sum", "avg")]
+    rows = df.select(*exact, F.round("sum", 6).alias("sum"), F.round("avg", 6).alias("avg")).collect()
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+def test_parts_add_up_to_the_windows_through_retries_and_compactions(spark, tmp_path):
+    base = str(tmp_path / "base")
+    rows = []
+    for i, x in enumerate(spiky(900, seed=6)):
+        at = START + dt.timedelta(seconds=(i * 37) % 400)
+        kind, place = [("heat", "lab"), (None, "lab"), ("heat", None)][i % 3]
+        value = None if i % 50 == 0 else round(x, 0 if i % 2 else 6)
+        rows.append((i, "s", kind, place, value, "", None, at))
+    zoned = event_frame(spark, rows).withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
+    want = _metric_rows(windows.window_metrics(zoned))
+    assert parts.live_windows(spark, base).isEmpty() and parts.compact_windows(spark, base) == -1
+
+    def put(run, batch):
+        own = zoned.where((F.col("event_id") % 9 == batch) if run == "a" else F.col("event_id") % 9 >= 6)
+        parts.store_parts(base, run)(own, batch)
+
+    for batch in range(6):
+        put("a", batch)
+    put("a", 5)  # a retry
+    put("b", 0)  # another run, after the checkpoint was lost
+    assert _metric_rows(parts.live_windows(spark, base)) == want
+    assert parts.compact_windows(spark, base, clean=False) == 0
+    assert _metric_rows(parts.live_windows(spark, base)) == want
+    put("a", 5)  # the newest batch stays open
+    assert _metric_rows(parts.live_windows(spark, base)) == want
+    later = zoned.withColumn("value", F.col("value") * 3)
+    parts.store_parts(base, "a")(later, 6)
+    want = _metric_rows(windows.window_metrics(zoned.union(later)))
+    assert _metric_rows(parts.live_windows(spark, base)) == want
+    assert parts.compact_windows(spark, base) == 1
+    assert _metric_rows(parts.live_windows(spark, base)) == want
+    assert parts.compact_windows(spark, base) == -1
+
+
+def test_an_unfinished_compaction_changes_nothing(spark, tmp_path):
+    base = str(tmp_path / "base")
+    zoned = event_frame(spark, event_rows({"s": spiky(200)}))
+    zoned = zoned.withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
+    for batch in range(3):
+        parts.store_parts(base, "a")(zoned.where(F.col("event_id") % 3 == batch), batch)
+    want = _metric_rows(windows.window_metrics(zoned))
+    # Its parts are written, its list of batches is not.
+    parts.stored_parts(spark, base).write.parquet(f"{base}/{parts.COMPACTED}/compaction=0")
+    assert _metric_rows(parts.live_windows(spark, base)) == want
+    assert parts.compact_windows(spark, base) == 0
+    assert _metric_rows(parts.live_windows(spark, base)) == want
+    assert spark.read.parquet(f"{base}/{parts.PARTS}").select("batch_id").distinct().count() == 1
