@@ -13,12 +13,6 @@ from pyspark.sql import functions as F
 
 from gaugeflow.schemas import EVENT_COLUMNS
 
-# Text fields are read as VARIANT so that their JSON type can be checked: a
-# STRING column would silently accept numbers and booleans.
-_WIRE_SCHEMA = (
-    "sensor_id variant, sensor_type variant, location variant, value double, "
-    "unit variant, timestamp variant, tags map<string, variant>, _corrupt string"
-)
 _TEXT_FIELDS = ("sensor_id", "sensor_type", "location", "unit")
 
 # RFC 3339 shape, and the zero values of absent fields.
@@ -49,24 +43,19 @@ def _text(variant: Column) -> Column:
     return F.try_variant_get(variant, "$", "string")
 
 
-# A closing brace with more text behind it: a nested object's, one in a text, or the
-# end of an object that something follows.
-_BRACE_INSIDE = r"\}[ \t\r\n]*[^ \t\r\n}]"
+_KEEP_LAST = "spark.sql.variant.allowDuplicateKeys"
 
 
-def _goes_on(raw: Column) -> Column:
-    """Whether text follows the JSON object that ``raw`` begins with.
+def _parsed(raw: Column) -> Column:
+    """``raw`` as the first element of an array, whose second is its hash; null if that
+    is no JSON.
 
-    The parser stops at the object's end. So suspicious texts are parsed once more as
-    the first element of an array: there, anything but one object leaves an array of
-    another size or no array at all. Texts whose braces pair up and close at the end are
-    not parsed again.
+    The parser stops at the end of the first value without a look at what follows. In an
+    array, whatever is not one object leaves another number of elements or another
+    second one, or no array. A text that closes the array itself would have to hold its
+    own hash.
     """
-    opened, closed = (F.length(F.replace(raw, F.lit(b), F.lit(""))) for b in "{}")
-    whole = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(",0]")))
-    two = F.size(F.try_variant_get(whole, "$", "array<variant>")) == 2
-    suspicious = raw.rlike(_BRACE_INSIDE) | (opened != closed)
-    return suspicious & ~F.coalesce(two, F.lit(False))
+    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), F.xxhash64(raw), F.lit("]")))
 
 
 def decode(lines: DataFrame, payload: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -74,49 +63,52 @@ def decode(lines: DataFrame, payload: str = "value", keep: tuple[str, ...] = ())
 
     Adds the event columns and ``reject_reason`` (NULL for a readable record);
     ``keep`` names input columns to carry along, such as partition and offset.
-    ``raw`` holds the text as received.
+    ``raw`` holds the text as received. Every record is parsed once, and all fields and
+    their JSON types are taken from the result. Of a key that comes twice the last counts.
     """
+    lines.sparkSession.conf.set(_KEEP_LAST, "true")
     raw = F.col(payload).cast("string")
-    parsed = lines.select(
+    parsed = lines.select(*keep, raw.alias("raw"), evaluated_once(_parsed(raw)).alias("j"))
+    fields = (*_TEXT_FIELDS, "value", "timestamp", "tags")
+    parsed = parsed.select(
         *keep,
-        raw.alias("raw"),
-        evaluated_once(
-            F.from_json(
-                raw,
-                _WIRE_SCHEMA,
-                {
-                    "mode": "PERMISSIVE",
-                    "columnNameOfCorruptRecord": "_corrupt",
-                    "allowSingleQuotes": "false",
-                },
-            )
-        ).alias("j"),
+        "raw",
+        *[F.try_variant_get("j", f"$[0].{name}", "variant").alias(f"_{name}") for name in fields],
+        (
+            F.coalesce(F.schema_of_variant(F.try_variant_get("j", "$[0]", "variant")).startswith("OBJECT"), F.lit(False))
+            & F.try_variant_get("j", "$[1]", "bigint").eqNullSafe(F.xxhash64("raw"))
+            & F.try_variant_get("j", "$[2]", "variant").isNull()
+        ).alias("_one"),
+    )
+    stamp = F.when(_type_of(F.col("_timestamp")) == "STRING", _text(F.col("_timestamp")))
+    number = F.try_variant_get("_value", "$", "double")
+    parsed = (
+        parsed.withColumn("stamp", F.when(stamp.rlike(_RFC3339), stamp.try_cast("timestamp")))
+        .withColumn("number", number)
+        .withColumn("tags", F.try_variant_get("_tags", "$", "map<string,variant>"))
     )
-    stamp = _text(F.col("j.timestamp"))
-    parsed = parsed.withColumn("stamp", F.when(stamp.rlike(_RFC3339), stamp.try_cast("timestamp")))
-
     wrong_text = F.lit(False)
     for name in _TEXT_FIELDS:
-        wrong_text = wrong_text | ~_type_of(F.col(f"j.{name}")).isin("STRING", "VOID")
-    tag_values = F.coalesce(F.map_values("j.tags"), F.array())
-    wrong_tags = F.exists(tag_values, lambda v: ~_type_of(v).isin("STRING", "VOID"))
-    no_number = F.isnan("j.value") | (F.abs("j.value") == float("inf"))
-    bad_time = (_type_of(F.col("j.timestamp")) != "VOID") & F.col("stamp").isNull()
-    one_object = F.btrim("raw", F.lit(" \t\r\n")).like("{%}") & ~_goes_on(F.col("raw"))
+        wrong_text = wrong_text | ~_type_of(F.col(f"_{name}")).isin("STRING", "VOID")
+    wrong_tags = F.exists(F.coalesce(F.map_values("tags"), F.array()), lambda v: ~_type_of(v).isin("STRING", "VOID"))
+    endless = F.coalesce(F.isnan("number") | (F.abs("number") == float("inf")), F.lit(False))
+    numeric = _type_of(F.col("_value")).rlike("^(VOID|BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    no_map = F.col("tags").isNull() & (_type_of(F.col("_tags")) != "VOID")
+    bad_time = F.col("stamp").isNull() & (_type_of(F.col("_timestamp")) != "VOID")
 
     reason = (
-        F.when(F.col("raw").isNull() | ~one_object | F.col("j._corrupt").isNotNull(), "malformed")
-        .when(wrong_text | wrong_tags | F.coalesce(no_number, F.lit(False)), "wrong_type")
+        F.when(~F.col("_one") | no_map | ~(numeric | endless), "malformed")
+        .when(wrong_text | wrong_tags | endless, "wrong_type")
         .when(bad_time, "bad_timestamp")
     )
     # An absent tag value decodes to the empty string, as an absent field does.
-    tags = F.transform_values("j.tags", lambda _, v: F.coalesce(_text(v), F.lit("")))
+    tags = F.transform_values("tags", lambda _, v: F.coalesce(_text(v), F.lit("")))
     return parsed.select(
         *keep,
         "raw",
-        *[_text(F.col(f"j.{name}")).alias(name) for name in ("sensor_id", "sensor_type", "location")],
-        F.col("j.value").alias("value"),
-        _text(F.col("j.unit")).alias("unit"),
+        *[_text(F.col(f"_{name}")).alias(name) for name in ("sensor_id", "sensor_type", "location")],
+        F.col("number").alias("value"),
+        _text(F.col("_unit")).alias("unit"),
         tags.alias("tags"),
         F.col("stamp").alias("recorded_at"),
         reason.alias("reject_reason"),

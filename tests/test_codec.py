@@ -70,6 +70,22 @@ REJECTED = [
     (_line(timestamp="2024-03-01"), "bad_timestamp"),
     (_line(timestamp="2024-02-30T00:00:00Z"), "bad_timestamp"),
     (_line(timestamp="noon"), "bad_timestamp"),
+    (_line(location="{") + "}", "malformed"),
+    (_line(location="}") + "{", "malformed"),
+    (_line() + _line(), "malformed"),
+    (_line() + "," + _line(), "malformed"),
+    (_line() + ",0],[0", "malformed"),
+    (_line() + "],[0", "malformed"),
+    (_line() + ',0]', "malformed"),
+    (_line().replace("21.5", "NaN"), "malformed"),
+    (_line().replace("21.5", "021.5"), "malformed"),
+    (_line()[:-1] + ",}", "malformed"),
+    ("// note\n" + _line(), "malformed"),
+    (_line().replace('"', "'"), "malformed"),
+    (_line(tags=["a"]), "malformed"),
+    (_line(tags="a"), "malformed"),
+    (_line(tags={"k": {"a": "b"}}), "wrong_type"),
+    (_line(timestamp=["noon"]), "bad_timestamp"),
 ]
 
 
@@ -81,6 +97,19 @@ def test_rejected_records(spark):
         assert found == REJECTED
 
 
+def test_braces_in_texts_and_keys_that_come_twice(spark):
+    lines = [
+        _line(location="a}{b", unit="{"),
+        _line()[:-1] + ', "location": "second", "value": 4}',
+        _line(tags={"k": "}", "n": None}, extra={"a": [{"b": "}"}]}),
+    ]
+    good, rejects = codec.split(_decoded(spark, *lines))
+    assert rejects.isEmpty()
+    rows = good.orderBy("n").collect()
+    assert [(r.location, r.value) for r in rows] == [("a}{b", 21.5), ("second", 4.0), ("lab", 21.5)]
+    assert rows[2].tags == {"k": "}", "n": ""}
+
+
 def test_missing_fields(spark):
     lines = [_line(value=...), _line(sensor_id=None), _line(timestamp=...), _line(unit=...), "{}"]
     good, rejects = codec.split(_decoded(spark, *lines))
