@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.functions.codec import struct_json
 from gaugeflow.operators.detect import layered_anomalies
 from gaugeflow.operators.windows import window_metrics
 from gaugeflow.schemas import WINDOW_COLUMNS
@@ -47,8 +48,11 @@ def rollup(minutes: DataFrame, events: DataFrame, width: str) -> DataFrame:
             (F.col("sum") / F.col("count")).alias("avg"),
         )
     )
+    # Adding up both kinds of rows needs no join, so null types and locations meet too.
+    no_p99 = combined.withColumn("p99", F.lit(None).cast("double"))
     p99 = window_metrics(events, width).select(*keys, "p99")
-    return combined.join(p99, keys, "left").select(*WINDOW_COLUMNS)
+    both = no_p99.unionByName(p99, allowMissingColumns=True).groupBy(*keys)
+    return both.agg(*[F.max(c).alias(c) for c in WINDOW_COLUMNS if c not in keys]).select(*WINDOW_COLUMNS)
 
 
 def deduplicated_events(events: DataFrame, tiebreak: Sequence[str]) -> DataFrame:
@@ -97,6 +101,14 @@ def routed_alerts(anomalies: DataFrame, routes: Mapping[str, Sequence[str]] = RO
     return anomalies.withColumn("channel", F.explode(channels))
 
 
+def alert_payload(link: str = "") -> Column:
+    """What is sent of an alert, as JSON: the anomaly and, if given, a link to its sensor."""
+    fields = ["sensor_id", "severity", "value", "expected", "z_score"]
+    stamp = F.col("detected_at").cast("timestamp").alias("timestamp")
+    shown = [F.concat(F.lit(link), F.col("sensor_id")).alias("link")] if link else []
+    return struct_json(F.struct(*fields, stamp, *shown))
+
+
 def reject_depth(rejects: DataFrame) -> DataFrame:
     """How many rejects wait, by reason."""
     return rejects.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("waiting"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.timeparts import AsOf, as_of_column, minute_start, minutes_before
+from gaugeflow.operators.quantile import BRACKET_ROWS, least_reaching, plain_quantile, rank_of, ranked_cells
 from gaugeflow.operators.skew import HeavyKeys, find_heavy
 from gaugeflow.schemas import WINDOW_COLUMNS
 from gaugeflow.settings import SkewSettings
@@ -16,11 +17,6 @@ DEFAULT_WIDTH = "1 minute"
 RETAIN_MINUTES = 60
 _KEYS = ("window_start", "window_end", "sensor_type", "location")
 _QUANTILE = 0.99
-#: An exact quantile keeps the values of a group in memory up to so many rows; larger
-#: groups are bracketed first, with the same result.
-BRACKET_ROWS = 100_000
-_BRACKET_ACCURACY = 10_000
-
 
 def _keyed(events: DataFrame, width: str) -> DataFrame:
     bucket = F.window("recorded_at", width)
@@ -49,7 +45,7 @@ def _nearest_rank(approx: bool, accuracy: int) -> Column:
     """The value at rank ceil(0.99 n), without interpolation."""
     if approx:
         return F.percentile_approx("value", _QUANTILE, accuracy).alias("p99")
-    return F.expr(f"percentile_disc({_QUANTILE}) WITHIN GROUP (ORDER BY value)").alias("p99")
+    return plain_quantile("value", _QUANTILE, "p99")
 
 
 def window_metrics(
@@ -101,55 +97,33 @@ def _aggregate(keyed: DataFrame, approx: bool, accuracy: int) -> DataFrame:
     return metrics.select(*WINDOW_COLUMNS)
 
 
-def nearest_rank(rows: Column) -> Column:
-    """The rank of the quantile among so many values."""
-    return F.greatest(F.ceil(rows.cast("double") * F.lit(_QUANTILE)), F.lit(1))
+def p99_rank(rows: Column) -> Column:
+    return rank_of(_QUANTILE, rows)
 
 
 def _bracketed_metrics(rows: DataFrame, heavy: HeavyKeys) -> DataFrame:
-    """Groups of any size in two passes without a sort of their rows.
-
-    A sketch of fixed size, combined map-side, gives two values of each group that
-    certainly enclose the rank. The second pass counts, map-side combined, the values
-    below the lower one and every value between the two: a few of ten thousand rows are
-    left to be ranked.
-    """
-    margin = 3 / _BRACKET_ACCURACY
-    shares = F.array(F.lit(max(0.0, _QUANTILE - margin)), F.lit(min(1.0, _QUANTILE + margin)))
-    bounds = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in _KEYS]).agg(
-        F.percentile_approx("value", shares, _BRACKET_ACCURACY).alias("_bounds")
-    )
-    if heavy.frame is not None:
-        bounds = F.broadcast(bounds)  # one row per heavy group, at most ``max_heavy``
-    same = F.lit(True)
-    for k in _KEYS:
-        same = same & rows[k].eqNullSafe(bounds[f"_{k}"])
-    value, low, high = F.col("value"), F.col("_bounds")[0], F.col("_bounds")[1]
-    cells = (
-        rows.join(bounds, same)
-        .groupBy(*_KEYS, F.when((value >= low) & (value <= high), value).alias("near"))
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count("value").alias("values"),
-            F.sum("value").alias("sum"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.count_if(value < low).alias("below"),
-        )
+    """Groups of any size: the pass that counts the values near the rank takes the other
+    metrics along."""
+    cells = ranked_cells(
+        rows,
+        _KEYS,
+        "value",
+        _QUANTILE,
+        heavy,
+        rows=F.count(F.lit(1)),
+        sum=F.sum("value"),
+        min=F.min("value"),
+        max=F.max("value"),
     )
-    group = Window.partitionBy(*_KEYS)
-    upto = group.orderBy("near").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near_upto = F.sum(F.when(F.col("near").isNotNull(), F.col("values")).otherwise(0)).over(upto)
-    ranked = cells.withColumn("reaches", F.sum("below").over(group) + near_upto >= nearest_rank(F.sum("values").over(group)))
     return (
-        ranked.groupBy(*_KEYS)
+        cells.groupBy(*_KEYS)
         .agg(
             F.sum("rows").alias("count"),
             F.sum("sum").alias("sum"),
             F.min("min").alias("min"),
             F.max("max").alias("max"),
             (F.sum("sum") / F.sum("values")).alias("avg"),
-            F.min(F.when(F.col("reaches"), F.col("near"))).alias("p99"),
+            least_reaching().alias("p99"),
         )
         .select(*WINDOW_COLUMNS)
     )
