@@ -8,6 +8,8 @@ and null fields are not type errors; see :func:`split`.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,22 +60,68 @@ def _parsed(raw: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), F.xxhash64(raw), F.lit("]")))
 
 
-def decode(lines: DataFrame, payload: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+#: Where each version of the wire format has the fields of an event. A record without
+#: ``schema_version`` is of version 1.
+WIRE_VERSIONS: Mapping[int, Mapping[str, str]] = {
+    1: {name: name for name in (*_TEXT_FIELDS, "value", "timestamp", "tags")},
+    2: {
+        "sensor_id": "sensor.id",
+        "sensor_type": "sensor.type",
+        "location": "sensor.location",
+        "value": "reading.value",
+        "unit": "reading.unit",
+        "timestamp": "recorded_at",
+        "tags": "tags",
+    },
+}
+
+
+def _at_path(path: str) -> Column:
+    return F.try_variant_get("j", f"$[0].{path}", "variant")
+
+
+def _field(name: str, versions: Mapping[int, Mapping[str, str]]) -> Column:
+    """The field of a record by the paths of its version, null for an unknown one."""
+    if len(versions) == 1:
+        return _at_path(next(iter(versions.values()))[name])
+    choice = F.lit(None)
+    for number, paths in versions.items():
+        choice = F.when(F.col("_version") == number, _at_path(paths[name])).otherwise(choice)
+    return choice
+
+
+def decode(
+    lines: DataFrame,
+    payload: str = "value",
+    keep: tuple[str, ...] = (),
+    versions: Mapping[int, Mapping[str, str]] | None = None,
+) -> DataFrame:
     """Decode one JSON object per row of ``payload`` (string or binary).
 
     Adds the event columns and ``reject_reason`` (NULL for a readable record);
     ``keep`` names input columns to carry along, such as partition and offset.
     ``raw`` holds the text as received. Every record is parsed once, and all fields and
     their JSON types are taken from the result. Of a key that comes twice the last counts.
+
+    With ``versions``, such as ``WIRE_VERSIONS``, a record's ``schema_version`` says where
+    its fields are; records of other versions are rejects. Without it all are of
+    version 1, whatever they say.
     """
     lines.sparkSession.conf.set(_KEEP_LAST, "true")
     raw = F.col(payload).cast("string")
     parsed = lines.select(*keep, raw.alias("raw"), evaluated_once(_parsed(raw)).alias("j"))
+    known = versions or {1: WIRE_VERSIONS[1]}
+    told = F.try_variant_get("j", "$[0].schema_version", "variant")
+    number = F.when(_type_of(told) == "BIGINT", F.try_variant_get(told, "$", "bigint")).otherwise(-1)
+    parsed = parsed.withColumn(
+        "_version", F.when(_type_of(told) == "VOID", 1).otherwise(number) if versions else F.lit(1)
+    )
     fields = (*_TEXT_FIELDS, "value", "timestamp", "tags")
     parsed = parsed.select(
         *keep,
         "raw",
-        *[F.try_variant_get("j", f"$[0].{name}", "variant").alias(f"_{name}") for name in fields],
+        "_version",
+        *[_field(name, known).alias(f"_{name}") for name in fields],
         (
             F.coalesce(F.schema_of_variant(F.try_variant_get("j", "$[0]", "variant")).startswith("OBJECT"), F.lit(False))
             & F.try_variant_get("j", "$[1]", "bigint").eqNullSafe(F.xxhash64("raw"))
@@ -97,7 +145,8 @@ def decode(lines: DataFrame, payload: str = "value", keep: tuple[str, ...] = ())
     bad_time = F.col("stamp").isNull() & (_type_of(F.col("_timestamp")) != "VOID")
 
     reason = (
-        F.when(~F.col("_one") | no_map | ~(numeric | endless), "malformed")
+        F.when(F.col("_one") & ~F.col("_version").isin(*known), "unknown_version")
+        .when(~F.col("_one") | no_map | ~(numeric | endless), "malformed")
         .when(wrong_text | wrong_tags | endless, "wrong_type")
         .when(bad_time, "bad_timestamp")
     )

@@ -71,7 +71,7 @@ def ewma_fired(settings: DetectorSettings) -> Column:
     )
 
 
-def _fired_mask(settings: DetectorSettings, z: bool, ewma: bool):
+def fired_mask(settings: DetectorSettings, z: bool, ewma: bool):
     def keep(scores: Scores) -> np.ndarray:
         mask = np.zeros(len(scores.reading_no), dtype=bool)
         if z:
@@ -177,7 +177,7 @@ def z_anomalies(
     skew: SkewSettings | None = SKEW,
 ) -> DataFrame:
     """Readings far from their sensor's running mean."""
-    keep = _fired_mask(settings, z=True, ewma=False)
+    keep = fired_mask(settings, z=True, ewma=False)
     fired = _score(events, settings, tiebreak, skew, keep)
     z = F.col("z_score")
     return _anomaly(fired, F.col("expected"), z, z_severity(z), tiebreak)
@@ -190,7 +190,7 @@ def ewma_anomalies(
     skew: SkewSettings | None = SKEW,
 ) -> DataFrame:
     """Readings far from their sensor's moving mean; ``z_score`` is the deviation."""
-    keep = _fired_mask(settings, z=False, ewma=True)
+    keep = fired_mask(settings, z=False, ewma=True)
     fired = _score(events, settings, tiebreak, skew, keep)
     deviation = F.col("ewma_deviation")
     return _anomaly(
@@ -231,6 +231,6 @@ def layered_anomalies(
     skew: SkewSettings | None = SKEW,
 ) -> DataFrame:
     """Both detectors in one pass over the readings, merged per reading."""
-    keep = _fired_mask(settings, z=True, ewma=True)
+    keep = fired_mask(settings, z=True, ewma=True)
     scored = _score(events, settings, tiebreak, skew, keep)
     return merge_detectors(scored, settings, tiebreak)

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions import codec
 from gaugeflow.functions.severity import escalate, higher, severity_rank, z_severity
-from gaugeflow.operators import derived, detect, reads, windows
+from gaugeflow.operators import alerts, derived, detect, reads, seasonal, windows
 from gaugeflow.plans import inputs, snapshot
 from gaugeflow.plans.inputs import TIEBREAK, readings
 from gaugeflow.session import shared_dir
 from gaugeflow.sources import streams, tables
 from gaugeflow.streaming import detect as stream_detect
-from gaugeflow.streaming import parts, pipeline
+from gaugeflow.streaming import parts, pipeline, progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -514,6 +514,95 @@ def tables_by_name(spark, sf_dir):
     return days.agg(F.count(F.lit(1)).alias("events"))
 
 
+@query
+def seasonal_scores(spark, sf_dir):
+    scored = seasonal.seasonal_scores(readings(spark, sf_dir))
+    rows = scored.select("event_id", "sensor_id", "phase", "baseline", "residual", "seasonal_score")
+    return _rounded(rows, "residual", "seasonal_score")
+
+
+@query
+def seasonal_anomalies(spark, sf_dir):
+    found = seasonal.seasonal_anomalies(readings(spark, sf_dir))
+    return _rounded(found.select("event_id", "severity", "seasonal_score"), "seasonal_score")
+
+
+#: Events of one user are days apart, so the cooldowns are too.
+_POLICY = alerts.AlertPolicy(dt.timedelta(days=1), {"purchase": dt.timedelta(days=3)})
+_NUMBERED = (*TIEBREAK, "reading_no")
+
+
+@query
+def alerts_suppressed(spark, sf_dir):
+    """Every anomaly, whether it raises an alert, and how many repeats came since the last."""
+    scored = detect.score_readings(readings(spark, sf_dir), tiebreak=TIEBREAK)
+    judged = alerts.judged_alerts(detect.merge_detectors(scored, keep=_NUMBERED), _POLICY)
+    return judged.select("event_id", "sensor_id", "reading_no", "alerted", "repeats")
+
+
+@query
+def alerts_delivered(spark, sf_dir):
+    """The payloads of all alerts as their sink stores them, by channel."""
+    base = _run_dir(spark)
+    pipeline.store_alerts(base, "run")(_layered(spark, sf_dir), 0)
+    fields = ("sensor_id", "severity", "value", "timestamp")
+    return pipeline.stored_alerts(spark, base).select("channel", F.json_tuple("payload", *fields).alias(*fields))
+
+
+@query
+def rejects_stored(spark, sf_dir):
+    """Rejects as their sink stores them: depth, and how many can be decoded once a leading
+    mark is removed."""
+    base = _run_dir(spark)
+    _, rejects = codec.split(codec.decode(_damaged(spark, sf_dir)))
+    pipeline.store_changes(f"{base}/{pipeline.REJECTS}", "run")(rejects, 0)
+    stored = pipeline.stored_rejects(spark, base)
+    mended = stored.select(F.col("reject_reason").alias("was"), F.ltrim("raw", F.lit("#")).alias("value"))
+    again, _ = codec.split(codec.decode(mended, keep=("was",)))
+    replayed = again.groupBy(F.col("was").alias("reject_reason")).agg(F.count(F.lit(1)).alias("replayed"))
+    depth = derived.reject_depth(stored).join(replayed, "reject_reason", "left")
+    return depth.select("reject_reason", "waiting", F.coalesce("replayed", F.lit(0)).alias("replayed"))
+
+
+def _second_version() -> Column:
+    """An event in the second version of the wire format."""
+    return F.to_json(
+        F.struct(
+            F.lit(2).alias("schema_version"),
+            F.struct(F.col("sensor_id").alias("id"), F.col("sensor_type").alias("type"), "location").alias("sensor"),
+            F.struct("value", "unit").alias("reading"),
+            F.date_format("recorded_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("recorded_at"),
+            "tags",
+        )
+    )
+
+
+@query
+def versions_decoded(spark, sf_dir):
+    """Records of two versions in one stream of lines, and some of a version nobody knows."""
+    rows = readings(spark, sf_dir, zoned=True)
+    line = F.when(F.col("event_id") % 2 == 0, codec.event_json()).otherwise(_second_version())
+    line = F.when(F.col("event_id") % 10 == 9, F.replace(line, F.lit('"schema_version":2'), F.lit('"schema_version":9'))).otherwise(line)
+    lines = rows.select("event_id", codec.evaluated_once(line).alias("value"))
+    decoded = codec.decode(lines, keep=("event_id",), versions=codec.WIRE_VERSIONS)
+    fields = ("sensor_id", "sensor_type", "location", "value", "unit", "recorded_at")
+    stamped = decoded.withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
+    return stamped.select("event_id", "reject_reason", *fields)
+
+
+@query
+def versions_merged(spark, sf_dir):
+    """Event files of two versions, with columns of other names and of one version only."""
+    base = _run_dir(spark)
+    rows = readings(spark, sf_dir, zoned=True)
+    rows.where("event_id % 2 = 0").write.parquet(f"{base}/v1")
+    second = rows.where("event_id % 2 = 1").withColumnsRenamed({"recorded_at": "observed_at", "sensor_type": "kind"})
+    second.drop("unit").withColumn("quality", F.lit("checked")).write.parquet(f"{base}/v2")
+    merged = tables.merged_versions({v: spark.read.parquet(f"{base}/v{v}") for v in (1, 2)})
+    merged = merged.withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
+    return _events(merged)
+
+
 # Streams: run to the end of the table, then read what was written
 
 
@@ -584,6 +673,63 @@ def stream_events(spark, sf_dir):
     return _events(stored.withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz")))
 
 
+@query
+def stream_alerts(spark, sf_dir):
+    """Which anomalies raise an alert, judged while the events arrive in six micro-batches."""
+    base = _run_dir(spark)
+    arriving = inputs.arriving_readings(spark, sf_dir, f"{base}/arrivals", least=6)
+    scored = stream_detect.score_stream(arriving, tiebreak=TIEBREAK, policy=_POLICY)
+    judged = detect.merge_detectors(scored, keep=(*_NUMBERED, "alerted", "repeats"))
+    run = tables.run_of(spark, f"{base}/checkpoint")
+    _finish(judged, "append", pipeline.store_changes(f"{base}/judged", run), f"{base}/checkpoint")
+    stored = spark.read.schema(judged.schema).parquet(f"{base}/judged")
+    return stored.select("event_id", "sensor_id", "reading_no", "alerted", "repeats")
+
+
+@query
+def stream_deduped(spark, sf_dir):
+    """Events that arrive again in the same or in the next micro-batch, kept once each; the
+    stream is stopped and goes on from its checkpoint half way."""
+    base = _run_dir(spark)
+    inputs.repeated_arrivals(spark, sf_dir, f"{base}/all")
+    once = None
+    for upto in (2, 5):  # the first run sees three of the folders, the second all six
+        arrivals = f"{base}/all/arrival=[0-{upto}]"
+        raw = streams.parquet_stream(spark, inputs.RAW_EVENTS, arrivals, max_files=1)
+        once = stream_detect.deduplicated_stream(inputs.as_readings(raw, zoned=True), within="60 days")
+        run = tables.run_of(spark, f"{base}/checkpoint")
+        _finish(once, "append", pipeline.store_changes(f"{base}/once", run), f"{base}/checkpoint")
+    stored = spark.read.parquet(f"{base}/once").select(*once.columns)
+    return _events(stored.withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz")))
+
+
+@query
+def stream_metrics(spark, sf_dir):
+    """The progress reports of a stream of eight or more micro-batches, from their table."""
+    base = _run_dir(spark)
+    arriving = inputs.arriving_readings(spark, sf_dir, f"{base}/arrivals", least=8)
+    with progress.MetricsTable(spark, f"{base}/{progress.METRICS}", every=3) as metrics:
+        writer = arriving.writeStream.queryName(f"metrics_{uuid.uuid4().hex}").format("noop")
+        running = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        running.awaitTermination()
+        metrics.wait_for(running)
+    reports = progress.read_metrics(spark, f"{base}/{progress.METRICS}").where(F.col("query") == running.name)
+    return reports.agg(
+        F.count_distinct("batch_id").alias("batches"),
+        F.sum("input_rows").alias("input_rows"),
+        (F.min("handling_ms") > 0).alias("all_timed"),
+    )
+
+
+@query
+def stream_counters(spark, sf_dir):
+    """What the pipeline's micro-batches counted, without a look at the tables."""
+    base = _run_dir(spark)
+    _run_scored(spark, sf_dir, base)
+    counters = progress.live_counters(spark, base)
+    return counters.select("total_events", "total_anomalies", (F.col("processor_lag_ms") > 0).alias("has_lag"))
+
+
 @query
 def stream_windows_completed(spark, sf_dir):
     """Windows that the watermark has passed, each written once."""

@@ -79,12 +79,33 @@ def arriving_readings(
     return as_readings(parquet_stream(spark, RAW_EVENTS, folder, max_files=1), zoned=True)
 
 
+def repeated_arrivals(spark: SparkSession, sf_dir: str, folder: str, batches: int = 6) -> None:
+    """The event table in ``batches`` folders by time, with repeats: every third event twice in
+    its own folder, every fifth again in the next."""
+    raw = spark.read.schema(RAW_EVENTS).parquet(f"{sf_dir}/events.parquet")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = raw.agg(F.min(micros), F.max(micros)).first()
+    width = max(1, -(-((last or 0) - (first or 0) + 1) // batches))
+    arrival = F.coalesce(F.floor((micros - F.lit(first or 0)) / width).cast("int"), F.lit(0))
+    own = raw.withColumn("arrival", arrival)
+    again = own.where("event_id % 3 = 0").unionByName(
+        own.where("event_id % 5 = 0").withColumn("arrival", F.least(F.col("arrival") + 1, F.lit(batches - 1)))
+    )
+    own.unionByName(again).repartition("arrival").write.partitionBy("arrival").parquet(folder)
+    _arrive_in_turn(spark, folder, newest_first=False)
+
+
 def _arrive_in_turn(spark: SparkSession, folder: str, newest_first: bool) -> None:
     """Let the files' times tell the order of their slices: streams read the oldest first."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    parts = sorted(s.getPath().toString() for s in files.listStatus(path) if s.getPath().getName().startswith("part-"))
+    parts, listed = [], files.listFiles(path, True)
+    while listed.hasNext():
+        file = listed.next().getPath()
+        if file.getName().startswith("part-"):
+            parts.append(file.toString())
+    parts.sort()
     began = int(time.time() * 1000) - 1000 * len(parts)
     for i, part in enumerate(reversed(parts) if newest_first else parts):
         files.setTimes(jvm.org.apache.hadoop.fs.Path(part), began + 1000 * i, -1)

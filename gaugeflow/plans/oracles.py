@@ -88,6 +88,42 @@ _TIER = "(['low', 'medium', 'high', 'critical'])[{rank}]"
 _Z_RANK = "CASE WHEN s >= 5 THEN 4 WHEN s >= 4 THEN 3 WHEN s >= 3 THEN 2 ELSE 1 END"
 _E_RANK = "CASE WHEN s * 1.25 > 7 THEN 4 WHEN s * 1.25 > 5 THEN 3 WHEN s * 1.25 > 4 THEN 2 ELSE 1 END"
 
+_SEASONAL = """
+phased AS (SELECT *, hour(recorded_at)::INT AS phase FROM readings),
+placed AS (
+  SELECT *, value - baseline AS residual FROM phased
+  JOIN (SELECT sensor_id, phase, quantile_disc(value, 0.5) AS baseline FROM phased GROUP BY ALL) USING (sensor_id, phase)
+),
+seasonal AS (
+  SELECT event_id, sensor_id, phase, baseline, residual,
+    abs(residual) / CASE WHEN mad > 0 THEN mad * 1.4826::DOUBLE ELSE 1.0::DOUBLE END AS score
+  FROM placed JOIN (
+    SELECT sensor_id, phase, quantile_disc(abs(residual), 0.5) AS mad FROM placed GROUP BY ALL
+  ) USING (sensor_id, phase)
+)"""
+
+# One anomaly of a sensor after the other.
+_JUDGED = """
+numbered AS (
+  SELECT l.event_id, l.sensor_id, l.sensor_type, l.detected_at, o.n AS no,
+    row_number() OVER (PARTITION BY l.sensor_id ORDER BY o.n) AS k
+  FROM layered l JOIN ordered o USING (event_id)
+),
+judged AS (
+  SELECT event_id, sensor_id, k, no, true AS alerted, detected_at AS alerted_at, false AS armed, 0::BIGINT AS repeats
+  FROM numbered WHERE k = 1
+  UNION ALL
+  SELECT event_id, sensor_id, k, no, again, CASE WHEN again THEN detected_at ELSE alerted_at END,
+    ready AND NOT again, CASE WHEN again THEN 0 ELSE repeats + 1 END
+  FROM (
+    SELECT n.*, j.alerted_at, j.repeats, j.armed OR n.no - j.no > 2 AS ready,
+      ready AND n.detected_at >= j.alerted_at
+        + CASE n.sensor_type WHEN 'purchase' THEN INTERVAL 3 DAY ELSE INTERVAL 1 DAY END AS again
+    FROM judged j JOIN numbered n ON n.sensor_id = j.sensor_id AND n.k = j.k + 1
+  )
+)"""
+_JUDGED_ROWS = "SELECT event_id, sensor_id, no AS reading_no, alerted, repeats FROM judged"
+
 ORACLES: dict[str, str] = {
     "window_metrics_1m": _with(_windows("1 minute"), select="SELECT * FROM metrics"),
     "window_metrics_1h": _with(_windows("1 hour"), select="SELECT * FROM metrics"),
@@ -330,4 +366,45 @@ WHERE window_end <= (SELECT max(ts) - INTERVAL 60 MINUTE FROM events)""",
   '{"k":"' || json_extract_string(props, '$.k') || '"}' AS tags
 FROM readings"""
     ),
+    "seasonal_scores": _with(
+        _SEASONAL,
+        select="""SELECT event_id, sensor_id, phase, baseline, round(residual, 8) AS residual,
+  round(score, 8) AS seasonal_score FROM seasonal""",
+    ),
+    "seasonal_anomalies": _with(
+        _SEASONAL,
+        select="""SELECT event_id, round(score, 8) AS seasonal_score, CASE WHEN score >= 5 THEN 'critical'
+  WHEN score >= 4 THEN 'high' ELSE 'medium' END AS severity FROM seasonal WHERE score >= 3.5""",
+    ),
+    "alerts_suppressed": _detector(_JUDGED_ROWS, _JUDGED),
+    "stream_alerts": _detector(_JUDGED_ROWS, _JUDGED),
+    "alerts_delivered": _detector(
+        """SELECT unnest(CASE severity WHEN 'low' THEN ['log'] WHEN 'medium' THEN ['log', 'mail']
+    WHEN 'high' THEN ['log', 'mail', 'chat'] ELSE ['log', 'mail', 'chat', 'pager'] END) AS channel,
+  sensor_id, severity, value::VARCHAR AS value, strftime(detected_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp
+FROM layered"""
+    ),
+    "rejects_stored": """
+SELECT CASE event_type WHEN 'error' THEN 'malformed' WHEN 'signup' THEN 'malformed'
+  WHEN 'view' THEN 'bad_timestamp' WHEN 'click' THEN 'missing_field' END AS reject_reason,
+  count(*) AS waiting, count(*) FILTER (event_type = 'error') AS replayed
+FROM events WHERE event_type <> 'purchase' GROUP BY 1""",
+    "versions_decoded": _with(
+        select="""SELECT event_id, CASE WHEN known THEN NULL ELSE 'unknown_version' END AS reject_reason,
+  CASE WHEN known THEN sensor_id END AS sensor_id, CASE WHEN known THEN sensor_type END AS sensor_type,
+  CASE WHEN known THEN location END AS location, CASE WHEN known THEN value END AS value,
+  CASE WHEN known THEN unit END AS unit, CASE WHEN known THEN recorded_at END AS recorded_at
+FROM (SELECT *, event_id % 10 <> 9 AS known FROM readings)"""
+    ),
+    "versions_merged": _with(
+        select=f"""SELECT {_EVENT_ROW.replace("unit,", "CASE WHEN event_id % 2 = 0 THEN unit END AS unit,")},
+  CASE WHEN event_id % 2 = 1 THEN 'checked' END AS quality, (1 + event_id % 2)::INT AS schema_version FROM readings"""
+    ),
+    "stream_deduped": _with(select=f"SELECT {_EVENT_ROW} FROM readings"),
+    "stream_metrics": """
+SELECT greatest(8, ceil(count(*) / 1000000.0))::BIGINT AS batches, count(*) AS input_rows, true AS all_timed FROM events""",
+    "stream_counters": _detector(
+        """SELECT (SELECT count(*) FROM readings) AS total_events, (SELECT count(*) FROM layered) AS total_anomalies,
+  true AS has_lag"""
+    ),
 }

@@ -18,7 +18,7 @@ SNAPSHOT_TYPE = "pipeline_update"
 SNAPSHOT_ROWS = 5
 
 
-def _record(started_at: AsOf, as_of: AsOf, lag_ms: int) -> Column:
+def _record(started_at: AsOf, as_of: AsOf, lag_ms: Column) -> Column:
     elapsed = seconds_between(as_of_column(started_at), as_of_column(as_of))
     rate = F.col("total_events") / elapsed
     return F.struct(
@@ -26,7 +26,7 @@ def _record(started_at: AsOf, as_of: AsOf, lag_ms: int) -> Column:
         F.when(elapsed > 0, rate).otherwise(F.lit(0.0)).alias("events_per_second"),
         F.col("total_anomalies").alias("anomalies_detected"),
         F.lit(0).cast("long").alias("active_sensors"),
-        F.lit(lag_ms).cast("long").alias("processor_lag_ms"),
+        lag_ms.cast("long").alias("processor_lag_ms"),
     )
 
 
@@ -45,7 +45,7 @@ def pipeline_stats(
     """
     counters = table_counters(events, anomalies, as_of)
     return counters.select(
-        _record(started_at, as_of, lag_ms).alias("pipeline"),
+        _record(started_at, as_of, F.lit(lag_ms)).alias("pipeline"),
         F.struct(*counters.columns).alias("database"),
         "active_sensors",
     )
@@ -75,22 +75,27 @@ def pipeline_snapshot(
     as_of: AsOf = None,
     lag_ms: int = 0,
     tiebreak: Sequence[str] = (),
+    counters: DataFrame | None = None,
 ) -> DataFrame:
     """One row for a live view: ``type`` and ``data``.
 
     ``data`` holds the counters, the newest five anomalies and events, and the
     windows in progress: one per sensor type and location seen since the minute
-    of ``as_of`` began.
+    of ``as_of`` began. ``counters`` is one row of total_events, total_anomalies and
+    processor_lag_ms, as :func:`gaugeflow.streaming.progress.live_counters` gives it;
+    without it both tables are counted.
     """
-    counters = events.sparkSession.range(1).select(
-        events.agg(F.count(F.lit(1))).scalar().alias("total_events"),
-        anomalies.agg(F.count(F.lit(1))).scalar().alias("total_anomalies"),
-    )
+    if counters is None:
+        counters = events.sparkSession.range(1).select(
+            events.agg(F.count(F.lit(1))).scalar().alias("total_events"),
+            anomalies.agg(F.count(F.lit(1))).scalar().alias("total_anomalies"),
+            F.lit(lag_ms).alias("processor_lag_ms"),
+        )
     newest_events = recent_events(events, SNAPSHOT_ROWS, tiebreak=tiebreak)
     newest_anomalies = recent_anomalies(anomalies, SNAPSHOT_ROWS, tiebreak)
     windows = current_window_metrics(events, as_of)
     data = F.struct(
-        _record(started_at, as_of, lag_ms).alias("stats"),
+        _record(started_at, as_of, F.col("processor_lag_ms")).alias("stats"),
         _listed(newest_anomalies, ANOMALY_COLUMNS, "detected_at", tiebreak).alias("anomalies"),
         _listed(newest_events, EVENT_COLUMNS, "recorded_at", tiebreak).alias("events"),
         _listed(windows, WINDOW_COLUMNS, "window_start", ("sensor_type", "location")).alias(

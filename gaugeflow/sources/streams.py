@@ -70,19 +70,26 @@ def publish_kafka_stream(
 MAX_BATCH_BYTES = 256 * 1024 * 1024
 
 
-def _capped(reader, max_files: int | None):
+def _capped(reader, max_files: int | None, max_bytes: int):
     if max_files:
         return reader.option("maxFilesPerTrigger", max_files)
-    return reader.option("maxBytesPerTrigger", MAX_BATCH_BYTES)
+    return reader.option("maxBytesPerTrigger", max_bytes)
 
 
 def parquet_stream(
-    spark: SparkSession, schema: T.StructType, path: str, max_files: int | None = None
+    spark: SparkSession,
+    schema: T.StructType,
+    path: str,
+    max_files: int | None = None,
+    max_bytes: int = MAX_BATCH_BYTES,
 ) -> DataFrame:
-    """New Parquet files under ``path`` (a folder or a glob) as a stream."""
-    return _capped(spark.readStream.schema(schema), max_files).parquet(path)
+    """New Parquet files under ``path`` (a folder or a glob) as a stream, so many files
+    or bytes of them in a micro-batch."""
+    return _capped(spark.readStream.schema(schema), max_files, max_bytes).parquet(path)
 
 
-def text_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+def text_stream(
+    spark: SparkSession, path: str, max_files: int | None = None, max_bytes: int = MAX_BATCH_BYTES
+) -> DataFrame:
     """JSON lines under ``path`` as a stream with a ``value`` column, for replay."""
-    return _capped(spark.readStream, max_files).text(path)
+    return _capped(spark.readStream, max_files, max_bytes).text(path)

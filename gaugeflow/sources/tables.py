@@ -8,6 +8,7 @@ skip row groups).
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -111,6 +112,33 @@ def read_table(spark: SparkSession, base: str, table: str) -> DataFrame:
     return stored.drop(RUN, BATCH)
 
 
+#: Names that stored versions of the event table have for columns of the newest one.
+TABLE_RENAMES: Mapping[int, Mapping[str, str]] = {1: {}, 2: {"observed_at": "recorded_at", "kind": "sensor_type"}}
+
+
+def merged_versions(
+    frames: Mapping[int, DataFrame], renames: Mapping[int, Mapping[str, str]] = TABLE_RENAMES
+) -> DataFrame:
+    """Event tables of several versions as one, by column name.
+
+    Adds ``schema_version``. A column that only some versions have is null in the
+    others; the event's own columns are there in any case, in their types.
+    """
+    merged = None
+    for version in sorted(frames):
+        rows = frames[version].withColumnsRenamed(dict(renames.get(version, {})))
+        own = [
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in EVENT.fields
+        ]
+        others = [c for c in rows.columns if c not in EVENT_COLUMNS]
+        rows = rows.select(*own, *others, F.lit(version).alias("schema_version"))
+        merged = rows if merged is None else merged.unionByName(rows, allowMissingColumns=True)
+    if merged is None:
+        raise ValueError("no version is given")
+    return merged
+
+
 def since(rows: DataFrame, table: str, start) -> DataFrame:
     """Rows at or after ``start``, with the day filter that prunes partitions."""
     moment = F.lit(start)

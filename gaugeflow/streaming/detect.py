@@ -13,34 +13,41 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaugeflow.functions.codec import tags_from_json, tags_to_json
-from gaugeflow.operators.detect import merge_detectors
-from gaugeflow.operators.fold import SCORE_COLUMNS, STATE_FIELDS, empty_states, score_runs
+from gaugeflow.operators.alerts import AlertPolicy, AlertState, judge_runs
+from gaugeflow.operators.detect import fired_mask, merge_detectors
+from gaugeflow.operators.fold import SCORE_COLUMNS, STATE_FIELDS, Scores, empty_states, score_runs
 from gaugeflow.settings import DetectorSettings
 
 #: Buckets that the sensors are hashed to; part of the state's key, so fixed for the life
 #: of a checkpoint. A bucket's states are read and written together, some 80 bytes each.
 BUCKETS = 64
 
-_STATE = "sensors array<string>, numbers binary, last_at array<long>, seen_ms array<long>"
+_STATE = "sensors array<string>, numbers binary, last_at array<long>, seen_ms array<long>, alerts binary"
 _SCORE_TYPES = ("Int64", *["Float64"] * (len(SCORE_COLUMNS) - 1))
 _NEVER = np.iinfo(np.int64).min
 
 
 class _Bucket:
-    """States of a bucket's sensors: a row of numbers for each, the newest time scored
-    and when the sensor was last heard of."""
+    """States of a bucket's sensors: a row of numbers for each, the newest time scored, when
+    the sensor was last heard of, and its last alert."""
+
+    _ALERT = np.dtype([("last_no", np.int64), ("alerted_at", np.int64), ("armed", np.int64), ("repeats", np.int64)])
+    _SILENT = (-1, _NEVER, 1, 0)
 
     def __init__(self, stored: tuple | None):
-        sensors, numbers, last_at, seen = stored or ([], b"", [], [])
+        sensors, numbers, last_at, seen, alerts = stored or ([], b"", [], [], b"")
         self.sensors = list(sensors)
         self.numbers = np.frombuffer(numbers).reshape(-1, len(STATE_FIELDS)).copy()
         self.last_at, self.seen = np.array(last_at, np.int64), np.array(seen, np.int64)
+        self.alerts = np.frombuffer(alerts, self._ALERT).copy()
 
     def forget(self, before_ms: int) -> None:
         kept = self.seen > before_ms
         if not kept.all():
             self.sensors = [s for s, stays in zip(self.sensors, kept) if stays]
-            self.numbers, self.last_at, self.seen = (x[kept] for x in (self.numbers, self.last_at, self.seen))
+            self.numbers, self.last_at, self.seen, self.alerts = (
+                x[kept] for x in (self.numbers, self.last_at, self.seen, self.alerts)
+            )
 
     def places(self, sensors: Sequence) -> np.ndarray:
         """Rows of the given sensors; new ones are added."""
@@ -51,13 +58,38 @@ class _Bucket:
         self.numbers = np.concatenate([self.numbers, empty_states(len(new))])
         self.last_at = np.concatenate([self.last_at, np.full(len(new), _NEVER)])
         self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        self.alerts = np.concatenate([self.alerts, np.array([self._SILENT] * len(new), self._ALERT)])
         return np.array([place[s] for s in sensors], np.int64)
 
+    def alert_state(self, place: int) -> AlertState:
+        last_no, alerted_at, armed, repeats = self.alerts[place].tolist()
+        return AlertState(
+            None if last_no < 0 else last_no, None if alerted_at == _NEVER else alerted_at, bool(armed), repeats
+        )
+
+    def keep_alert(self, place: int, s: AlertState) -> None:
+        self.alerts[place] = (s.last_no, _NEVER if s.alerted_at is None else s.alerted_at, s.armed, s.repeats)
+
     def stored(self) -> tuple:
-        return self.sensors, self.numbers.tobytes(), self.last_at.tolist(), self.seen.tolist()
+        return self.sensors, self.numbers.tobytes(), self.last_at.tolist(), self.seen.tolist(), self.alerts.tobytes()
 
 
-def _score_bucket(rows: pd.DataFrame, bucket: _Bucket, alpha: float, order: list[str], now: int) -> pd.DataFrame:
+def _judged(bucket: _Bucket, policy: AlertPolicy, place: np.ndarray, number, at, kinds) -> tuple[list, list]:
+    """Alerts and repeats of a bucket's anomalies, sorted by sensor and reading."""
+    starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    own = place[starts].tolist()
+    states = {p: bucket.alert_state(p) for p in own}
+    cooldowns = [policy.micros(None if pd.isna(kind) else kind) for kind in kinds]
+    lengths = np.diff(np.append(starts, len(place)))
+    judged = judge_runs(own, lengths, number.tolist(), at.tolist(), cooldowns, states.get, policy.normals)
+    for p, state in states.items():
+        bucket.keep_alert(p, state)
+    return judged
+
+
+def _score_bucket(
+    rows: pd.DataFrame, bucket: _Bucket, settings: DetectorSettings, order: list[str], policy: AlertPolicy | None, now: int
+) -> pd.DataFrame:
     """The rows of all sensors of a bucket, sorted by sensor and time, with their scores."""
     codes, sensors = pd.factorize(rows["sensor_id"], use_na_sentinel=False)
     sensors = [None if pd.isna(s) else s for s in sensors]
@@ -68,23 +100,32 @@ def _score_bucket(rows: pd.DataFrame, bucket: _Bucket, alpha: float, order: list
 
     # A reading without a value keeps its row, without scores.
     there = np.flatnonzero(rows["value"].notna().to_numpy())
-    scores = {name: pd.Series(index=rows.index, dtype=kind) for name, kind in zip(SCORE_COLUMNS, _SCORE_TYPES)}
+    own = codes[there]
+    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+    at_place = place[own[starts]]
+    values = rows["value"].to_numpy(np.float64)[there]
     if len(there):
-        own = codes[there]
-        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         lengths = np.diff(np.append(starts, len(own)))
-        at_place = place[own[starts]]
-        values = rows["value"].to_numpy(np.float64)[there]
-        scored, ends = score_runs(values, starts, lengths, bucket.numbers[at_place], alpha)
-        bucket.numbers[at_place] = ends
-        for name, kind, column in zip(SCORE_COLUMNS, _SCORE_TYPES, scored):
-            scores[name] = pd.Series(pd.array(column, dtype=kind), index=there).reindex(rows.index)
+        scored, bucket.numbers[at_place] = score_runs(values, starts, lengths, bucket.numbers[at_place], settings.alpha)
+    else:
+        scored = Scores(*[np.zeros(0)] * len(SCORE_COLUMNS))
+    new = {name: (there, column, kind) for name, kind, column in zip(SCORE_COLUMNS, _SCORE_TYPES, scored)}
+    if policy:
+        fired = np.flatnonzero(fired_mask(settings, z=True, ewma=True)(scored))
+        odd = there[fired]
+        kinds = rows["sensor_type"].to_numpy()[odd]
+        raised, repeats = _judged(bucket, policy, place[codes[odd]], scored.reading_no[fired], at[odd], kinds) if len(odd) else ([], [])
+        new |= {"alerted": (odd, raised, "boolean"), "repeats": (odd, repeats, "Int64")}
     np.maximum.at(bucket.last_at, place[codes], at)
     bucket.seen[place] = now
-    return rows.drop(columns="_code").assign(**scores, out_of_order=out_of_order)
+    columns = {
+        name: pd.Series(pd.array(column, dtype=kind), index=index).reindex(rows.index)
+        for name, (index, column, kind) in new.items()
+    }
+    return rows.drop(columns="_code").assign(**columns, out_of_order=out_of_order)
 
 
-def _stepper(alpha: float, order: list[str], ttl_ms: int | None):
+def _stepper(settings: DetectorSettings, order: list[str], ttl_ms: int | None, policy: AlertPolicy | None):
     def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         bucket = _Bucket(state.get if state.exists else None)
         now = state.getCurrentProcessingTimeMs() if ttl_ms is not None else 0
@@ -93,7 +134,7 @@ def _stepper(alpha: float, order: list[str], ttl_ms: int | None):
         if not state.hasTimedOut:
             # A bucket's share of one micro-batch, bounded by the source's trigger cap.
             rows = pd.concat(list(frames), ignore_index=True).drop(columns="_bucket")
-            yield _score_bucket(rows, bucket, alpha, order, now)
+            yield _score_bucket(rows, bucket, settings, order, policy, now)
         if not bucket.sensors:
             state.remove()
             return
@@ -110,6 +151,7 @@ def score_stream(
     tiebreak: Sequence[str] = (),
     state_ttl_ms: int | None = None,
     buckets: int = BUCKETS,
+    policy: AlertPolicy | None = None,
 ) -> DataFrame:
     """Every event with the scores of both detectors, in append mode.
 
@@ -123,6 +165,9 @@ def score_stream(
     Sensors are hashed to ``buckets``, and one call scores all readings that a bucket
     has in a micro-batch. Take so many that a bucket holds some thousand sensors; a
     checkpoint keeps the number it began with.
+
+    With ``policy``, anomalous readings also have ``alerted`` and ``repeats``, as
+    :func:`gaugeflow.operators.alerts.judged_alerts` gives them; both are null for others.
     """
     # Times travel as microseconds and tags as text: plain columns for pandas.
     wire = events.select(
@@ -140,6 +185,7 @@ def score_stream(
             *wire.schema.fields,
             T.StructField(SCORE_COLUMNS[0], T.LongType()),
             *[T.StructField(name, T.DoubleType()) for name in SCORE_COLUMNS[1:]],
+            *([T.StructField("alerted", T.BooleanType()), T.StructField("repeats", T.LongType())] if policy else []),
             T.StructField("out_of_order", T.BooleanType()),
         ]
     )
@@ -150,7 +196,7 @@ def score_stream(
     )
     bucketed = wire.withColumn("_bucket", F.pmod(F.xxhash64("sensor_id"), F.lit(buckets)))
     scored = bucketed.groupBy("_bucket").applyInPandasWithState(
-        _stepper(settings.alpha, ["_at", *tiebreak, "value"], state_ttl_ms),
+        _stepper(settings, ["_at", *tiebreak, "value"], state_ttl_ms, policy),
         schema,
         _STATE,
         "append",
@@ -166,6 +212,7 @@ def score_stream(
         F.timestamp_micros("_at").alias("recorded_at"),
         *tiebreak,
         *SCORE_COLUMNS,
+        *(("alerted", "repeats") if policy else ()),
         "out_of_order",
     )
 
@@ -182,6 +229,20 @@ def anomaly_stream(
     return merge_detectors(scored, settings, tiebreak)
 
 
+def deduplicated_stream(
+    events: DataFrame, within: str = "60 minutes", keys: Sequence[str] = ("sensor_id", "recorded_at")
+) -> DataFrame:
+    """The first event to arrive of each sensor and time.
+
+    Repeats are recognised as long as they come before the newest event is ``within``
+    ahead of them; the keys seen are state until then, and an event that comes later
+    than that is dropped, since it could be a repeat.
+    :func:`gaugeflow.operators.derived.deduplicated_events` does the same to a stored
+    table without a limit.
+    """
+    return events.withWatermark("recorded_at", within).dropDuplicatesWithinWatermark(list(keys))
+
+
 def alert_lines(anomalies: DataFrame) -> DataFrame:
     """What an alert says: sensor, severity, score."""
     return anomalies.select("sensor_id", "severity", "z_score")

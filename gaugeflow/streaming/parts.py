@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeflow.operators.windows import DEFAULT_WIDTH, nearest_rank
+from gaugeflow.operators.windows import DEFAULT_WIDTH, p99_rank
 from gaugeflow.schemas import WINDOW_COLUMNS, WINDOW_METRIC
 from gaugeflow.sources.tables import BATCH, RUN
 
@@ -67,7 +67,7 @@ def merged_parts(parts: DataFrame) -> DataFrame:
     """The metrics of all windows that have parts."""
     group = Window.partitionBy(*_KEYS)
     upto = group.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reaches = F.sum("times").over(upto) >= nearest_rank(F.sum("times").over(group))
+    reaches = F.sum("times").over(upto) >= p99_rank(F.sum("times").over(group))
     ranked = _values(parts).withColumn("reaches", reaches).select(
         *_KEYS,
         F.lit(0).cast("long").alias("count"),

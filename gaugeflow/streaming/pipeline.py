@@ -11,7 +11,8 @@ One JSON stream feeds two queries, each with its own checkpoint:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -22,6 +23,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gaugeflow.functions.codec import decode, split
 from gaugeflow.functions.timeparts import AsOf
+from gaugeflow.operators.alerts import AlertPolicy
+from gaugeflow.operators.derived import ROUTES, alert_payload, routed_alerts
 from gaugeflow.operators.detect import merge_detectors
 from gaugeflow.operators.windows import DEFAULT_WIDTH, window_metrics
 from gaugeflow.plans.snapshot import pipeline_snapshot, snapshot_json
@@ -30,10 +33,12 @@ from gaugeflow.settings import DetectorSettings
 from gaugeflow.sources.tables import ANOMALIES, BATCH, EVENTS, RUN, append_batch, run_of
 from gaugeflow.streaming.detect import score_stream
 from gaugeflow.streaming.parts import store_parts
+from gaugeflow.streaming.progress import live_counters, observed, store_counters
 
 CHANGED_WINDOWS = "changed_windows"
 COMPLETED_WINDOWS = "completed_windows"
 REJECTS = "rejects"
+ALERTS = "alerts"
 RETENTION = "60 minutes"
 
 
@@ -47,6 +52,8 @@ class PipelineOptions:
     tiebreak: tuple[str, ...] = ()
     available_now: bool = False
     state_partitions: int | None = None
+    #: Which anomalies raise an alert; None for no alerts.
+    alerts: AlertPolicy | None = field(default_factory=AlertPolicy)
 
     def checkpoint(self, name: str) -> str:
         return f"{self.checkpoints.rstrip('/')}/{name}"
@@ -90,16 +97,24 @@ Sink = Callable[[DataFrame, int], None]
 
 
 def store_scored(options: PipelineOptions, run: str) -> Sink:
-    """Per micro-batch: anomalies first, then all events."""
+    """Per micro-batch: alerts, if they are judged, and anomalies first, then all events, then
+    how many they were and how long it took. The rows are counted while they are written."""
+    alerts = store_alerts(options.base, run)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        began = time.monotonic()
         batch.persist()
         try:
-            anomalies = merge_detectors(batch, options.settings)
-            append_batch(anomalies, options.base, ANOMALIES, batch_id, run)
-            append_batch(batch, options.base, EVENTS, batch_id, run)
+            judged = [c for c in ("alerted",) if c in batch.columns]
+            found = merge_detectors(batch, options.settings, judged)
+            if judged:
+                alerts(found, batch_id)
+            anomalies = observed(found, lambda rows: append_batch(rows, options.base, ANOMALIES, batch_id, run))
+            events = observed(batch, lambda rows: append_batch(rows, options.base, EVENTS, batch_id, run))
         finally:
             batch.unpersist()
+        took = max(1, round(1000 * (time.monotonic() - began)))
+        store_counters(options.base, run, batch.sparkSession, batch_id, events, anomalies, took)
 
     return write
 
@@ -117,6 +132,44 @@ def store_changes(path: str, run: str) -> Sink:
     return write
 
 
+def store_alerts(
+    base: str, run: str, routes: Mapping[str, Sequence[str]] = ROUTES, link: str = ""
+) -> Sink:
+    """Per micro-batch of anomalies: the payload of each alert once in the folder of every
+    channel that its severity goes to. Anomalies that repeat an alert, by a column
+    ``alerted``, are not sent. A retry replaces the batch's own files."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        raised = batch.where("alerted") if "alerted" in batch.columns else batch
+        sent = routed_alerts(raised, routes).select("channel", alert_payload(link).alias("payload"))
+        path = f"{base.rstrip('/')}/{ALERTS}/{RUN}={run}/{BATCH}={batch_id}"
+        sent.write.mode("overwrite").partitionBy("channel").parquet(path)
+
+    return write
+
+
+def stored_alerts(spark: SparkSession, base: str) -> DataFrame:
+    """Payload and channel of all alerts stored."""
+    schema = f"payload string, {RUN} string, {BATCH} long, channel string"
+    return spark.read.schema(schema).parquet(f"{base.rstrip('/')}/{ALERTS}").select("channel", "payload")
+
+
+def stored_rejects(spark: SparkSession, base: str, keep: Sequence[T.StructField] = ()) -> DataFrame:
+    """The records that could not be decoded, as the rejects query stored them: raw text,
+    reason, the columns kept, and when each was stored. Decode ``raw`` again to replay."""
+    schema = T.StructType(
+        [
+            T.StructField("raw", T.StringType()),
+            T.StructField("reject_reason", T.StringType()),
+            *keep,
+            T.StructField("stored_at", T.TimestampType()),
+            T.StructField(RUN, T.StringType()),
+            T.StructField(BATCH, T.LongType()),
+        ]
+    )
+    return spark.read.schema(schema).parquet(f"{base.rstrip('/')}/{REJECTS}").drop(RUN, BATCH)
+
+
 def in_turn(*sinks: Sink) -> Sink:
     """One sink after the other; a retry repeats all, each replacing its own rows."""
 
@@ -147,7 +200,7 @@ def start_pipeline(
     """
     good, rejects = split(decode(lines, payload, tuple(keep)), options.on_missing)
     tiebreak = options.tiebreak or tuple(keep)
-    scored = score_stream(good, options.settings, tiebreak)
+    scored = score_stream(good, options.settings, tiebreak, policy=options.alerts)
     spark = lines.sparkSession
     run = run_of(spark, options.checkpoint("readings"))
     readings_sink = in_turn(store_scored(options, run), store_parts(options.base, run))
@@ -205,16 +258,19 @@ def start_snapshots(
     started_at: AsOf,
     checkpoint: str,
     interval: str = "1 second",
+    base: str | None = None,
 ) -> StreamingQuery:
     """Publish a snapshot of the tables at every tick.
 
     ``load`` gives the current event and anomaly frames, ``publish`` receives one
-    row with the JSON text.
+    row with the JSON text. With ``base``, the folder of the pipeline's tables, totals
+    and lag come from what its micro-batches counted, and no table is counted.
     """
 
     def tick(_: DataFrame, __: int) -> None:
         events, anomalies = load()
-        publish(snapshot_json(pipeline_snapshot(events, anomalies, started_at)))
+        counters = live_counters(spark, base) if base else None
+        publish(snapshot_json(pipeline_snapshot(events, anomalies, started_at, counters=counters)))
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return (

@@ -110,6 +110,41 @@ def test_braces_in_texts_and_keys_that_come_twice(spark):
     assert rows[2].tags == {"k": "}", "n": ""}
 
 
+def test_records_of_several_versions(spark):
+    second = {
+        "schema_version": 2,
+        "sensor": {"id": "s2", "type": "heat", "location": "roof"},
+        "reading": {"value": 3, "unit": "K"},
+        "recorded_at": "2024-03-01T13:00:00+01:00",
+        "tags": {"a": "b"},
+    }
+    lines = [
+        _line(),
+        _line(schema_version=1),
+        _line(schema_version=None),
+        json.dumps(second),
+        json.dumps({**second, "schema_version": 3}),
+        _line(schema_version="2"),
+        json.dumps({**second, "sensor": "s2"}),
+        json.dumps({**second, "reading": {"value": "3", "unit": "K"}}),
+        "no json",
+    ]
+    frame = spark.createDataFrame(list(enumerate(lines)), "n int, value string")
+    decoded = codec.decode(frame, keep=("n",), versions=codec.WIRE_VERSIONS)
+    good, rejects = codec.split(decoded)
+    rows = {r.n: r for r in good.collect()}
+    assert sorted(rows) == [0, 1, 2, 3]
+    assert (rows[3].sensor_id, rows[3].sensor_type, rows[3].location) == ("s2", "heat", "roof")
+    assert (rows[3].value, rows[3].unit, rows[3].tags) == (3.0, "K", {"a": "b"})
+    assert len(set(_times(good))) == 1
+    reasons = {r.n: r.reject_reason for r in rejects.collect()}
+    assert reasons == {
+        4: "unknown_version", 5: "unknown_version", 6: "missing_field", 7: "malformed", 8: "malformed"
+    }
+    # Without a choice of versions the field means nothing.
+    assert codec.split(codec.decode(frame.where("n = 1")))[1].isEmpty()
+
+
 def test_missing_fields(spark):
     lines = [_line(value=...), _line(sensor_id=None), _line(timestamp=...), _line(unit=...), "{}"]
     good, rejects = codec.split(_decoded(spark, *lines))

@@ -2,11 +2,17 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeflow.functions.codec import decode, split
-from gaugeflow.operators import derived
+from gaugeflow.operators import derived, windows
+from gaugeflow.schemas import EVENT, EVENT_COLUMNS
+from gaugeflow.sources import tables
+from gaugeflow.streaming import pipeline
 
+EVENT_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT.fields)
 NOON = dt.datetime(2024, 1, 1, 12)
 
 
@@ -73,3 +79,36 @@ def test_only_one_json_object_is_decoded(spark):
     readings, rejects = split(decode(lines, "line", keep=("line",)))
     assert {r["line"] for r in readings.select("line").collect()} == {t for t, ok in texts.items() if ok}
     assert rejects.count() == sum(not ok for ok in texts.values())
+
+
+def test_tables_of_several_versions_are_one(spark):
+    old = spark.createDataFrame([("a", "t", "l", 1.0, "u", None, NOON, 7)], f"{EVENT_DDL}, id int")
+    new = spark.createDataFrame([("b", 2, NOON, "ok")], "sensor_id string, value int, observed_at timestamp, quality string")
+    merged = tables.merged_versions({2: new, 1: old})
+    assert merged.columns == [*EVENT_COLUMNS, "id", "schema_version", "quality"]
+    rows = {r.sensor_id: r for r in merged.collect()}
+    assert (rows["a"].schema_version, rows["a"].id, rows["a"].quality) == (1, 7, None)
+    assert (rows["b"].schema_version, rows["b"].value, rows["b"].recorded_at) == (2, 2.0, NOON)
+    assert rows["b"].sensor_type is None and rows["b"].quality == "ok"
+    with pytest.raises(ValueError):
+        tables.merged_versions({})
+
+
+def test_rollup_keeps_null_types_and_locations(spark):
+    rows = [(kind, place, float(i), _after(i)) for i in range(12) for kind in ("t", None) for place in ("l", None)]
+    events = spark.createDataFrame(rows, "sensor_type string, location string, value double, recorded_at timestamp")
+    got = derived.rollup(windows.window_metrics(events), events, "5 minutes").collect()
+    want = windows.window_metrics(events, "5 minutes").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 12
+    assert all(r.p99 is not None for r in got)
+
+
+def test_stored_rejects_are_read_back(spark, tmp_path):
+    lines = spark.createDataFrame([("oops", 1), ("{}", 2), ("#{}", 3)], "value string, n int")
+    _, rejects = split(decode(lines, keep=("n",)))
+    pipeline.store_changes(f"{tmp_path}/{pipeline.REJECTS}", "run")(rejects, 4)
+    stored = pipeline.stored_rejects(spark, str(tmp_path), [T.StructField("n", T.IntegerType())])
+    assert {(r.raw, r.reject_reason, r.n) for r in stored.collect()} == {
+        ("oops", "malformed", 1), ("{}", "missing_field", 2), ("#{}", "malformed", 3)
+    }
+    assert {tuple(r) for r in derived.reject_depth(stored).collect()} == {("malformed", 2), ("missing_field", 1)}

@@ -10,12 +10,13 @@ from gaugeflow.functions.codec import event_json
 from gaugeflow.operators import detect, windows
 from gaugeflow.operators.fold import SCORE_COLUMNS
 from gaugeflow.plans.inputs import RAW_EVENTS, TIEBREAK, as_readings, readings
+from gaugeflow.plans.snapshot import pipeline_snapshot, snapshot_json
 from gaugeflow.schemas import WINDOW_COLUMNS
 from gaugeflow.sources import tables
 from gaugeflow.sources.streams import parquet_stream, text_stream
 from gaugeflow.streaming import parts, pipeline
-from gaugeflow.streaming.detect import anomaly_stream, score_stream
-from gaugeflow.streaming.progress import handling_ms, progress_frame
+from gaugeflow.streaming.detect import anomaly_stream, deduplicated_stream, score_stream
+from gaugeflow.streaming.progress import MetricsTable, handling_ms, live_counters, progress_frame, read_metrics
 
 
 def _parts(spark, medium, folder, parts=4):
@@ -325,3 +326,75 @@ def test_an_unfinished_compaction_changes_nothing(spark, tmp_path):
     assert parts.compact_windows(spark, base) == 0
     assert _metric_rows(parts.live_windows(spark, base)) == want
     assert spark.read.parquet(f"{base}/{parts.PARTS}").select("batch_id").distinct().count() == 1
+
+
+def test_repeats_are_dropped_within_a_batch_in_later_ones_and_after_a_restart(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    rows = event_rows({"a": spiky(40), "b": spiky(40, seed=2)}, step_ms=60_000)
+    zoned = event_frame(spark, rows).withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
+    thirds = [zoned.where(F.minute("recorded_at") % 3 == i) for i in range(3)]
+    for put in (
+        thirds[0].union(thirds[0]),  # in one micro-batch
+        thirds[1].union(thirds[0].limit(5)),  # in a later one
+        thirds[2].union(thirds[1]),  # after a restart: each call is a run of its own
+    ):
+        put.coalesce(1).write.mode("append").parquet(folder)
+        stream = parquet_stream(spark, zoned.schema, folder, max_files=1)
+        _to_parquet(deduplicated_stream(stream), out, checkpoint)
+    stored = spark.read.parquet(out)
+    assert sorted(r.event_id for r in stored.collect()) == sorted(r[0] for r in rows)
+
+
+def test_every_report_of_a_long_query_is_kept(spark, tmp_path):
+    folder, path = str(tmp_path / "in"), str(tmp_path / "metrics")
+    spark.range(105).repartition(105, "id").write.option("maxRecordsPerFile", 1).parquet(folder)
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(folder)
+    with MetricsTable(spark, path, every=20) as metrics:
+        writer = stream.writeStream.queryName("long").format("noop").option("checkpointLocation", str(tmp_path / "ck"))
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert metrics.wait_for(query)
+    assert len(query.recentProgress) <= 100  # what a query keeps itself
+    rows = read_metrics(spark, path).where("query = 'long'").orderBy("batch_id").collect()
+    assert [r.batch_id for r in rows] == list(range(len(rows))) and len(rows) > 100
+    assert sum(r.input_rows for r in rows) == 105
+    assert all(r.handling_ms > 0 and r.late_rows == 0 for r in rows)
+
+
+def test_counters_are_kept_per_batch_and_read_by_the_snapshot(spark, small, tmp_path):
+    base = str(tmp_path / "base")
+    assert live_counters(spark, base).first().asDict() == {
+        "total_events": 0, "total_anomalies": 0, "processor_lag_ms": 0
+    }
+    options = pipeline.PipelineOptions(base, str(tmp_path / "ck"), tiebreak=TIEBREAK, alerts=None)
+    events = readings(spark, small, zoned=True)
+    scored = detect.score_readings(events, tiebreak=TIEBREAK).join(events.select("event_id", "unit", "tags"), "event_id")
+    write = pipeline.store_scored(options, "run")
+    quiet = scored.where("reading_no < 10")  # no anomaly in it
+    for batch, part in enumerate((quiet, scored.where("reading_no >= 10"), scored.where("reading_no >= 10"))):
+        write(part, min(batch, 1))  # the second batch twice
+    counted = live_counters(spark, base).first()
+    found = detect.layered_anomalies(events, tiebreak=TIEBREAK).count()
+    assert (counted.total_events, counted.total_anomalies) == (1000, found)
+    assert counted.processor_lag_ms > 0
+    tick = snapshot_json(pipeline_snapshot(events, scored.limit(0).withColumn("severity", F.lit("")).withColumn(
+        "detected_at", F.col("recorded_at")), START, counters=live_counters(spark, base))).first()[0]
+    stats = json.loads(tick)["data"]["stats"]
+    assert (stats["events_ingested"], stats["anomalies_detected"]) == (1000, found)
+    assert stats["processor_lag_ms"] == counted.processor_lag_ms
+
+
+def test_readings_without_time_or_keys_go_through_the_streams(spark, tmp_path):
+    folder, base = str(tmp_path / "in"), str(tmp_path / "base")
+    rows = event_rows({None: spiky(30), "a": spiky(30, seed=2)})
+    rows += [(900, "a", None, "lab", 5.0, "u", None, START), (901, "a", "heat", None, None, "u", None, START)]
+    rows += [(902, "a", "heat", "lab", 5.0, "u", None, None)]
+    zoned = event_frame(spark, rows).withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
+    zoned.coalesce(1).write.parquet(folder)
+    options = pipeline.PipelineOptions(base, str(tmp_path / "ck"), tiebreak=("event_id",))
+    scored = score_stream(parquet_stream(spark, zoned.schema, folder), tiebreak=("event_id",))
+    sink = pipeline.in_turn(pipeline.store_scored(options, "r"), parts.store_parts(base, "r"))
+    writer = scored.writeStream.option("checkpointLocation", options.checkpoint("a")).trigger(availableNow=True)
+    writer.foreachBatch(sink).start().awaitTermination()
+    assert tables.read_table(spark, base, tables.EVENTS).count() == len(rows)
+    assert _metric_rows(parts.live_windows(spark, base)) == _metric_rows(windows.window_metrics(zoned))
