@@ -79,7 +79,7 @@ class ChatTemplate:
     def escaped(self, text: Column) -> Column:
         doubled = F.replace(text, F.lit(self.escape), F.lit(self.escape * 2))
         starts = "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in self.controls)
-        return F.regexp_replace(doubled, starts, "$0" + self.escape)
+        return F.regexp_replace(doubled, starts, "$0\\" + self.escape)
 
     def unescaped(self, text: Column) -> Column:
         return F.regexp_replace(text, re.escape(self.escape) + r"([\s\S])", "$1")
