@@ -41,8 +41,11 @@ SKETCH_BITS = 20
 #: Distinct weights of a shingle's rarity.
 IDF_LEVELS = 8
 #: Entries of the table of variates, as a power of two, and weights it is made for.
-TABLE_BITS = 14
+TABLE_BITS = 17
 TABLE_WEIGHTS = 16
+#: Texts of more distinct shingles than this, an eighth of the table, have bands from
+#: variates of their own as well: they would use up the table's least entries.
+LONG_TEXT = 1 << (TABLE_BITS - 3)
 CHUNK_BYTES = 2 << 20
 
 _SLICE = 1 << 13
@@ -231,6 +234,29 @@ def draws(
     return out
 
 
+def _uniforms(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers from (0, 1) of the halves of 64 bits."""
+    low = (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    high = (mixed >> np.uint64(32)).astype(np.float64)
+    return (low + 0.5) / 2.0**32, (high + 0.5) / 2.0**32
+
+
+def long_draws(hashes: np.ndarray, weights: np.ndarray, count: int) -> np.ndarray:
+    """``count`` samples of one text of any length: as :func:`draws`, but r, c and beta are
+    made from hash bits of the shingle and the draw, without a table."""
+    log_weight, out = np.log(weights), np.zeros(count, np.uint64)
+    step = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for j in range(count):
+            mixed = [mix64(hashes ^ mix64(np.uint64([3 * j + k + 1]) * step)) for k in range(3)]
+            (u1, u2), (u3, u4), (beta, _) = map(_uniforms, mixed)
+            r, log_c = -np.log(u1 * u2), np.log(-np.log(u3 * u4))
+            t = np.floor(log_weight / r + beta)
+            at = int(np.argmin(log_c - r * (t - beta) - r))
+            out[j] = mix64(hashes[at : at + 1] + np.uint64(int(t[at]) % (1 << 64)) * step)[0]
+    return out
+
+
 def _weighed(data, offsets, rarity: Rarity):
     h, counts, bounds = distinct_shingles(data, offsets)
     level = rarity.level(h)
@@ -251,9 +277,14 @@ def _band_rows(shared, bands: int, rows: int):
                 own: list = [[]] * (b - a)
                 if len(some):
                     kept = np.append(bounds[some], bounds[-1])
-                    drawn = draws(h, rarity.weight(level, counts), kept, bands * rows)
+                    weights = rarity.weight(level, counts)
+                    drawn = draws(h, weights, kept, bands * rows)
                     for i, row in zip(some.tolist(), _bands(drawn, bands, rows).tolist()):
                         own[i] = row
+                    for i in np.flatnonzero(np.diff(bounds) > LONG_TEXT).tolist():
+                        of = slice(bounds[i], bounds[i + 1])
+                        drawn = long_draws(h[of], weights[of], bands * rows)[None, :]
+                        own[i] = own[i] + _bands(drawn, bands, rows, first=bands).tolist()[0]
                 keys += own
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "bands"]
@@ -262,8 +293,8 @@ def _band_rows(shared, bands: int, rows: int):
     return run
 
 
-def _bands(drawn: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    key = np.tile(np.arange(bands, dtype=np.uint64), (len(drawn), 1))
+def _bands(drawn: np.ndarray, bands: int, rows: int, first: int = 0) -> np.ndarray:
+    key = np.tile(np.arange(first, first + bands, dtype=np.uint64), (len(drawn), 1))
     with np.errstate(over="ignore"):
         for k in range(rows):
             key = mix64(key * np.uint64(5) + drawn[:, k::rows][:, :bands])
@@ -281,7 +312,8 @@ def _signature(drawn: np.ndarray) -> np.ndarray:
 
 
 def _sign_rows(begin: int):
-    """Signatures of profiles, from draws that the bands have not used."""
+    """Signatures of profiles, from draws that the bands have not used; null for long
+    texts, which are not sieved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,9 +321,15 @@ def _sign_rows(begin: int):
             weights = [np.frombuffer(x.as_buffer(), np.float32) for x in batch.column(2)]
             signs: list = []
             for a, b in pieces(np.array([8 * len(h) for h in hashes]), CHUNK_BYTES):
-                bounds = np.concatenate([[0], np.cumsum([len(h) for h in hashes[a:b]])])
-                h, w = np.concatenate(hashes[a:b]), np.concatenate(weights[a:b]).astype(np.float64)
-                signs += _signature(draws(h, w, bounds, SIGN_DRAWS, begin)).tolist()
+                short = [i for i in range(a, b) if len(hashes[i]) <= LONG_TEXT]
+                own: list = [None] * (b - a)
+                if short:
+                    bounds = np.concatenate([[0], np.cumsum([len(hashes[i]) for i in short])])
+                    h = np.concatenate([hashes[i] for i in short])
+                    w = np.concatenate([weights[i] for i in short]).astype(np.float64)
+                    for i, sign in zip(short, _signature(draws(h, w, bounds, SIGN_DRAWS, begin)).tolist()):
+                        own[i - a] = sign
+                signs += own
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(signs, pa.list_(pa.int64()))], names=["doc_id", "signature"]
             )
@@ -305,7 +343,7 @@ def _agreeing(words: int, count: int, threshold: float) -> Column:
     Draws agree with the probability of the similarity, and other draws in their few
     bits by chance. The bound lies ``SIGN_SLACK`` standard deviations below that, so a
     link at the threshold fails with probability 3e-5, a hundredth of the bands' own
-    miss.
+    miss. A text without a signature agrees with every other.
     """
     ones = int("1" * (64 // SIGN_BITS), 1 << SIGN_BITS)
     ones = ones - (1 << 64) if ones >= 1 << 63 else ones
@@ -318,7 +356,7 @@ def _agreeing(words: int, count: int, threshold: float) -> Column:
         differing = differing + F.bit_count(any_bit.bitwiseAND(F.lit(ones)))
     agree = threshold + (1 - threshold) / (1 << SIGN_BITS)
     least = count * agree - SIGN_SLACK * (count * agree * (1 - agree)) ** 0.5
-    return differing <= F.lit(int(count - least))
+    return F.coalesce(differing <= F.lit(int(count - least)), F.lit(True))
 
 
 def _profile_rows(shared):
@@ -415,19 +453,27 @@ def _pairs_left(
         .mapInArrow(_sign_rows(count), "doc_id long, signature array<long>")
         .select("doc_id", *[F.col("signature")[i].alias(f"s{i}") for i in range(words)])
     )
-    rings = saved(rings.join(signs, "doc_id"), "rings")
+    # At most one bucket for each band.
+    common = rings.groupBy("doc_id").agg(F.collect_list("bucket").alias("buckets"))
+    rings = saved(rings.join(signs.join(common, "doc_id"), "doc_id"), "rings")
     outer = rings.where("ring > 0").select(
         "bucket",
         F.explode(F.array(F.col("ring") - 1, F.col("ring"))).alias("ring"),
+        F.col("ring").alias("ring_x"),
         F.col("doc_id").alias("x"),
         F.col("far").alias("far_x"),
         F.col("class").alias("class_x"),
+        F.col("buckets").alias("buckets_x"),
         *[F.col(f"s{i}").alias(f"t{i}") for i in range(words)],
     )
     near = F.abs(F.col("far") - F.col("far_x")) <= reach + 1e-6
+    # A link passes in all buckets that both are in, so one of them will do.
+    first = F.col("bucket") == F.array_min(F.array_intersect("buckets", "buckets_x"))
+    # Two of one ring meet from both sides.
+    once = (F.col("ring") != F.col("ring_x")) | (F.col("doc_id") < F.col("x"))
     return (
         rings.join(outer, ["bucket", "ring"])
-        .where((F.col("class") != F.col("class_x")) & near & _agreeing(words, SIGN_DRAWS, threshold))
+        .where((F.col("class") != F.col("class_x")) & near & once & _agreeing(words, SIGN_DRAWS, threshold) & first)
         .select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b"))
         .distinct()
     )
@@ -441,12 +487,13 @@ def near_duplicates(
 ) -> DataFrame:
     """Class of near-duplicates of every document.
 
-    ``docs`` needs ``doc_id`` and ``text``; doc_ids that are repeated or null make the
-    result undefined for those rows only in that equal ids count as one document.
-    Returns doc_id, class_id (smallest doc_id of the class), class_size, kept (doc_id is
-    class_id) and text_id (smallest doc_id with exactly this text). Null and empty
-    texts, and texts without a word, have no shingles: they are of one class only with
-    rows of exactly the same text.
+    ``docs`` needs ``doc_id`` and ``text``. Returns doc_id, class_id (smallest doc_id of the
+    class), class_size, kept (doc_id is class_id) and text_id (smallest doc_id with
+    exactly this text), one row for each of ``docs``. Different texts under one doc_id
+    count as one document. Rows without doc_id are as good as others, but stand behind
+    them: a class or text of such rows alone has a null class_id or text_id, and the
+    rows of its smallest text digest are kept. Null and empty texts, and texts without a
+    word, have no shingles: they are of one class only with rows of exactly the same text.
 
     Exact copies are folded into one text first. In a band's bucket, texts are not
     paired with each other: each is compared with the bucket's smallest, which joins
@@ -457,34 +504,45 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    # Texts without a doc_id are known by a negative number from their digest.
+    number = -F.conv(F.substring("digest", 1, 15), 16, 10).cast("long") - 1
+    base = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(Rarity.of(base))  # 1 MB
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    ids = base.select("own_id", digest.alias("digest"))
+    texts = ids.groupBy("digest").agg(F.min("own_id").alias("text_id"), F.count("*").alias("copies"))
+    texts = saved(texts.withColumn("node", F.coalesce("text_id", number)), "texts")
+    base = base.withColumn("digest", digest).select(F.coalesce("own_id", number).alias("doc_id"), "text")
     banded = base.mapInArrow(_band_rows(shared, bands, rows), "doc_id long, bands array<long>")
     banded = saved(banded, "bands")
-    ids = base.select("doc_id", digest.alias("digest"))
-    texts = ids.groupBy("digest").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies"))
-    texts = saved(texts, "texts")
-    firsts = texts.select(F.col("text_id").alias("doc_id"))
-    bucket = F.explode("bands").alias("bucket")
-    members = banded.join(firsts, "doc_id", "left_semi").select(bucket, "doc_id")
+    firsts = texts.select(F.col("node").alias("doc_id")).distinct()
+    # Of repeated rows one; a repeated number has equal bands, or counts as one document.
+    once = banded.join(firsts, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("bands").alias("bands"))
+    members = once.select(F.explode(F.array_distinct("bands")).alias("bucket"), "doc_id")
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader"))
     members = saved(members.join(buckets.where("n > 1"), "bucket").drop("n"), "members")
     candidates = members.select("doc_id").distinct()
     profiles = base.join(candidates, "doc_id", "left_semi").mapInArrow(
         _profile_rows(shared), "doc_id long, hashes binary, weights binary"
     )
+    profiles = profiles.groupBy("doc_id").agg(F.first("hashes").alias("hashes"), F.first("weights").alias("weights"))
     profiles = saved(profiles, "profiles")
     pairs = members.where("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     star = _similarities(pairs.distinct(), profiles)
     rest = _similarities(_pairs_left(members, star, profiles, threshold, bands * rows), profiles)
-    classes = _classes(star.union(rest).where(F.col("similarity") >= threshold), "text_id")
-    by_text = texts.join(classes, "text_id", "left").select(
-        "digest", "text_id", "copies", F.coalesce("component", "text_id").alias("class_id")
+    classes = _classes(star.union(rest).where(F.col("similarity") >= threshold), "node")
+    by_text = texts.join(classes, "node", "left").select(
+        "digest", "text_id", "copies", F.coalesce("component", "node").alias("class")
     )
     by_text = saved(by_text, "classes")
-    sizes = by_text.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    by_text = by_text.join(sizes, "class_id").select("digest", "text_id", "class_id", "class_size")
-    return ids.join(by_text, "digest").select(
-        "doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"), "text_id"
+    of_class = by_text.groupBy("class").agg(
+        F.sum("copies").alias("class_size"), F.min("text_id").alias("class_id"), F.min("digest").alias("least")
+    )
+    by_text = by_text.join(of_class, "class").select("digest", "text_id", "class_id", "class_size", "least")
+    kept = F.col("doc_id") == F.col("class_id")
+    alone = F.col("class_id").isNull() & (F.col("digest") == F.col("least"))
+    return (
+        ids.withColumnRenamed("own_id", "doc_id")
+        .join(by_text, "digest")
+        .select("doc_id", "class_id", "class_size", F.coalesce(kept, alone, F.lit(False)).alias("kept"), "text_id")
     )

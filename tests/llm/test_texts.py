@@ -285,3 +285,86 @@ def test_merged_transforms(seed):
         for i in range(1, len(prefixes)):
             same = prefixes[i] == prefixes[i - 1] and len(prefixes[i]) == depth
             assert same == (interval[i] == interval[i - 1])
+
+
+def _edited(n, seed):
+    """Two texts' shingles, a share of them with unequal counts, and a share edited."""
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(1, 2**63, int(n * 1.05)).astype(np.uint64)
+    a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[: int(n * 0.97)], pool[n : n + int(n * 0.03)]]))
+    heavy = pool[: int(0.03 * n)]
+    return a, np.where(np.isin(a, heavy), 5.0, 1.25), b, np.where(np.isin(b, heavy), 3.0, 1.25)
+
+
+@pytest.mark.parametrize("n", [1_000, neardup.LONG_TEXT, 2 * neardup.LONG_TEXT])
+def test_table_draws_agree_up_to_twice_the_length_they_serve(n):
+    a, wa, b, wb = _edited(n, seed=n)
+    one, two = (neardup.draws(h, w, np.array([0, len(h)]), 1500) for h, w in ((a, wa), (b, wb)))
+    assert (one == two).mean() == pytest.approx(neardup.weighted_jaccard(a, wa, b, wb), abs=0.03)
+
+
+@pytest.mark.parametrize("n", [300, 100_000])
+def test_long_draws_agree_at_any_length(n):
+    a, wa, b, wb = _edited(n, seed=5)
+    count = 1500 if n < 1000 else 300
+    one, two = neardup.long_draws(a, wa, count), neardup.long_draws(b, wb, count)
+    similarity = neardup.weighted_jaccard(a, wa, b, wb)
+    assert (one == two).mean() == pytest.approx(similarity, abs=4 * (similarity * (1 - similarity) / count) ** 0.5)
+
+
+def test_long_texts_and_rows_without_id_are_classed(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LONG_TEXT", 150)
+    rng = random.Random(12)
+    base = corpus.prose(rng, 900).split(" ")
+    data = [(9, " ".join(base), "a"), (4, " ".join([*base[:300], "odd", *base[301:]]), "a"), (7, corpus.prose(rng, 900), "a")]
+    data += [(None, data[0][1], "b"), (None, data[0][1], "b"), (None, "alone and without a number at all", "b")]
+    data += [(None, "alone and without a number at all", "b"), (None, None, "b"), (None, "", "b"), (None, "others of it", None)]
+    other = " ".join([*base[:600], "strange", *base[601:]])
+    data += [(None, other, "b")]
+    got = neardup.near_duplicates(corpus.documents(spark, data)).collect()
+    assert len(got) == len(data)
+    by_class = defaultdict(list)
+    for r in got:
+        by_class[r["class_id"], r["class_size"]].append(r)
+    assert len(by_class[4, 5]) == 5 and [r["doc_id"] for r in by_class[4, 5] if r["kept"]] == [4]
+    assert [r["doc_id"] for r in by_class[7, 1]] == [7]
+    assert sorted(r["text_id"] is None for r in by_class[4, 5]) == [False] * 4 + [True]
+    # Two texts of two rows each, of which nothing else is alike, and one of one row.
+    assert sorted((size, len(rows)) for (class_id, size), rows in by_class.items() if class_id is None) == [(1, 1), (2, 4)]
+    assert all(r["kept"] for (class_id, _), rows in by_class.items() if class_id is None for r in rows)
+
+
+def test_weighted_links_at_the_threshold_are_found(spark):
+    """Against all pairs, with the weights the operator gives; repeated lines weigh more."""
+    rng = random.Random(21)
+    data, n = [], 0
+    for _ in range(12):
+        base = corpus.prose(rng, 150).split(" ")
+        line = corpus.prose(rng, 9).split(" ")
+        for _ in range(8):
+            words = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                words[rng.randrange(len(words))] = f"z{rng.randrange(999)}"
+            data.append((n, " ".join(words + line * rng.randrange(1, 5)), "a"))
+            n += 1
+    docs = corpus.documents(spark, data)
+    rarity = neardup.Rarity.of(docs)
+    profile = {}
+    for i, text, _ in data:
+        h, counts, _ = neardup.distinct_shingles(*_packed([text]))
+        profile[i] = (h, rarity.weight(rarity.level(h), counts).astype(np.float32))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+    parent = {i: i for i in profile}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [(a, b) for a, b in combinations(profile, 2) if neardup.weighted_jaccard(*profile[a], *profile[b]) >= 0.8]
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    lost = sum(got[a] != got[b] for a, b in links)
+    assert len(links) > 100 and lost <= 0.01 * len(links)
+    assert all(root(i) == root(c) for i, c in got.items())
