@@ -84,27 +84,36 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def fresh_name(columns, base: str) -> str:
+    """``base``, with as many underscores as make it none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def with_row_ids(docs: DataFrame, name: str = "_row") -> DataFrame:
     """Add a long that is different for every row and the same in reruns.
 
     It is doc_id where that is there and not repeated. Other rows get a negative number
-    from their doc_id, text and count among their like.
+    from their doc_id, text and count among their like. ``name`` must be none of the
+    columns of ``docs``, see :func:`fresh_name`.
     """
+    odd_id, is_odd, key, nth = (fresh_name([*docs.columns, name], f"_{n}") for n in ("odd", "is_odd", "key", "nth"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").count()
     odd = saved(ids.where((F.col("count") > 1) | F.col("doc_id").isNull()).select("doc_id"), "odd")
     if odd.isEmpty():
         return docs.withColumn(name, F.col("doc_id").cast("long"))
-    flagged = docs.join(odd.select(F.col("doc_id").alias("_odd"), F.lit(1).alias("_is_odd")),
-                        F.col("doc_id").eqNullSafe(F.col("_odd")), "left").drop("_odd")
-    key = F.xxhash64(F.col("doc_id"), whole_text())
-    like = Window.partitionBy("_key").orderBy("doc_id")
-    plain = flagged.where(F.col("_is_odd").isNull()).drop("_is_odd").withColumn(name, F.col("doc_id").cast("long"))
+    flagged = docs.join(odd.select(F.col("doc_id").alias(odd_id), F.lit(1).alias(is_odd)),
+                        F.col("doc_id").eqNullSafe(F.col(odd_id)), "left").drop(odd_id)
+    like = Window.partitionBy(key).orderBy("doc_id")
+    plain = flagged.where(F.col(is_odd).isNull()).drop(is_odd).withColumn(name, F.col("doc_id").cast("long"))
     other = (
-        flagged.where(F.col("_is_odd").isNotNull())
-        .drop("_is_odd")
-        .withColumn("_key", key)
-        .withColumn("_nth", F.row_number().over(like))
-        .withColumn(name, -F.abs(F.shiftright(F.xxhash64("_key", "_nth"), 1)) - 1)
-        .drop("_key", "_nth")
+        flagged.where(F.col(is_odd).isNotNull())
+        .drop(is_odd)
+        .withColumn(key, F.xxhash64(F.col("doc_id"), whole_text()))
+        .withColumn(nth, F.row_number().over(like))
+        .withColumn(name, -F.abs(F.shiftright(F.xxhash64(key, nth), 1)) - 1)
+        .drop(key, nth)
     )
     return plain.unionByName(other)

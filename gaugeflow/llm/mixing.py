@@ -24,7 +24,7 @@ MOST_REPEATS = 3
 #: Words in a block at most, and blocks that the smallest target holds at least.
 BLOCK_WORDS = 1024
 LEAST_BLOCKS = 256
-#: Words and shards of one unit of the two lower levels, about.
+#: Words of a source in one of its shards, and shards in a group, about.
 SHARD_WORDS = 1 << 16
 GROUP_SHARDS = 1 << 12
 
@@ -138,14 +138,18 @@ def mix(
     The block has ``block_words`` words, or fewer so that the smallest target still
     holds ``LEAST_BLOCKS`` blocks. Blocks are runs of words of one source and shard;
     the shards' documents stand in a seeded order, so a run of blocks is a random draw.
-    Documents are dealt to shards of about ``SHARD_WORDS`` words by a hash of doc_id,
-    which also splits a source that holds most rows. One shuffle orders the documents,
-    carrying three numbers each.
+    A source has as many shards as its own words fill with ``SHARD_WORDS`` each, so blocks
+    are about equal in all sources however many there are. Documents are dealt to them by a
+    hash of doc_id, or of the text where there is none, which also splits a source that
+    holds most rows. One shuffle orders the documents, carrying three numbers each.
     """
     rows = saved(
-        docs.select("doc_id", "source", word_count().alias("size")).withColumn(
-            "place", seeded(seed, "doc_id")
-        ),
+        docs.select(
+            "doc_id",
+            "source",
+            word_count().alias("size"),
+            F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("_text"),
+        ).select("doc_id", "source", "size", seeded(seed, "doc_id", "_text").alias("place")),
         "sizes",
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -155,14 +159,14 @@ def mix(
     ).first()
     total, smallest = total or 0, smallest or 0.0
     block = max(1, min(block_words, int(smallest // LEAST_BLOCKS)))
-    shards = max(1, -(-total // SHARD_WORDS))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS))
     rows = (
         rows.join(
             targets.select(F.col("source").alias("_source"), "rank", "source_size", "target"),
             F.col("source").eqNullSafe(F.col("_source")),
         )
         .drop("_source")
-        .withColumn("shard", F.col("place") % F.lit(shards))
+        .withColumn("shard", F.col("place") % shards)
     )
     cells = (
         rows.groupBy("rank", "shard")
