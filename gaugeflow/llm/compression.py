@@ -100,15 +100,27 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 60)
     return w
 
 
+def one_label(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) with one row per document: of several labels the greatest."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    return known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias(label))
+
+
+def one_text(rows: DataFrame) -> DataFrame:
+    """(doc_id, y, text) with one row per document: of several texts the least."""
+    least = F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "y"))
+    return rows.groupBy("doc_id").agg(least.alias("one")).select("doc_id", "one.y", "one.text")
+
+
 def sampled_labels(labels: DataFrame, label: str, held_out: Column, docs: int, seed: int) -> DataFrame:
     """(doc_id, y) of at most ``docs`` labelled rows that may be learnt from.
 
-    A fixed hash of doc_id orders the rows, so reruns draw the same ones.
+    ``labels`` has one row per document. A fixed hash of doc_id orders the rows, so reruns
+    draw the same ones.
     """
     known = labels.where(~held_out & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     return (
         known.select("doc_id", F.col(label).cast("int").alias("y"))
-        .dropDuplicates(["doc_id"])
         .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
         .limit(docs)
     )
@@ -152,9 +164,11 @@ def train(
     """Fit on ``labels`` (doc_id, label) where ``held_out``, a condition on doc_id, is
     false. Reads at most ``2 * dictionary_docs + calibration_docs`` documents, bounded
     for any number of labels. Without labels of both classes every score is their
-    share of good ones (0.5 without any).
+    share of good ones (0.5 without any). Of several labels of a document the greatest
+    counts, of several texts under one doc_id the least is learnt from.
     """
     spark = docs.sparkSession
+    labels = one_label(labels, label)
     small_batches(spark)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     # One half of the labels is for the dictionaries, the other for the calibration.
@@ -165,13 +179,13 @@ def train(
         one = sampled_labels(own, label, held_out, dictionary_docs, 4)
         drawn = one if drawn is None else drawn.union(one)
     ids = F.broadcast(drawn)  # 2 * dictionary_docs rows at most
-    chosen = texts.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text")
+    chosen = one_text(texts.join(ids, "doc_id"))
     pieces = chosen.mapInArrow(_piece_sampler, "doc_id long, y int, piece binary").collect()
     pieces.sort(key=lambda r: (r["doc_id"], bytes(r["piece"])))
     by_class = {y: [bytes(r["piece"]) for r in pieces if r["y"] == y] for y in (0, 1)}
     good, bad = (_dictionary(by_class[y], DICTIONARY_BYTES) if by_class[y] else b"" for y in (1, 0))
     ids = F.broadcast(sampled_labels(labels.where(~half), label, held_out, calibration_docs, 5))
-    sample = texts.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text")
+    sample = one_text(texts.join(ids, "doc_id"))
     rows = sample.mapInArrow(_feature_rows(good, bad), "doc_id long, y int, difference double, rate double").collect()
     rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in rows], float)

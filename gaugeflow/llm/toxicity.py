@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.common import pieces, saved, small_batches, utf8
-from gaugeflow.llm.compression import sampled_labels
+from gaugeflow.llm.compression import one_label, one_text, sampled_labels
 
 #: Lengths of the character n-grams, and bits of a hashed feature.
 ORDERS = (4, 5, 6)
@@ -199,13 +199,15 @@ def train(
 
     Their features are counted on the executors; the driver holds one counter per
     hashed feature and class, and the chosen features of the sample. With labels of one
-    class only, or none, every score is the smoothed share of toxic ones.
+    class only, or none, every score is the smoothed share of toxic ones. Of several
+    labels of a document the greatest counts, of several texts under one doc_id the least
+    is learnt from.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    ids = F.broadcast(sampled_labels(labels, label, held_out, train_docs, 6))  # train_docs rows
+    ids = F.broadcast(sampled_labels(one_label(labels, label), label, held_out, train_docs, 6))  # train_docs rows
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sample = texts.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text")
+    sample = one_text(texts.join(ids, "doc_id"))
     rows = saved(sample.mapInArrow(_feature_rows, "doc_id long, y int, features binary"), "features")
     size = 1 << FEATURE_BITS
     parts = rows.select("y", "features").coalesce(8).mapInArrow(_count_rows, "slice long, counts binary")

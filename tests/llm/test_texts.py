@@ -368,3 +368,64 @@ def test_weighted_links_at_the_threshold_are_found(spark):
     lost = sum(got[a] != got[b] for a, b in links)
     assert len(links) > 100 and lost <= 0.01 * len(links)
     assert all(root(i) == root(c) for i, c in got.items())
+
+
+def test_learning_does_not_depend_on_the_order_of_repeats(spark, labelled):
+    docs, labels, _ = labelled
+    again = docs.where("doc_id < 60").withColumn("text", F.concat(F.lit("zzz "), "text"))
+    other = labels.where("doc_id < 90").withColumns({"quality": F.lit(0), "toxic": F.lit(0)})
+    for module in (compression, toxicity):
+        got = []
+        for seed in (1, 2, 3):
+            d, lab = (x.orderBy(F.rand(seed)).repartition(5) for x in (docs.unionByName(again), labels.unionByName(other)))
+            model = module.train(d, lab, _held_out(3))
+            got.append(sorted(map(str, module.score(docs, model).collect())))
+        assert got[0] == got[1] == got[2]
+
+
+def test_toxicity_equals_a_plain_model(spark, labelled):
+    """Features by slicing, ratios by counting, scores by adding up."""
+    docs, labels, truth = labelled
+    model = toxicity.train(docs, labels, _held_out(3))
+    texts = {r["doc_id"]: (r["text"] or "").translate(corpus.LOWER) for r in docs.collect()}
+
+    def grams(text):
+        return {text[i : i + n] for n in toxicity.ORDERS for i in range(len(text) - n + 1)}
+
+    def feature(gram):
+        return int(toxicity.gram_hashes(np.array([ord(c) for c in gram], np.uint64), len(gram))[0])
+
+    own = {i: {feature(g) for g in grams(t)} for i, t in texts.items() if len(t) < 1000}
+    for i, found in list(own.items())[:40]:
+        raw = np.frombuffer(texts[i].encode(), np.uint8)
+        assert set(toxicity.distinct_features(toxicity._codes(raw)).tolist()) == found
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for i, found in own.items():
+        z = model.intercept + sum(model.weights[f] for f in found)
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+    counts = np.array([[3, 0, 5], [1, 4, 5]])
+    ratio = toxicity.log_count_ratio(counts, np.array([10, 5]))
+    expected = [np.log((c1 + 1) / 7) - np.log((c0 + 1) / 12) for c0, c1 in counts.T]
+    assert ratio == pytest.approx(expected)
+
+
+def test_compression_features_equal_plain_compression(spark, labelled):
+    docs, labels, _ = labelled
+    model = compression.train(docs, labels, _held_out(3))
+    import zstandard
+
+    def size(raw, dictionary):
+        made = zstandard.ZstdCompressor(
+            level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False,
+            write_content_size=False, write_dict_id=False,
+        )
+        return sum(len(made.compress(raw[i : i + 1024])) for i in range(0, max(1, len(raw)), 1024))
+
+    scores = {r["doc_id"]: r["score"] for r in compression.score(docs, model).collect()}
+    for row in docs.limit(60).collect():
+        raw = (row["text"] or "").encode()
+        good, bad = size(raw, model.good), size(raw, model.bad)
+        x, rate = (bad - good) / (good + bad), (good + bad) / (2 * (len(raw) + 16))
+        parts = np.array([x, rate, rate * rate, x * rate, x * abs(x)])
+        z = model.weights[0] + ((parts - model.center) / model.scale) @ np.array(model.weights[1:])
+        assert scores[row["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6)
