@@ -224,3 +224,72 @@ def test_rules_and_aliases(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
     assert [got[i]["verdict"] for i in (20, 21, 22, 23)] == ["block", "block", "allow", "allow"]
     assert urls.aliased_verdicts(df.limit(0), urls.page_links(df.limit(0))).count() == 0
+
+
+def _many(spark, sources, docs, long_share=0):
+    """Documents of 50 to 500 words, some of 5,000, of many sources."""
+    words = F.pmod(F.xxhash64("id"), F.lit(451)) + 50
+    words = F.when(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) < long_share, 5000).otherwise(words).cast("int")
+    return spark.range(docs).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("s"), F.col("id") % sources).alias("source"),
+        F.repeat(F.lit("w "), words).alias("text"),
+    )
+
+
+@pytest.mark.parametrize("sources,docs", [(3, 3_000), (20, 20_000), (200, 60_000), (5_000, 200_000)])
+def test_mix_meets_the_targets_of_many_sources(spark, sources, docs):
+    got = mixing.mix(_many(spark, sources, docs))
+    assert got.where("taken > 3 * size OR taken < 0").isEmpty()
+    sums = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(sums) == sources
+    assert all(abs(r["taken"] / r["target"] - 1) < 0.02 for r in sums)
+
+
+def test_rows_without_id_are_spread_over_shards(spark):
+    docs = _many(spark, 2, 4_000).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    docs = docs.withColumn("text", F.concat("text", F.monotonically_increasing_id()))
+    sums = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w")).collect()
+    assert all(abs(r["t"] / r["w"] - 1) < 0.02 for r in sums)
+
+
+LINKS = [
+    ("http://A.b/x/y.html", "z.html", "http://a.b/x/z.html"),
+    ("http://a.b/x/y.html?q=1", "../z/./w?k=1&amp;l=2#f", "http://a.b/z/w?k=1&l=2"),
+    ("http://a.b", "z", "http://a.b/z"),
+    ("http://a.b/x/", "..", "http://a.b/"),
+    ("http://a.b/x", "../../../z", "http://a.b/z"),
+    ("http://a.b/x?old", "?new", "http://a.b/x?new"),
+    ("HTTPS://a.b/x", "//C.d/e", "https://c.d/e"),
+    ("http://a.b/x", "/y/../z", "http://a.b/z"),
+    ("http://a.b/x", "HTTP://C.D", "http://c.d/"),
+    ("http://a.b/x", "#top", None),
+    ("http://a.b/x", "mailto:me@c.d", None),
+    ("http://a.b/x", "http://A.B/x#part", None),
+]
+
+
+def test_links_are_resolved_against_their_page(spark):
+    pages = [(i, page, f"<link rel='canonical' href='{link}'>") for i, (page, link, _) in enumerate(LINKS)]
+    pages += [(50, "http://m.n/1", "<link rel=canonical href=/2><p><LINK href='/3' rel='canonical'>"
+               "<meta http-equiv=refresh content='3;url=/4'><meta content='0; URL=/5' http-equiv='x'>")]
+    pages += [(51, None, "<link rel=canonical href=/2>"), (52, "http://m.n/9", None), (53, "no scheme", "<link rel=canonical href=/2>")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {(r["src"], r["dst"]) for r in urls.page_links(frame).collect()}
+    keys = {p: spark.range(1).select(urls.url_key(F.lit(p))).first()[0] for p, _, _ in LINKS}
+    expected = {(keys[page], dst) for page, _, dst in LINKS if dst}
+    assert got == expected | {("http://m.n/1", f"http://m.n/{i}") for i in (2, 3, 4)}
+
+
+def test_blocks_reach_aliases_however_they_are_written(spark):
+    pages = [
+        (1, "http://x.com/de/../a", None),
+        (2, "http://Y.com/start", "<link rel=canonical href='page2.html'><link rel=canonical href='http://EXAMPLE.com/de/z#top'>"),
+        (3, "http://y.COM/page2.html#part", None),
+        (4, "http://y.com/other", "<link rel=canonical href='./start?'>"),
+        (5, "http://w.org/fr/a", "<link rel=canonical href='http://y.com/start'>"),
+        (2, "http://Y.com/start", None),
+    ]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = [(r["page_id"], r["verdict"], r["alias_blocked"]) for r in urls.aliased_verdicts(frame, urls.page_links(frame)).collect()]
+    assert sorted(got) == [(1, "allow", False), (2, "block", True), (2, "block", True), (3, "block", True), (4, "allow", False), (5, "allow", False)]
