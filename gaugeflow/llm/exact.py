@@ -2,7 +2,7 @@
 
 Texts are normalised and hashed to 64 bits. A directory maps the leading bits of the
 hash to buckets; it doubles until no bucket holds more distinct hashes than its
-capacity. A bucket is a range of hashes and each task owns a few: it walks its
+capacity. A bucket is a range of hashes and each task owns a larger range: it walks its
 entries in hash order, keeps the distinct texts of a hash as a chain, compares bytes,
 and writes one index entry per distinct text to its own file in the shared folder.
 The documents then look themselves up in the index.
@@ -26,6 +26,8 @@ BUCKET_CAPACITY = 4096
 COMBINE_BYTES = 32 << 20
 #: Buckets of one owner task.
 OWNED_BUCKETS = 2
+#: Leading bits of a hash that the directory can tell apart: enough for 10^13 texts.
+DIRECTORY_BITS = 32
 
 _ENTRY = pa.schema(
     [
@@ -60,17 +62,17 @@ def directory(keys: DataFrame, capacity: int = BUCKET_CAPACITY) -> DataFrame:
     rows per ``capacity`` distinct hashes, and splits are found by aggregations over
     the leaves that are still open, so it never needs the driver's memory.
     """
-    # Counts of 2^24 prefixes at most, finer than any bucket.
+    # Counts of prefixes finer than any bucket.
     fine = saved(
         keys.select("key")
         .distinct()
-        .groupBy(F.shiftright("key", 40).alias("fine"))
+        .groupBy(F.shiftright("key", 64 - DIRECTORY_BITS).alias("fine"))
         .agg(F.count("*").alias("n")),
         "fine",
     )
     depth, leaves, full = 0, None, None
     while True:
-        prefix = F.shiftright("fine", 24 - depth) if depth else F.lit(0).cast("long")
+        prefix = F.shiftright("fine", DIRECTORY_BITS - depth) if depth else F.lit(0).cast("long")
         load = fine.groupBy(prefix.alias("prefix")).agg(
             F.sum("n").alias("n"), F.count("*").alias("fines")
         )
@@ -91,7 +93,7 @@ def directory(keys: DataFrame, capacity: int = BUCKET_CAPACITY) -> DataFrame:
 
 def bucket_of(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     """Add ``bucket``: the first hash of the row's bucket, a multiple of its range."""
-    depths = [r[0] for r in leaves.select("depth").distinct().collect()]  # 25 at most
+    depths = [r[0] for r in leaves.select("depth").distinct().collect()]  # few, as hashes are even
     bucket = F.lit(0).cast("long") if not depths else None
     for i, depth in enumerate(sorted(depths)):
         prefix = F.shiftright("key", 64 - depth) if depth else F.lit(0).cast("long")
@@ -105,6 +107,11 @@ def bucket_of(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", bucket).drop(*[f"_at{i}" for i in range(len(depths))])
 
 
+def owner_of(bucket: Column, bits: int) -> Column:
+    """The owner task of a bucket, one of 2^``bits``: owners have equal ranges of hashes."""
+    return F.shiftrightunsigned(bucket, 64 - bits).cast("int") if bits else F.lit(0)
+
+
 def _chain(chains: dict, key: int, text, doc_id, size: int, bucket: int) -> int:
     """Put one text into its hash's chain; returns the bytes this adds."""
     chain = chains.setdefault(key, [])
@@ -182,9 +189,10 @@ def exact_groups(
     )
     leaves = saved(directory(rows, capacity), "directory")
     located = bucket_of(base, leaves).select("doc_id", "key", F.col("norm").cast("binary").alias("norm"), "bucket")
-    owners = max(1, -(-leaves.count() // OWNED_BUCKETS))
+    owner_bits = (max(1, -(-leaves.count() // OWNED_BUCKETS)) - 1).bit_length()
     entries = located.mapInArrow(partial(_combine, limit=combine_bytes), _ENTRY_DDL)
-    owned = entries.repartition(owners, "bucket").sortWithinPartitions("bucket", "key")
+    entries = entries.withColumn("owner", owner_of(F.col("bucket"), owner_bits))
+    owned = entries.repartitionById(1 << owner_bits, "owner").drop("owner").sortWithinPartitions("bucket", "key")
     index = owned.mapInArrow(_walk, _ENTRY_DDL).select(
         "bucket", "key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"
     )
