@@ -336,8 +336,11 @@ def tags_lookup(spark, sf_dir):
 
 
 def _run_dir(spark: SparkSession) -> str:
-    """A folder of its own under the shared one for this run."""
-    return f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4()}"
+    """A folder of its own under the shared one for this run, removed with the session."""
+    path = f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4()}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def _stored(rows: DataFrame) -> DataFrame:
@@ -391,15 +394,17 @@ def snapshot_json(spark, sf_dir):
     text = snapshot.snapshot_json(_snapshot(spark, sf_dir))
     wire = text.select(codec.evaluated_once(F.from_json("json", _SNAPSHOT_WIRE)).alias("s"))
 
-    def entries(part: str, *fields: Column) -> DataFrame:
-        rows = wire.select(F.posexplode(F.col(f"s.data.{part}")).alias("position", "e"))
-        return rows.select(F.lit(part).alias("part"), "position", _fields(*fields))
-
-    def shown(name: str, digits: int | None = None) -> Column:
-        value = F.col(f"e.{name}")
+    def shown(entry: Column, name: str, digits: int | None = None) -> Column:
+        value = entry[name]
         return F.format_string(f"%.{digits}f", value) if digits is not None else value.cast("string")
 
-    stats = wire.select(
+    def entries(part: str, fields: Callable[[Column], list[Column]]) -> Column:
+        def row(entry: Column, i: Column) -> Column:
+            return F.struct(F.lit(part).alias("part"), i.alias("position"), _fields(*fields(entry)))
+
+        return F.transform(F.col(f"s.data.{part}"), row)
+
+    stats = F.struct(
         F.lit("stats").alias("part"),
         F.lit(0).alias("position"),
         _fields(
@@ -412,23 +417,30 @@ def snapshot_json(spark, sf_dir):
     )
     anomalies = entries(
         "anomalies",
-        *[shown(n) for n in ("sensor_id", "sensor_type", "location")],
-        *[shown(n, 6) for n in ("value", "expected", "z_score")],
-        *[shown(n) for n in ("severity", "detected_at")],
+        lambda e: [
+            *[shown(e, n) for n in ("sensor_id", "sensor_type", "location")],
+            *[shown(e, n, 6) for n in ("value", "expected", "z_score")],
+            *[shown(e, n) for n in ("severity", "detected_at")],
+        ],
     )
     events = entries(
         "events",
-        *[shown(n) for n in ("sensor_id", "sensor_type", "location")],
-        shown("value", 6),
-        *[shown(n) for n in ("unit", "recorded_at")],
-        F.col("e.tags")["k"],
+        lambda e: [
+            *[shown(e, n) for n in ("sensor_id", "sensor_type", "location")],
+            shown(e, "value", 6),
+            *[shown(e, n) for n in ("unit", "recorded_at")],
+            e["tags"]["k"],
+        ],
     )
     current = entries(
         "windows",
-        *[shown(n) for n in ("sensor_type", "location", "window_start", "window_end", "count")],
-        *[shown(n, 6) for n in ("sum", "min", "max", "avg", "p99")],
+        lambda e: [
+            *[shown(e, n) for n in ("sensor_type", "location", "window_start", "window_end", "count")],
+            *[shown(e, n, 6) for n in ("sum", "min", "max", "avg", "p99")],
+        ],
     )
-    return stats.union(anomalies).union(events).union(current)
+    # One row, so the snapshot is taken once.
+    return wire.select(F.explode(F.concat(F.array(stats), anomalies, events, current)).alias("e")).select("e.*")
 
 
 def _fields(*columns: Column) -> Column:

@@ -7,6 +7,7 @@ skip row groups).
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Mapping
 
@@ -103,6 +104,60 @@ def append_batch(rows: DataFrame, base: str, table: str, batch_id: int, run: str
     )
 
 
+#: The run under which compacted rows stand.
+COMPACTED_RUN = "compacted"
+
+
+def compact_day(spark: SparkSession, base: str, table: str, day: dt.date) -> int:
+    """Rewrite a day's rows of many micro-batches as one; returns how many it replaced.
+
+    The newest batch of each run is left alone, since it may yet be retried. The new rows
+    are written beside the table, then a list of what they replace; then they are moved
+    in and the old folders are removed. A call that breaks off after the list is finished
+    by the next one, before it no harm is done. Whoever reads while folders are exchanged
+    may see rows twice. One compaction of a table at a time.
+    """
+    root, name = table_path(base, table), f"event_date={day.isoformat()}"
+    staging, listed = f"{root}/_compacting", f"{root}/_replaced"
+    path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    files = path_of(root).getFileSystem(conf)
+
+    def finish() -> None:
+        old = [r[0] for r in spark.read.text(listed).collect()]
+        moved = path_of(f"{root}/{old[0]}").getParent()
+        if files.exists(path_of(staging)):
+            files.mkdirs(moved)
+            files.rename(path_of(staging), path_of(f"{root}/{old[0]}"))
+        for folder in old[1:]:
+            files.delete(path_of(f"{root}/{folder}"), True)
+        files.delete(path_of(listed), True)
+
+    if files.exists(path_of(f"{listed}/_SUCCESS")):
+        finish()
+    for left in (listed, staging):
+        files.delete(path_of(left), True)
+
+    stored = spark.read.schema(_stored_schema(table)).parquet(root)
+    newest = stored.groupBy(RUN).agg(F.max(BATCH).alias("newest"))  # from the folders' names
+    there = stored.where(F.col("event_date") == F.lit(day)).select(RUN, BATCH).distinct()
+    closed = there.join(newest, RUN).where(
+        (F.col(BATCH) < F.col("newest")) | (F.col(RUN) == COMPACTED_RUN)
+    )
+    old = [(r[RUN], r[BATCH]) for r in closed.collect()]
+    if len(old) < 2:
+        return 0
+    own = spark.createDataFrame(old, "_run string, _batch long")
+    same = (F.col(RUN) == F.col("_run")) & (F.col(BATCH) == F.col("_batch"))
+    rows = stored.where(F.col("event_date") == F.lit(day)).join(F.broadcast(own), same, "left_semi")
+    rows = rows.drop("event_date", RUN, BATCH).hint("rebalance").sortWithinPartitions(*_SORT[table])
+    rows.write.parquet(staging)
+    step = 1 + max((batch for run, batch in old if run == COMPACTED_RUN), default=-1)
+    folders = [f"{name}/{RUN}={run}/{BATCH}={batch}" for run, batch in [(COMPACTED_RUN, step), *old]]
+    spark.createDataFrame([(f,) for f in folders], "value string").coalesce(1).write.text(listed)
+    finish()
+    return len(old)
+
+
 def read_table(spark: SparkSession, base: str, table: str) -> DataFrame:
     """The table as a batch frame with its event or anomaly columns.
 

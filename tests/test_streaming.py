@@ -398,3 +398,40 @@ def test_readings_without_time_or_keys_go_through_the_streams(spark, tmp_path):
     writer.foreachBatch(sink).start().awaitTermination()
     assert tables.read_table(spark, base, tables.EVENTS).count() == len(rows)
     assert _metric_rows(parts.live_windows(spark, base)) == _metric_rows(windows.window_metrics(zoned))
+
+
+def test_a_days_batches_become_one(spark, tmp_path, monkeypatch):
+    base, day = str(tmp_path / "base"), dt.date(2024, 3, 1)
+    events = event_frame(spark, event_rows({"a": spiky(90), "b": spiky(90, seed=2)}))
+    later = events.withColumn("recorded_at", F.col("recorded_at") + F.expr("INTERVAL 1 DAY"))
+    for batch in range(4):
+        own = events.where(F.col("event_id") % 4 == batch)
+        tables.append_batch(own, base, tables.EVENTS, batch, "r")
+    tables.append_batch(later, base, tables.EVENTS, 2, "s")
+
+    def stored():
+        rows = tables.read_table(spark, base, tables.EVENTS).select("event_date", "sensor_id", "value").collect()
+        return sorted(map(repr, rows))
+
+    def batches():
+        rows = spark.read.parquet(f"{base}/{tables.EVENTS}").where(F.col("event_date") == F.lit(day))
+        return {tuple(r) for r in rows.select("run_id", "batch_id").distinct().collect()}
+
+    want = stored()
+    assert tables.compact_day(spark, base, tables.EVENTS, day) == 3
+    assert batches() == {("compacted", 0), ("r", 3)} and stored() == want
+    assert tables.compact_day(spark, base, tables.EVENTS, day) == 0
+    tables.append_batch(events.where("event_id % 4 = 3"), base, tables.EVENTS, 3, "r")  # a retry
+    assert stored() == want
+    tables.append_batch(later, base, tables.EVENTS, 4, "r")
+    want = stored()
+    # Breaking off once the list is written: the next call finishes it.
+    def lost(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken, pytest.raises(RuntimeError):
+        broken.setattr(type(spark.read), "text", lost)
+        tables.compact_day(spark, base, tables.EVENTS, day)
+    assert stored() == want
+    tables.compact_day(spark, base, tables.EVENTS, day)
+    assert batches() == {("compacted", 1)} and stored() == want
