@@ -8,7 +8,8 @@ values below are counted and only those between, a few of ten thousand, are rank
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +40,14 @@ def plain_quantile(value: str, share: float, name: str) -> Column:
     return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{value}`)").alias(name)
 
 
-def ranked_cells(rows: DataFrame, keys: Sequence[str], value: str, share: float, heavy: HeavyKeys, **sums: Column) -> DataFrame:
+def ranked_cells(
+    rows: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    share: float,
+    heavy: HeavyKeys,
+    sums: Mapping[str, Column] = MappingProxyType({}),
+) -> DataFrame:
     """Few rows per group: one for each value near the rank and one for all others.
 
     Adds ``near`` (the value, null for others), ``values`` (how many rows with a value it

@@ -110,10 +110,12 @@ def _bracketed_metrics(rows: DataFrame, heavy: HeavyKeys) -> DataFrame:
         "value",
         _QUANTILE,
         heavy,
-        rows=F.count(F.lit(1)),
-        sum=F.sum("value"),
-        min=F.min("value"),
-        max=F.max("value"),
+        {
+            "rows": F.count(F.lit(1)),
+            "sum": F.sum("value"),
+            "min": F.min("value"),
+            "max": F.max("value"),
+        },
     )
     return (
         cells.groupBy(*_KEYS)
