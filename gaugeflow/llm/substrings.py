@@ -8,12 +8,14 @@ the corpus is first cut along its content:
 * In each window of ``LENGTH`` bytes, the gram of ``GRAM`` bytes with the least hash is
   the window's anchor. Equal windows have equal anchors, so only windows of one anchor
   have to be compared. Neighbouring windows mostly share it and form one segment.
-* Grams that anchor once in the whole corpus cannot repeat. What is left is grouped by
-  the anchor's hash into buckets, distinct segments of each part of the documents once,
-  with the least and greatest doc_id they occur in.
-* In a bucket, each part's segments are a shard with a transform of its own. The
-  transforms are merged; an interval of the merged order is one repeated string, and
-  the least doc_id in it is its first document.
+* Equal windows share the anchor and, on one side of it at least, half of what else is
+  in a window. Segments neither of whose sides occurs twice in the corpus cannot repeat.
+  What is left is grouped by the anchor's hash into buckets, distinct segments of
+  each part of the documents once, with the least and greatest doc_id they occur in.
+* In a bucket, segments that several parts have are taken once, and those that have no
+  side in common with another are done. Of the others, each part's are a shard with a transform
+  of its own. The transforms are merged; an interval of the merged order is one repeated
+  string, and the least doc_id in it is its first document.
 * What was found goes back to the parts and is marked in the documents.
 
 Between the steps small rows of packed arrays are shuffled, not a row per anchor.
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +43,7 @@ PART_BYTES = 16 << 20
 #: Bytes of text looked at together, and symbols of the segments merged together.
 CHUNK_BYTES = 2 << 20
 MERGED_SYMBOLS = 2 << 20
-#: Anchors that a task gathers before it hands them on.
+#: Sides of anchors that a task gathers before it hands them on.
 GATHERED = 4 << 20
 #: A missing doc_id comes after all others.
 NO_ID = np.iinfo(np.int64).max
@@ -59,7 +62,7 @@ def _least_in_window(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
-    """Runs of windows with one anchor: first and last start, anchor's hash, text.
+    """Runs of windows with one anchor: first and last start, anchor's hash and place, text.
 
     The hash's upper bits decide; of equal ones the leftmost gram is the anchor. Very
     long texts are looked at in overlapping stretches, which only cuts runs.
@@ -87,13 +90,27 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
         new[1:] = (anchors[1:] != anchors[:-1]) | (start[1:] != start[:-1] + 1) | (own[1:] != own[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(start)) - 1
-        found.append((start[first] + low, start[last] + low, hashes[anchors[first]], own[first]))
+        at_anchor = anchors[first]
+        found.append((start[first] + low, start[last] + low, hashes[at_anchor], at_anchor + low, own[first]))
     if not found:
         empty = np.empty(0, np.int64)
-        return empty, empty, np.empty(0, np.uint64), empty
+        return empty, empty, np.empty(0, np.uint64), empty, empty
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def sides(data: np.ndarray, first, last, at, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each segment's anchor with what precedes and with what follows it, and
+    whose segments these are; a side that is too short for half a window is left out."""
+    gram = min(GRAM, length)
+    half = -(-(length - gram) // 2)
+    before, after = np.flatnonzero(at - half >= first), np.flatnonzero(at + gram + half <= last + length)
+    begin = np.concatenate([at[before] - half, at[after]])
+    hashes = span_hashes(data, begin, begin + gram + half)
+    # The same bytes to the left of one anchor and to the right of another are no pair.
+    hashes[len(before) :] = mix64(hashes[len(before) :])
+    return hashes, np.concatenate([before, after])
+
+
 def _bytes(array: np.ndarray, kind: str) -> bytes:
     return array.astype(kind).tobytes()
 
@@ -121,20 +138,27 @@ def _chunks(batch: pa.RecordBatch, text: int):
         yield data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a, b
 
 
-# Step 1: anchors of all documents, by bucket.
-_ANCHORS_DDL = "bucket int, parts binary, counts binary, anchors binary"
-_ANCHORS = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+# Step 1: sides of all anchors, by bucket. In a bucket, which has about as many at any
+# size of the corpus, 32 bits tell them apart but for one in some thousand; segments
+# that are kept for such a one in vain are found to be alone later.
+_SIDES_DDL = "bucket int, parts binary, counts binary, sides binary"
+_SIDES = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _bucket_of(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash's bucket and its 32 bits there."""
+    return (hashes % np.uint64(buckets)).astype(np.int64), (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def _anchor_rows(buckets: int, length: int):
-    def handed_on(anchors: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
-        bucket = (anchors % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((anchors, parts, bucket))
-        anchors, parts, bucket = anchors[order], parts[order], bucket[order]
+def _side_rows(buckets: int, length: int):
+    def handed_on(hashes: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+        bucket, bits = _bucket_of(hashes, buckets)
+        order = np.lexsort((bits, parts, bucket))
+        bits, parts, bucket = bits[order], parts[order], bucket[order]
         # Two of a kind tell as much as more.
-        third = np.zeros(len(anchors), bool)
-        third[2:] = (anchors[2:] == anchors[:-2]) & (parts[2:] == parts[:-2])
-        anchors, parts, bucket = anchors[~third], parts[~third], bucket[~third]
+        third = np.zeros(len(bits), bool)
+        third[2:] = (bits[2:] == bits[:-2]) & (parts[2:] == parts[:-2]) & (bucket[2:] == bucket[:-2])
+        bits, parts, bucket = bits[~third], parts[~third], bucket[~third]
         bounds, rows = _bounds(bucket), []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             inner = _bounds(parts[a:b])
@@ -143,20 +167,21 @@ def _anchor_rows(buckets: int, length: int):
                     int(bucket[a]),
                     _bytes(parts[a:b][inner[:-1]], "<u4"),
                     _bytes(np.diff(inner), "<u4"),
-                    _bytes(anchors[a:b], "<u8"),
+                    _bytes(bits[a:b], "<u4"),
                 )
             )
-        return _batch(rows, _ANCHORS)
+        return _batch(rows, _SIDES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts, size = [], [], 0
         for batch in batches:
             part = batch.column(0).to_numpy(zero_copy_only=False)
             for data, offsets, a, b in _chunks(batch, 2):
-                _, _, anchors, text = segments(data, offsets, length)
-                held.append(anchors)
-                parts.append(part[a:b][text])
-                size += len(anchors)
+                first, last, _, at, text = segments(data, offsets, length)
+                hashes, of = sides(data, first, last, at, length)
+                held.append(hashes)
+                parts.append(part[a:b][text[of]])
+                size += len(hashes)
             if size > GATHERED:
                 yield handed_on(np.concatenate(held), np.concatenate(parts))
                 held, parts, size = [], [], 0
@@ -180,36 +205,51 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
         yield key, rows
 
 
-# Step 2: anchors that occur again, sent back to the parts that have them.
-_REPEATED_DDL = "part int, anchors binary"
+# Step 2: sides that occur again, sent back to the parts that have them.
+_REPEATED_DDL = "part int, sides binary"
 
 
 def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in _groups(batches):
+    for bucket, rows in _groups(batches):
         parts = np.concatenate([np.repeat(_array(p, "<u4"), _array(c, "<u4")) for p, c, _ in rows])
-        anchors = np.concatenate([_array(a, "<u8") for _, _, a in rows])
-        order = np.argsort(anchors)
-        anchors, parts = anchors[order], parts[order]
-        bounds = _bounds(anchors)
+        bits = np.concatenate([_array(a, "<u4") for _, _, a in rows])
+        order = np.argsort(bits)
+        bits, parts = bits[order], parts[order]
+        bounds = _bounds(bits)
         again = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
-        anchors, parts = anchors[again], parts[again]
+        bits, parts = bits[again], parts[again]
         if not len(parts):
             continue
-        order = np.lexsort((anchors, parts))
-        anchors, parts = anchors[order], parts[order]
+        order = np.lexsort((bits, parts))
+        bits, parts = bits[order].astype(np.uint64), parts[order]
         inner = _bounds(parts)
+        known = np.uint64(bucket) << np.uint64(32) | bits
         yield _batch(
             [
-                (int(parts[a]), _bytes(np.unique(anchors[a:b]), "<u8"))
+                (int(parts[a]), _bytes(np.unique(known[a:b]), "<u8"))
                 for a, b in zip(inner[:-1].tolist(), inner[1:].tolist())
             ],
             [pa.int32(), pa.binary()],
         )
 
 
-# Step 3: distinct segments of those anchors in each part.
-_SEGMENTS_DDL = "bucket int, part int, anchors binary, keys binary, sizes binary, least binary, most binary, text binary"
-_SEGMENTS = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+# Step 3: distinct segments with such a side in each part.
+# Anchors and keys are hashes of the text and made anew from it; the columns are
+# compressed together, row by row.
+_SEGMENTS_DDL = "bucket int, part int, segments int, anchors binary, sizes binary, least binary, most binary, text binary"
+_SEGMENTS = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
+
+
+def _squeezed(array: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first: what is alike stands together."""
+    planes = np.ascontiguousarray(array.view(np.uint8).reshape(len(array), -1).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unsqueezed(value, kind: str, count: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(value.as_py()), np.uint8)
+    planes = raw.reshape(np.dtype(kind).itemsize, count)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(count)
 
 
 def _part_rows(batches: Iterator[pa.RecordBatch]):
@@ -241,7 +281,7 @@ def _doc_ids(column) -> np.ndarray:
 
 def _segment_rows(buckets: int, length: int):
     def handed_on(part: int, held: list) -> Iterator[pa.RecordBatch]:
-        anchors, keys, sizes, docs, texts = (np.concatenate(x) for x in zip(*held))
+        anchors, places, keys, sizes, docs, texts = (np.concatenate(x) for x in zip(*held))
         starts = np.cumsum(sizes) - sizes
         order = np.lexsort((keys, anchors, anchors % np.uint64(buckets)))
         bounds = _bounds(keys[order])
@@ -254,8 +294,8 @@ def _segment_rows(buckets: int, length: int):
             own = first[a:b]
             text = texts[_spread(starts[own], sizes[own])]
             row = (
-                int(bucket[a]), part, _bytes(anchors[own], "<u8"), _bytes(keys[own], "<u8"),
-                _bytes(sizes[own], "<u4"), _bytes(least[a:b], "<i8"), _bytes(most[a:b], "<i8"), text.tobytes(),
+                int(bucket[a]), part, b - a, _squeezed(places[own].astype("<u4")), _squeezed(sizes[own].astype("<u4")),
+                _squeezed(least[a:b].astype("<i8")), _squeezed((most - least)[a:b].astype("<u8")), _squeezed(text),
             )
             yield _batch([row], _SEGMENTS)
 
@@ -272,15 +312,18 @@ def _segment_rows(buckets: int, length: int):
                 continue
             ids = _doc_ids(batch.column(2))
             for data, offsets, a, b in _chunks(batch, 3):
-                first, last, anchors, text = segments(data, offsets, length)
-                at = np.minimum(np.searchsorted(wanted, anchors), len(wanted) - 1)
-                kept = np.flatnonzero(wanted[at] == anchors)
+                first, last, anchors, at, text = segments(data, offsets, length)
+                hashes, of = sides(data, first, last, at, length)
+                bucket, bits = _bucket_of(hashes, buckets)
+                known = bucket.astype(np.uint64) << np.uint64(32) | bits
+                place = np.minimum(np.searchsorted(wanted, known), len(wanted) - 1)
+                kept = np.unique(of[wanted[place] == known])
                 if not len(kept):
                     continue
                 first, sizes = first[kept], last[kept] - first[kept] + length
                 keys = span_hashes(data, first, first + sizes)
                 texts = data[_spread(first, sizes)]
-                held.append((anchors[kept], keys, sizes, ids[a:b][text[kept]], texts))
+                held.append((anchors[kept], at[kept] - first, keys, sizes, ids[a:b][text[kept]], texts))
                 size += len(texts)
         if held:
             yield from handed_on(owner, held)
@@ -313,83 +356,149 @@ def _shard(texts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, marks
 
 
-def _merged(rows: list, length: int) -> list[tuple[int, np.ndarray]]:
-    """First documents for segments of all parts, given as unpacked columns."""
-    shards, least, most, key, owner, start, ends = [], [], [], [], [], [], []
-    offset = 0
-    for part, keys, sizes, low, high, texts in rows:
-        text, marks = _shard(texts, sizes)
+class _Distinct:
+    """The distinct segments of a bucket, and which parts have them.
+
+    Segments are sorted by anchor and known by their hash. ``least`` is the first document
+    that has one, in any part. An entry is a segment in a part: ``entry_of`` its segment,
+    ``part`` and ``most``, the part's last document that has it.
+    """
+
+    def __init__(self, rows: list, length: int):
+        own = [self._unpacked(row, length) for row in rows]
+        anchor, key, size, start, sides_of, least, most, texts = (list(x) for x in zip(*own))
+        base = np.cumsum([0] + [len(t) for t in texts])[:-1]
+        part = np.repeat([r[0].as_py() for r in rows], [len(s) for s in size])
+        start = np.concatenate([s + b for s, b in zip(start, base)])
+        anchor, key, size, least, most, self.text = map(np.concatenate, (anchor, key, size, least, most, texts))
+        order = np.lexsort((part, size, key, anchor))
+        new = np.ones(len(order), bool)
+        new[1:] = False
+        for column in (anchor, key, size):
+            new[1:] |= column[order][1:] != column[order][:-1]
+        heads = np.flatnonzero(new)
+        first = order[heads]
+        self.anchor, self.key, self.size, self.start = anchor[first], key[first], size[first], start[first]
+        self.shard = part[first]
+        self.least = np.minimum.reduceat(least[order], heads)
+        self.entry_of, self.part, self.most = np.cumsum(new) - 1, part[order], most[order]
+        self.meets = self._meets(np.concatenate(sides_of)[first])
+
+    @staticmethod
+    def _unpacked(row: list, length: int) -> tuple[np.ndarray, ...]:
+        """The segments of one part: anchor, key, size, start in the text, hashes of both
+        sides (0 for none), documents, text."""
+        count = row[1].as_py()
+        size = _unsqueezed(row[3], "<u4", count).astype(np.int64)
+        start = np.cumsum(size) - size
+        text = _unsqueezed(row[6], "<u1", int(size.sum()))
+        at = start + _unsqueezed(row[2], "<u4", count)
+        least = _unsqueezed(row[4], "<i8", count)
+        most = (least.view(np.uint64) + _unsqueezed(row[5], "<u8", count)).view(np.int64)
+        anchor = span_hashes(text, at, at + min(GRAM, length))
+        hashes, of = sides(text, start, start + size - length, at, length)
+        both = np.zeros((count, 2), np.uint64)
+        new = np.append(False, of[1:] <= of[:-1])  # the second side begins anew
+        both[of, np.cumsum(new)] = hashes
+        return anchor, span_hashes(text, start, start + size), size, start, both, least, most, text
+
+    @staticmethod
+    def _meets(both: np.ndarray) -> np.ndarray:
+        """Which segments have a side in common with another: only these share a window."""
+        hashes = both.ravel()
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        again = np.zeros(len(hashes), bool)
+        same = (ordered[1:] == ordered[:-1]) & (ordered[1:] != 0)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        return again.reshape(-1, 2).any(axis=1)
+
+    def groups(self, symbols: int) -> Iterator[np.ndarray]:
+        """Segments that meet others, by anchors, about ``symbols`` at a time."""
+        several = np.flatnonzero(self.meets)
+        if not len(several):
+            return
+        anchors = self.anchor[several]
+        total = np.cumsum(self.size[several] + 1)
+        cuts = np.searchsorted(total, np.arange(symbols, int(total[-1]), symbols))
+        cuts = np.unique(np.searchsorted(anchors, anchors[cuts], "left"))
+        yield from (g for g in np.split(several, cuts[cuts > 0]) if len(g))
+
+    def alone(self) -> np.ndarray:
+        """Segments that share no window with another."""
+        return np.flatnonzero(~self.meets)
+
+
+def _merged(own: _Distinct, group: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Segment, lowest and highest start, and first document of the strings of a group.
+
+    Each part's segments are a shard, a segment that several parts have is in the first's.
+    """
+    group = group[np.argsort(own.shard[group], kind="stable")]
+    bounds = _bounds(own.shard[group])
+    shards, start, offset = [], [], 0
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        sizes = own.size[group[a:b]]
+        text, marks = _shard(own.text[_spread(own.start[group[a:b]], sizes)], sizes)
         shards.append(transform(text, marks))
-        least.append(low)
-        most.append(high)
-        key.append(keys)
-        owner.append(np.full(len(keys), part))
         start.append(offset + marks - sizes)
-        ends.append(offset + marks)
         offset += len(text)
-    least, most, key, owner, start, ends = (np.concatenate(x) for x in (least, most, key, owner, start, ends))
-    source, interval = merge(shards, length)
-    places = np.concatenate(
-        [s.suffixes + base for s, base in zip(shards, np.cumsum([0] + [len(s.suffixes) for s in shards])[:-1])]
-    )[source]
+    start = np.concatenate(start)
+    base = np.cumsum([0] + [len(s.suffixes) for s in shards])[:-1]
+    places = np.concatenate([s.suffixes + b for s, b in zip(shards, base)])
     segment = np.searchsorted(start, places, "right") - 1
+    source, interval = merge(shards, length, segment)
+    least, segment, places = own.least[group], segment[source], places[source]
     bounds = np.append(np.flatnonzero(np.diff(interval, prepend=-1)), len(interval))
     first = np.minimum.reduceat(least[segment], bounds[:-1])
     by_place = np.empty(offset, np.int64)
     by_place[places] = np.repeat(first, np.diff(bounds))
     # Strings of the full length, in text order, in runs with one first document.
-    sizes = ends - start - length + 1
-    at = _spread(start, sizes)
-    segment = np.repeat(np.arange(len(start)), sizes)
+    windows = own.size[group] - length + 1
+    at = _spread(start, windows)
+    segment = np.repeat(np.arange(len(start)), windows)
     first = by_place[at]
     new = np.ones(len(at), bool)
     new[1:] = (segment[1:] != segment[:-1]) | (first[1:] != first[:-1])
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(at)) - 1
-    found = np.empty(len(head), _FOUND)
-    own = segment[head]
-    found["key"], found["first"] = key[own], first[head]
-    found["low"], found["high"] = at[head] - start[own], at[tail] - start[own]
-    useful = found["first"] < most[own]
-    found, owner = found[useful], owner[own][useful]
-    order = np.argsort(owner, kind="stable")
-    found, owner = found[order], owner[order]
-    if not len(found):
-        return []
-    inner = _bounds(owner)
-    return [(int(owner[a]), found[a:b]) for a, b in zip(inner[:-1].tolist(), inner[1:].tolist())]
+    of = segment[head]
+    return group[of], at[head] - start[of], at[tail] - start[of], first[head]
+
+
+def _found_of(own: _Distinct, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is found in a bucket and the part it goes to, by parts.
+
+    All windows of a segment that shares none with others occur where it does.
+    """
+    alone = own.alone()
+    made = [(alone, np.zeros(len(alone), np.int64), own.size[alone] - length, own.least[alone])]
+    made += [_merged(own, group, length) for group in own.groups(MERGED_SYMBOLS)]
+    segment, low, high, first = (np.concatenate(x) for x in zip(*made))
+    order = np.argsort(segment, kind="stable")
+    segment, low, high, first = segment[order], low[order], high[order], first[order]
+    # Every entry gets what its segment has, as far as a document of its part is later.
+    begin = np.searchsorted(segment, own.entry_of, "left")
+    many = np.searchsorted(segment, own.entry_of, "right") - begin
+    row, entry = _spread(begin, many), np.repeat(np.arange(len(many)), many)
+    useful = first[row] < own.most[entry]
+    row, entry = row[useful], entry[useful]
+    by_part = np.argsort(own.part[entry], kind="stable")
+    row, entry = row[by_part], entry[by_part]
+    found = np.empty(len(row), _FOUND)
+    found["key"], found["low"], found["high"], found["first"] = own.key[segment[row]], low[row], high[row], first[row]
+    return found, own.part[entry]
 
 
 def _found_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches):
-            shards = []
-            for part, anchors, keys, sizes, least, most, text in rows:
-                sizes = _array(sizes, "<u4").astype(np.int64)
-                anchors = _array(anchors, "<u8")
-                shards.append(
-                    (part.as_py(), anchors, _array(keys, "<u8"), sizes, _array(least, "<i8"), _array(most, "<i8"),
-                     _array(text, np.uint8), np.cumsum(sizes) - sizes)
-                )
-            # Anchors in ranges whose segments are of a bounded size together.
-            anchors = np.concatenate([s[1] for s in shards])
-            order = np.argsort(anchors)
-            total = np.cumsum(np.concatenate([s[3] for s in shards])[order] + 1)
-            cuts = np.searchsorted(total, np.arange(MERGED_SYMBOLS, int(total[-1]), MERGED_SYMBOLS))
-            limits = np.unique(anchors[order][cuts]) if len(cuts) else np.empty(0, np.uint64)
-            del anchors, order, total
-            group_of = [np.searchsorted(limits, s[1], "right") for s in shards]
-            for group in range(len(limits) + 1):
-                some = []
-                for s, groups in zip(shards, group_of):
-                    own = np.flatnonzero(groups == group)
-                    if len(own):
-                        sizes = s[3][own]
-                        some.append((s[0], s[2][own], sizes, s[4][own], s[5][own], s[6][_spread(s[7][own], sizes)]))
-                if some:
-                    made = [(part, found.tobytes()) for part, found in _merged(some, length)]
-                    if made:
-                        yield _batch(made, [pa.int32(), pa.binary()])
+            found, part = _found_of(_Distinct(rows, length), length)
+            if not len(found):
+                continue
+            bounds = _bounds(part)
+            sent = [(int(part[a]), found[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield _batch(sent, [pa.int32(), pa.binary()])
 
     return run
 
@@ -413,7 +522,7 @@ def _marked_rows(length: int):
             for data, offsets, a, b in _chunks(batch, 3):
                 covered = np.zeros(len(data) + 1, np.int32)
                 if len(found):
-                    first, last, _, text = segments(data, offsets, length)
+                    first, last, _, _, text = segments(data, offsets, length)
                     own = span_hashes(data, first, last + length)
                     low = np.searchsorted(keys, own, "left")
                     many = np.searchsorted(keys, own, "right") - low
@@ -475,7 +584,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, parts: int | None = N
     )
 
     def by_bucket(df: DataFrame) -> DataFrame:
-        return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
+        return df.repartitionById(parts, "bucket").sortWithinPartitions("bucket")
 
     def to_parts(sent: DataFrame) -> DataFrame:
         tagged = sent.select(
@@ -483,10 +592,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, parts: int | None = N
             F.lit(None).cast("string").alias("text"), sent.columns[1],
         ).toDF("part", "kind", "doc_id", "text", "packed")
         own = rows.select("part", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("packed"))
-        return tagged.union(own).repartition(parts, "part").sortWithinPartitions("part", "kind")
+        return tagged.union(own).repartitionById(parts, "part").sortWithinPartitions("part", "kind")
 
-    anchors = rows.select("part", "doc_id", "text").mapInArrow(_anchor_rows(parts, length), _ANCHORS_DDL)
-    repeated = saved(by_bucket(anchors).mapInArrow(_repeated_rows, _REPEATED_DDL), "anchors")
+    known = rows.select("part", "doc_id", "text").mapInArrow(_side_rows(parts, length), _SIDES_DDL)
+    repeated = saved(by_bucket(known).mapInArrow(_repeated_rows, _REPEATED_DDL), "sides")
     distinct = to_parts(repeated).mapInArrow(_segment_rows(parts, length), _SEGMENTS_DDL)
     found = saved(by_bucket(distinct).mapInArrow(_found_rows(length), _FOUND_DDL), "found")
     return to_parts(found).mapInArrow(_marked_rows(length), _MARKED_DDL)
