@@ -8,6 +8,7 @@ the items that hold it are reported.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeflow.llm.common import pieces, small_batches, utf8
+from gaugeflow.llm.common import fresh_name, pieces, saved, small_batches, utf8
 from gaugeflow.llm.words import find_words, mix64
 
 WINDOW = 13
@@ -231,80 +232,124 @@ _OUT_DDL = (
 )
 
 
-def _judge(text_column: int, indexes: list[tuple[ItemIndex, list[str]]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(text_column))
-            rows: list[tuple] = []
-            for a, b in pieces(np.diff(offsets), CHUNK_BYTES):
-                own = offsets[a : b + 1] - offsets[a]
-                rows += _judge_texts(data[offsets[a] : offsets[b]], own, indexes)
-            made = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(_OUT)]
-            names = [f.name for f in batch.schema] + [n for n, _ in _OUT]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+#: What one automaton's pass hands on to the next: runs of hit words, and items.
+_CARRIED = [
+    ("hits", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
+    ("items", pa.list_(pa.string())),
+]
+_CARRIED_DDL = "array<struct<first: long, last: long>>", "array<string>"
+
+Automaton = tuple[ItemIndex, list[str]]
+
+
+def _judge(text_column: int, automaton: Automaton | None, carried: bool, last: bool):
+    """One pass of whole texts through one automaton. With ``carried``, the last two columns
+    are what the pass before has found; the ``last`` pass gives the result."""
+    kinds = [kind for _, kind in (_OUT if last else _CARRIED)]
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        data, offsets = utf8(batch.column(text_column))
+        before = [batch.column(i).to_pylist() for i in (-2, -1)] if carried else None
+        rows: list[tuple] = []
+        for a, b in pieces(np.diff(offsets), CHUNK_BYTES):
+            own = offsets[a : b + 1] - offsets[a]
+            found = [x[a:b] for x in before] if before else None
+            rows += _judge_texts(data[offsets[a] : offsets[b]], own, automaton, found, last)
+        return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
 
     return run
 
 
-def _judge_texts(data: np.ndarray, offsets: np.ndarray, indexes) -> list[tuple]:
+def _judge_texts(data: np.ndarray, offsets: np.ndarray, automaton, before, last: bool) -> list[tuple]:
     starts, ends, hashes, bounds = find_words(data, offsets)
     hit = np.zeros(len(hashes), bool)
     found: dict[int, set[str]] = {}
-    for index, ids in indexes:
-        if not len(index.words):
-            continue
+    for text, (runs, items) in enumerate(zip(*before) if before else ()):
+        for run in runs:
+            hit[bounds[text] + run["first"] : bounds[text] + run["last"]] = True
+        if items:
+            found[text] = set(items)
+    if automaton and len(automaton[0].words):
+        index, ids = automaton
         at = np.minimum(np.searchsorted(index.words, hashes), len(index.words) - 1)
         codes = np.where(index.words[at] == hashes, at, -1)
         runs = index.candidates(codes, bounds)
         texts = np.searchsorted(bounds, runs[0], "right") - 1
         for s, e, text in zip(*(x.tolist() for x in runs), texts.tolist()):
-            items: set[int] = set()
-            index.walk(codes[s:e].tolist(), hit[s:e], items)
-            if items:
-                found.setdefault(text, set()).update(ids[i] for i in items)
+            own: set[int] = set()
+            index.walk(codes[s:e].tolist(), hit[s:e], own)
+            if own:
+                found.setdefault(text, set()).update(ids[i] for i in own)
     rows = []
     for text, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-        if text not in found:
-            rows.append((e - s, 0, [], []))
+        first, end = _spans(hit[s:e]) if text in found else (np.empty(0, np.int64),) * 2
+        items = sorted(found.get(text, ()))
+        if not last:
+            rows.append(([{"first": x, "last": y} for x, y in zip(first.tolist(), end.tolist())], items))
             continue
-        first, last = _spans(hit[s:e])
         spans = [
             {
                 "start": int(starts[s + x] - offsets[text]),
                 "end": int(ends[s + y - 1] - offsets[text]),
                 "words": int(y - x),
             }
-            for x, y in zip(first.tolist(), last.tolist())
+            for x, y in zip(first.tolist(), end.tolist())
         ]
-        rows.append((e - s, int(hit[s:e].sum()), sorted(found[text]), spans))
+        rows.append((e - s, int(hit[s:e].sum()), items, spans))
     return rows
 
 
-def item_indexes(items: DataFrame, window: int = WINDOW, most_words: int = AUTOMATON_WORDS):
-    """Automata over all items of (item_id, text), each of about ``most_words`` words.
+def _built(window: int):
+    """Automata of the items of each part, which come sorted by it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, ids = None, [], []
+
+        def made() -> pa.RecordBatch:
+            blob = pickle.dumps((ItemIndex.build(held, window), ids), protocol=5)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["part", "automaton"])
 
-    A test set is small, but its size is not taken for granted: the items arrive one
-    partition at a time and are cut into as many automata as they need. Null texts
-    have no words; a null id counts as ``null``.
+        for batch in batches:
+            data, offsets = utf8(batch.column(2))
+            _, _, hashes, bounds = find_words(data, offsets)
+            for i, (own, item) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if own != part and ids:
+                    yield made()
+                    held, ids = [], []
+                part = own
+                held.append(hashes[bounds[i] : bounds[i + 1]])
+                ids.append(item)
+        if ids:
+            yield made()
+
+    return run
+
+
+def item_automata(items: DataFrame, window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> DataFrame:
+    """(part, automaton): automata over all items of (item_id, text), each of about
+    ``most_words`` words, built by executor tasks and kept in the shared folder.
+
+    Items are dealt to as many automata as their words need. Null texts have no words; a
+    null id counts as ``null``.
     """
-    indexes, held, ids, words = [], [], [], 0
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
-    for row in rows.toLocalIterator():
-        data = np.frombuffer((row["text"] or "").encode(), np.uint8)
-        hashes = find_words(data, np.array([0, len(data)]))[2]
-        held.append(hashes)
-        ids.append(row["item_id"])
-        words += len(hashes)
-        if words >= most_words:
-            indexes.append((ItemIndex.build(held, window), ids))
-            held, ids, words = [], [], 0
-    if held:
-        indexes.append((ItemIndex.build(held, window), ids))
-    return indexes
+    rows = items.select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+    words = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
+    parts = max(1, -(-words // most_words))
+    dealt = rows.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int").alias("part"), "item_id", "text")
+    ordered = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "item_id", "text")
+    return saved(ordered.mapInArrow(_built(window), "part int, automaton binary"), "automata")
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, columns=None
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    coverage: float = COVERAGE,
+    columns=None,
+    most_words: int = AUTOMATON_WORDS,
 ) -> DataFrame:
     """Benchmark passages in every document.
 
@@ -316,29 +361,48 @@ def contamination(
     of fewer. Null and empty texts have no words; without items nothing is hit.
     Repeated rows each get a row.
 
-    One pass over the documents, no shuffle. Each automaton (bounded, see
-    ``item_indexes``) is broadcast; beyond one, a document passes them in turn.
+    A pass over the documents for each automaton (see ``item_automata``), no shuffle. One
+    automaton of about ``most_words`` words, bounded, is broadcast at a time; between
+    passes the documents and what was found are written to the shared folder.
     """
-    small_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(index) for index in item_indexes(items, window)]
+    spark = docs.sparkSession
+    small_batches(spark)
+    automata = item_automata(items, window, most_words)
+    parts = sorted(r["part"] for r in automata.select("part").collect()) or [None]
     columns = list(columns or ["doc_id"])
     picked = docs.select(*columns, *([] if "text" in columns else ["text"]))
     place = picked.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _judge(place, [b.value for b in shared])(batches)
-
-    schema = T.StructType(picked.schema.fields + T.StructType.fromDDL(_OUT_DDL).fields)
-    judged = picked.mapInArrow(run, schema)
+    hits, found = (fresh_name(picked.columns, n) for n in ("_hits", "_items"))
+    own = picked.schema.fields
+    carried = T.StructType([*own, *T.StructType.fromDDL(f"`{hits}` {_CARRIED_DDL[0]}, `{found}` {_CARRIED_DDL[1]}").fields])
+    final = T.StructType([*own, *T.StructType.fromDDL(_OUT_DDL).fields])
+    rows = picked
+    for i, part in enumerate(parts):
+        last = i == len(parts) - 1
+        blob = None if part is None else bytes(automata.where(F.col("part") == part).first()["automaton"])
+        shared = spark.sparkContext.broadcast(pickle.loads(blob) if blob else None)
+        schema = final if last else carried
+        passed = rows.mapInArrow(_pass(shared, place, len(own), i > 0, last, schema.names), schema)
+        rows = passed if last else saved(passed, f"pass-{i}")
+        if not last:
+            shared.destroy()
     share = F.col("n_hit") >= F.lit(coverage) * F.col("n_words")
     if coverage == COVERAGE:
         share = 20 * F.col("n_hit") >= F.col("n_words")
-    return judged.withColumn("contaminated", (F.col("n_hit") > 0) & share).drop(
+    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & share).drop(
         *([] if "text" in columns else ["text"])
     )
 
 
+def _pass(shared, place: int, own: int, carried: bool, last: bool, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judge(place, shared.value, carried, last)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], *judge(batch)], names=names)
+
+    return run
+
+
 def without_spans(text: Column, spans: Column) -> Column:
     """The text with its spans (see ``contamination``) cut out, as an expression."""
     raw = text.cast("binary")

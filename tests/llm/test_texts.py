@@ -184,18 +184,19 @@ def test_token_files(spark):
 
 
 @pytest.mark.parametrize("most_words", [10**6, 30])
-def test_contamination(spark, monkeypatch, most_words):
-    monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", most_words)
+def test_contamination(spark, most_words):
     rng = random.Random(8)
     items = [(i, corpus.prose(rng, n)) for i, n in enumerate((30, 20, 13, 5, 1, 40))]
     items += [(10, None), (11, ""), (12, items[1][1]), (13, items[0][1] + " tail " + items[1][1]), (None, "rare word")]
     data = corpus.rows() + [(800, f"x {items[0][1].upper()} y", "a"), (801, items[1][1] * 2, "a")]
     data += [(802, " ".join(items[5][1].split(" ")[3:17]), "a"), (803, "a rare\nWORD " * 3, "a"), (804, items[3][1], "a")]
     df = spark.createDataFrame(items, "item_id long, text string")
-    indexes = decontaminate.item_indexes(df, most_words=most_words)
-    assert (len(indexes) > 1) == (most_words == 30)
-    monkeypatch.setattr(decontaminate, "item_indexes", lambda *_: indexes)
-    got = decontaminate.contamination(corpus.documents(spark, data), df).collect()
+    automata = decontaminate.item_automata(df, most_words=most_words)
+    assert (automata.count() > 1) == (most_words == 30)
+    docs = corpus.documents(spark, data).withColumn("_hits", F.lit("mine")).withColumn("_items", F.lit("too"))
+    columns = ["doc_id", "_hits", "_items"]
+    got = decontaminate.contamination(docs, df, columns=columns, most_words=most_words).collect()
+    assert all(r["_hits"] == "mine" and r["_items"] == "too" for r in got)
     windows = defaultdict(set)
     for i, t in items:
         w = corpus.words(t)
@@ -216,7 +217,9 @@ def test_contamination(spark, monkeypatch, most_words):
         raw = (text[r["doc_id"]] or "").encode()
         assert sum(len(corpus.words(raw[s["start"] : s["end"]].decode())) for s in r["spans"]) == len(hit)
     assert len(got) == len(data)
-    assert decontaminate.contamination(corpus.empty(spark), df).count() == 0
+    assert decontaminate.contamination(corpus.empty(spark), df, most_words=most_words).count() == 0
+    none = decontaminate.contamination(corpus.documents(spark, data), df.limit(0)).collect()
+    assert len(none) == len(data) and not any(r["n_hit"] or r["contaminated"] for r in none)
 
 
 def test_spans_are_cut_out(spark):
