@@ -185,6 +185,12 @@ def _rank(log_weight: np.ndarray, r: np.ndarray, log_c: np.ndarray, beta: np.nda
     return (log_c - r * (t - beta) - r).astype(np.float32), t.astype(np.int64)
 
 
+@lru_cache(maxsize=4 * TABLE_WEIGHTS)
+def _entries_of(weight: float) -> np.ndarray:
+    """ln a of every entry of the table, for shingles of one weight."""
+    return _rank(np.log(weight), *_variates())[0]
+
+
 def draws(
     hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray, count: int, begin: int = 0
 ) -> np.ndarray:
@@ -199,7 +205,7 @@ def draws(
     values, inverse, often = np.unique(weights, return_inverse=True, return_counts=True)
     # Few weights occur often: for them ln a and t of every entry are known beforehand.
     common = np.argsort(-often, kind="stable")[:TABLE_WEIGHTS]
-    flat_a = _rank(np.log(values[common])[:, None], r, log_c, beta)[0].ravel()
+    flat_a = np.concatenate([_entries_of(v) for v in values[common].tolist()])
     row = np.full(len(values), -1)
     row[common] = np.arange(len(common))
     base = row[inverse] << TABLE_BITS
