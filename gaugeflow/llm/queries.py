@@ -191,6 +191,71 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') AS verdict
 FROM parts p LEFT JOIN fits f USING (page_id)
 """
 
+# Every string of 50 bytes, as hexadecimal text, and its first document; the texts are cut
+# into short pieces because the n-th character of a long one is far to go.
+_OP3 = """
+WITH docs AS (
+    SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pieces AS (
+    SELECT row, doc_id, c, h[2 * c + 1 : 2 * c + 498] AS piece
+    FROM (SELECT row, doc_id, h, unnest(range(0, length(h) // 2, 200)) AS c FROM docs)
+), bytes AS (
+    SELECT row, doc_id, c + i AS p, piece[2 * i + 1 : 2 * i + 2] AS byte,
+        CASE WHEN 2 * i + 100 <= length(piece) THEN piece[2 * i + 1 : 2 * i + 100] END AS string
+    FROM (SELECT *, unnest(range(0, least(200, length(piece) // 2))) AS i FROM pieces)
+), firsts AS (
+    SELECT string, min(doc_id) AS first FROM bytes WHERE string IS NOT NULL GROUP BY string
+), marked AS (
+    SELECT row, p, byte, max(coalesce(first < doc_id, false)::INT)
+        OVER (PARTITION BY row ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+    FROM bytes LEFT JOIN firsts USING (string)
+), runs AS (
+    SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY row ORDER BY p), 0) = 0 AS begins FROM marked
+), cut AS (
+    SELECT row, count(*) AS n_bytes, sum(gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+        string_agg(byte, '' ORDER BY p) FILTER (gone = 0) AS kept
+    FROM runs GROUP BY row
+)
+SELECT doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+    coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (row)
+"""
+
+# Every run of 13 words, or of as many as a shorter item has.
+_OP8 = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), items AS (
+    SELECT coalesce(item_id::VARCHAR, 'null') AS id,
+        regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), windows AS (
+    SELECT DISTINCT id, least(len(w), 13) AS n, array_to_string(w[s + 1 : s + least(len(w), 13)], ' ') AS k
+    FROM (SELECT id, w, unnest(range(0, greatest(len(w) - 12, 1))) AS s FROM items WHERE len(w) > 0)
+), places AS (
+    SELECT row, n, s, array_to_string(w[s + 1 : s + n], ' ') AS k
+    FROM (SELECT row, w, n, unnest(range(0, greatest(len(w) - n + 1, 0))) AS s
+          FROM docs, (SELECT DISTINCT n FROM windows))
+), matches AS (
+    SELECT row, s, n, id FROM places JOIN windows USING (n, k)
+), hits AS (
+    SELECT row, count(DISTINCT p) AS n_hit
+    FROM (SELECT row, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT row, s, n FROM matches))
+    GROUP BY row
+), found AS (
+    SELECT row, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids
+    FROM matches GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+    coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM docs LEFT JOIN hits USING (row) LEFT JOIN found USING (row)
+"""
+
 _OP10 = r"""
 WITH norm AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t
@@ -322,6 +387,8 @@ FROM a{rounds} a JOIN c{rounds} c ON a.packed % {k} = c.cluster
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": _OP1,
+    "op3_merged_bwt": _OP3,
+    "op8_benchmark_contamination": _OP8,
     "op10_exact_dedup": _OP10,
     "op11_filter_audit": _OP11,
     "op12_chat_format": _op12_sql(),
