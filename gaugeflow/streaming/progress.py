@@ -77,7 +77,7 @@ class MetricsTable(StreamingQueryListener):
     def __init__(self, spark: SparkSession, path: str, every: int = 50):
         self.spark, self.path, self.every = spark, path, every
         self._held: list[dict] = []
-        self._lock = threading.Lock()
+        self._lock, self._writing = threading.Lock(), threading.Lock()
         self._ended: set[str] = set()
         self._ends = threading.Condition()
 
@@ -95,10 +95,11 @@ class MetricsTable(StreamingQueryListener):
         self.close()
 
     def flush(self) -> None:
-        with self._lock:
-            held, self._held = self._held, []
-        if held:
-            _frame(self.spark, held).coalesce(1).write.mode("append").parquet(self.path)
+        with self._writing:  # two writers of one folder would get in each other's way
+            with self._lock:
+                held, self._held = self._held, []
+            if held:
+                _frame(self.spark, held).coalesce(1).write.mode("append").parquet(self.path)
 
     def wait_for(self, query: StreamingQuery, seconds: float = 60) -> bool:
         """Whether the last report of an ended query has arrived: reports come after the
