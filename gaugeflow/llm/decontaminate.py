@@ -27,7 +27,7 @@ COVERAGE = 0.05
 #: Words of the items that one automaton holds, about.
 AUTOMATON_WORDS = 2_000_000
 #: Bytes of text whose words are found together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 class SuffixAutomaton:

@@ -46,7 +46,7 @@ TABLE_WEIGHTS = 16
 #: Texts of more distinct shingles than this, an eighth of the table, have bands from
 #: variates of their own as well: they would use up the table's least entries.
 LONG_TEXT = 1 << (TABLE_BITS - 3)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _SLICE = 1 << 13
 
@@ -185,7 +185,7 @@ def _rank(log_weight: np.ndarray, r: np.ndarray, log_c: np.ndarray, beta: np.nda
     return (log_c - r * (t - beta) - r).astype(np.float32), t.astype(np.int64)
 
 
-@lru_cache(maxsize=4 * TABLE_WEIGHTS)
+@lru_cache(maxsize=2 * TABLE_WEIGHTS)
 def _entries_of(weight: float) -> np.ndarray:
     """ln a of every entry of the table, for shingles of one weight."""
     return _rank(np.log(weight), *_variates())[0]
@@ -485,6 +485,15 @@ def _pairs_left(
     )
 
 
+def _one_of_each(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row for each doc_id of ``ids``, which ``rows`` hold all; rows of one number are
+    equal, or count as one document. Without repeats nothing is moved."""
+    if rows.count() == ids.count():
+        return rows
+    others = [c for c in rows.columns if c != "doc_id"]
+    return saved(rows.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in others]), "once")
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = THRESHOLD,
@@ -522,8 +531,7 @@ def near_duplicates(
     banded = base.mapInArrow(_band_rows(shared, bands, rows), "doc_id long, bands array<long>")
     banded = saved(banded, "bands")
     firsts = texts.select(F.col("node").alias("doc_id")).distinct()
-    # Of repeated rows one; a repeated number has equal bands, or counts as one document.
-    once = banded.join(firsts, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("bands").alias("bands"))
+    once = _one_of_each(banded.join(firsts, "doc_id", "left_semi"), firsts)
     members = once.select(F.explode(F.array_distinct("bands")).alias("bucket"), "doc_id")
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader"))
     members = saved(members.join(buckets.where("n > 1"), "bucket").drop("n"), "members")
@@ -531,8 +539,7 @@ def near_duplicates(
     profiles = base.join(candidates, "doc_id", "left_semi").mapInArrow(
         _profile_rows(shared), "doc_id long, hashes binary, weights binary"
     )
-    profiles = profiles.groupBy("doc_id").agg(F.first("hashes").alias("hashes"), F.first("weights").alias("weights"))
-    profiles = saved(profiles, "profiles")
+    profiles = _one_of_each(saved(profiles, "profiles"), candidates)
     pairs = members.where("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     star = _similarities(pairs.distinct(), profiles)
     rest = _similarities(_pairs_left(members, star, profiles, threshold, bands * rows), profiles)
