@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from gaugeflow.llm import rans
 from gaugeflow.llm.bpe import encoder
-from gaugeflow.llm.common import scratch, small_batches, utf8
+from gaugeflow.llm.common import scratch, small_batches, tidy, utf8
 
 #: Ids of a segment, at least, unless the part ends.
 SEGMENT_IDS = 1 << 20
@@ -114,7 +114,7 @@ def write_tokens(
     path = path or scratch(spark, "tokens")
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    segments = ordered.mapInArrow(_encode(tokenizer, end_id, segment_ids), _SEGMENT_DDL)
+    segments = ordered.mapInArrow(tidy(_encode(tokenizer, end_id, segment_ids)), _SEGMENT_DDL)
     segments.write.option("compression", "none").parquet(path)
     return path
 
@@ -153,7 +153,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """
     small_batches(spark)
     return spark.read.schema(_SEGMENT_DDL).parquet(path).mapInArrow(
-        _decode, "part int, segment int, doc_id long, place long, n_tokens long, ids binary"
+        tidy(_decode), "part int, segment int, doc_id long, place long, n_tokens long, ids binary"
     )
 
 

@@ -8,6 +8,7 @@ per task and looked up after that; the ids are the same as those of the whole te
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,7 @@ from gaugeflow.llm.words import span_hashes
 
 #: Pieces remembered before the memory starts anew.
 MOST_PIECES = 1 << 20
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: The tokenizer is fed marks and runs in batches of so many.
 BATCH = 4096
 
@@ -44,6 +45,8 @@ class PieceEncoder:
     """Token ids of texts by one tokenizer; one per Python worker."""
 
     def __init__(self, path: str):
+        # A task has one core; threads of the tokenizer's own would each keep memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,8 +54,10 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
+        # Hashes of the pieces in rising order, and each one's place in ``starts``: arrays,
+        # since a dictionary of as many takes ten times their memory.
+        self.known = np.empty(0, np.uint64)
+        self.places = np.empty(0, np.int32)
         self.flat = np.empty(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
@@ -77,10 +82,12 @@ class PieceEncoder:
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(unique) > MOST_PIECES:
             self._clear()
-        known = self.known
-        slots = [known.get(h, -1) for h in unique.tolist()]
-        slots = np.array(slots, np.int64)
-        new = np.flatnonzero(slots < 0)
+        at = np.searchsorted(self.known, unique)
+        there = at < len(self.known)
+        there[there] = self.known[at[there]] == unique[there]
+        slots = np.zeros(len(unique), np.int64)
+        slots[there] = self.places[at[there]]
+        new = np.flatnonzero(~there)
         if len(new):
             slots[new] = self._learn(data, starts[first[new]], ends[first[new]], plain[first[new]], unique[new])
         lengths = np.diff(self.starts)[slots]
@@ -110,12 +117,15 @@ class PieceEncoder:
             for i, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 found[i] = e.ids
         first = len(self.known)
-        self.known.update(zip(hashes.tolist(), range(first, first + len(raw))))
+        places = np.arange(first, first + len(raw))
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.places = np.insert(self.places, at, places)
         lengths = np.array([len(x) for x in found], np.int64)
         ids = np.array([t for x in found for t in x], np.uint32)
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         self.flat = np.concatenate([self.flat, ids])
-        return np.arange(first, first + len(raw))
+        return places
 
 
 def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

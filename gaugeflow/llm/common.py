@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +67,28 @@ def pieces(lengths: np.ndarray, most: int):
         yield start, len(lengths)
 
 
+def _give_back() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def tidy(rows):
+    """A function for ``mapInArrow`` that, at the end of a task, gives the memory it has freed
+    back to the system. Python workers live on from task to task and stage to stage, idle
+    ones too, and would keep it beside the executor's heap."""
+
+    @wraps(rows)
+    def run(batches):
+        yield from rows(batches)
+        _give_back()
+
+    return run
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of an Arrow string array, and the offset of each text and the end.
 

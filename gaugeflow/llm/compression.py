@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import small_batches, utf8
+from gaugeflow.llm.common import small_batches, tidy, utf8
 
 #: Labelled documents of each class that a dictionary is built from, at most.
 DICTIONARY_DOCS = 3000
@@ -231,4 +231,4 @@ def score(docs: DataFrame, model: CompressionModel, columns: list[str] | None =
             )
 
     schema = kept.withColumn(name, F.lit(0.0)).schema
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(tidy(run), schema)

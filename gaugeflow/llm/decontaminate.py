@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeflow.llm.common import fresh_name, pieces, saved, small_batches, utf8
+from gaugeflow.llm.common import fresh_name, pieces, saved, small_batches, tidy, utf8
 from gaugeflow.llm.words import find_words, mix64
 
 WINDOW = 13
@@ -382,7 +382,7 @@ def contamination(
         blob = None if part is None else bytes(automata.where(F.col("part") == part).first()["automaton"])
         shared = spark.sparkContext.broadcast(pickle.loads(blob) if blob else None)
         schema = final if last else carried
-        passed = rows.mapInArrow(_pass(shared, place, len(own), i > 0, last, schema.names), schema)
+        passed = rows.mapInArrow(tidy(_pass(shared, place, len(own), i > 0, last, schema.names)), schema)
         rows = passed if last else saved(passed, f"pass-{i}")
         if not last:
             shared.destroy()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import pieces, saved, small_batches, utf8
+from gaugeflow.llm.common import pieces, saved, small_batches, tidy, utf8
 from gaugeflow.llm.components import connected_components
 from gaugeflow.llm.words import find_words, mix64
 
@@ -146,9 +146,9 @@ class Rarity:
     def of(cls, docs: DataFrame, text: str = "text") -> Rarity:
         small_batches(docs.sparkSession)
         parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(
-            _counter_rows, "slice long, at binary, counts binary"
+            tidy(_counter_rows), "slice long, at binary, counts binary"
         )
-        sums = parts.repartition(32, "slice").mapInArrow(_sum_rows, "slice long, counts binary")
+        sums = parts.repartition(32, "slice").mapInArrow(tidy(_sum_rows), "slice long, counts binary")
         counters, texts = np.zeros(1 << SKETCH_BITS, np.int64), 0
         for row in sums.collect():  # one 64-bit counter each, 8 MB in all
             own = np.frombuffer(row["counts"], np.int64)
@@ -417,7 +417,7 @@ def _similarities(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     left = profiles.select(F.col("doc_id").alias("a"), F.col("hashes").alias("h1"), F.col("weights").alias("w1"))
     right = profiles.select(F.col("doc_id").alias("b"), F.col("hashes").alias("h2"), F.col("weights").alias("w2"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "h1", "w1", "h2", "w2")
-    return saved(both.mapInArrow(_similarity_rows, "a long, b long, similarity double"), "similarities")
+    return saved(both.mapInArrow(tidy(_similarity_rows), "a long, b long, similarity double"), "similarities")
 
 
 def _classes(links: DataFrame, node: str) -> DataFrame:
@@ -456,7 +456,7 @@ def _pairs_left(
     signs = (
         profiles.join(rings.select("doc_id").distinct(), "doc_id", "left_semi")
         .dropDuplicates(["doc_id"])
-        .mapInArrow(_sign_rows(count), "doc_id long, signature array<long>")
+        .mapInArrow(tidy(_sign_rows(count)), "doc_id long, signature array<long>")
         .select("doc_id", *[F.col("signature")[i].alias(f"s{i}") for i in range(words)])
     )
     # At most one bucket for each band.
@@ -528,7 +528,7 @@ def near_duplicates(
     texts = ids.groupBy("digest").agg(F.min("own_id").alias("text_id"), F.count("*").alias("copies"))
     texts = saved(texts.withColumn("node", F.coalesce("text_id", number)), "texts")
     base = base.withColumn("digest", digest).select(F.coalesce("own_id", number).alias("doc_id"), "text")
-    banded = base.mapInArrow(_band_rows(shared, bands, rows), "doc_id long, bands array<long>")
+    banded = base.mapInArrow(tidy(_band_rows(shared, bands, rows)), "doc_id long, bands array<long>")
     banded = saved(banded, "bands")
     firsts = texts.select(F.col("node").alias("doc_id")).distinct()
     once = _one_of_each(banded.join(firsts, "doc_id", "left_semi"), firsts)
@@ -537,7 +537,7 @@ def near_duplicates(
     members = saved(members.join(buckets.where("n > 1"), "bucket").drop("n"), "members")
     candidates = members.select("doc_id").distinct()
     profiles = base.join(candidates, "doc_id", "left_semi").mapInArrow(
-        _profile_rows(shared), "doc_id long, hashes binary, weights binary"
+        tidy(_profile_rows(shared)), "doc_id long, hashes binary, weights binary"
     )
     profiles = _one_of_each(saved(profiles, "profiles"), candidates)
     pairs = members.where("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 from itertools import combinations
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import binary, bpe, bwt, compression, decontaminate, neardup, rans, substrings, toxicity
+from gaugeflow.llm import binary, bpe, bwt, common, compression, decontaminate, neardup, rans, substrings, toxicity
 from gaugeflow.llm.queries import tokenizer_path
 from gaugeflow.llm.words import find_words
 
@@ -151,6 +152,35 @@ def test_pieces_give_the_tokenizers_ids():
     assert ids.tolist() == [i for e in expected for i in e] and counts.tolist() == [len(e) for e in expected]
 
 
+def test_known_pieces_take_little_memory(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{a:x}y" for a in rng.integers(0, 2**40, 10_000)) for _ in range(4)]
+    data, offsets = _packed(texts)
+    bpe.PieceEncoder(tokenizer_path()).encode(data, offsets)  # fills tables that all share
+    own = bpe.PieceEncoder(tokenizer_path())
+    tracemalloc.start()
+    try:
+        ids, counts = own.encode(data, offsets)
+        found = ids.nbytes + counts.nbytes
+        held = tracemalloc.get_traced_memory()[0] - found
+    finally:
+        tracemalloc.stop()
+    assert len(own.known) > 39_000
+    assert held - own.flat.nbytes < 50 * len(own.known)
+    again = own.encode(data, offsets)[0]
+    monkeypatch.setattr(bpe, "MOST_PIECES", 5_000)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 20_000)
+    fresh = bpe.PieceEncoder(tokenizer_path()).encode(data, offsets)[0]
+    assert ids.tolist() == again.tolist() == fresh.tolist()
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "_give_back", lambda: given.append(1))
+    assert list(common.tidy(lambda rows: (2 * r for r in rows))(iter([1, 2]))) == [2, 4]
+    assert given == [1]
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1025, rans.LANES * rans.CHECK_STEPS + 7])
 def test_rans_round_trip(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 50_000).astype(np.uint32)
