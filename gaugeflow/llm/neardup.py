@@ -47,6 +47,11 @@ TABLE_WEIGHTS = 16
 #: variates of their own as well: they would use up the table's least entries.
 LONG_TEXT = 1 << (TABLE_BITS - 3)
 CHUNK_BYTES = 1 << 20
+#: Bits of a sieve for each of its ids, as a power of two, and bits at most (8 MB).
+SIEVE_BITS = 4
+MOST_SIEVE_BITS = 1 << 26
+#: Bits of one of Spark's bitmaps.
+_BITMAP = 1 << 15
 
 _SLICE = 1 << 13
 
@@ -411,6 +416,29 @@ def _similarity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
+def _sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id may be one of ``ids``: all that are, and of others about every
+    sixteenth.
+
+    A bitmap of hashed ids is broadcast, so that a join with few ids need not move all
+    rows. Beyond ``MOST_SIEVE_BITS`` it lets more of the others pass.
+    """
+    bits = _BITMAP
+    least = min(ids.count() << SIEVE_BITS, MOST_SIEVE_BITS)
+    while bits < least:
+        bits *= 2
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    bitmap, bit = F.floor(place / _BITMAP).alias("_bitmap"), (place % _BITMAP).alias("_bit")
+    bitmaps = ids.select(bitmap, bit).groupBy("_bitmap").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, int(_bit div 8) + 1, 1)")), 16, 10).cast("int")
+    return (
+        rows.withColumns({"_bitmap": bitmap, "_bit": bit})
+        .join(F.broadcast(bitmaps), "_bitmap")
+        .where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1)
+        .select(*rows.columns)
+    )
+
+
 def _similarities(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """(a, b, similarity) of the pairs. A text with very many partners is a key that
     adaptive execution may split."""
@@ -454,7 +482,8 @@ def _pairs_left(
     mixed = mixed.where("low < high").select("bucket")
     rings = saved(rings.join(mixed, "bucket", "left_semi"), "mixed")
     signs = (
-        profiles.join(rings.select("doc_id").distinct(), "doc_id", "left_semi")
+        _sieved(profiles, rings.select("doc_id"))
+        .join(rings.select("doc_id").distinct(), "doc_id", "left_semi")
         .dropDuplicates(["doc_id"])
         .mapInArrow(tidy(_sign_rows(count)), "doc_id long, signature array<long>")
         .select("doc_id", *[F.col("signature")[i].alias(f"s{i}") for i in range(words)])
@@ -535,14 +564,15 @@ def near_duplicates(
     members = once.select(F.explode(F.array_distinct("bands")).alias("bucket"), "doc_id")
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader"))
     members = saved(members.join(buckets.where("n > 1"), "bucket").drop("n"), "members")
-    candidates = members.select("doc_id").distinct()
-    profiles = base.join(candidates, "doc_id", "left_semi").mapInArrow(
-        tidy(_profile_rows(shared)), "doc_id long, hashes binary, weights binary"
-    )
+    candidates = saved(members.select("doc_id").distinct(), "candidates")
+    profiles = _sieved(base.select("doc_id", "text"), candidates).join(candidates, "doc_id", "left_semi")
+    profiles = profiles.mapInArrow(tidy(_profile_rows(shared)), "doc_id long, hashes binary, weights binary")
     profiles = _one_of_each(saved(profiles, "profiles"), candidates)
     pairs = members.where("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     star = _similarities(pairs.distinct(), profiles)
-    rest = _similarities(_pairs_left(members, star, profiles, threshold, bands * rows), profiles)
+    pairs = saved(_pairs_left(members, star, profiles, threshold, bands * rows), "pairs")
+    paired = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    rest = _similarities(pairs, _sieved(profiles, paired))
     classes = _classes(star.union(rest).where(F.col("similarity") >= threshold), "node")
     by_text = texts.join(classes, "node", "left").select(
         "digest", "text_id", "copies", F.coalesce("component", "node").alias("class")

@@ -113,6 +113,36 @@ def test_near_duplicates_lose_no_link(spark):
     assert neardup.near_duplicates(corpus.empty(spark)).count() == 0
 
 
+def test_few_rows_pass_a_sieve(spark):
+    rows = spark.range(-10_000, 10_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    ids = rows.where("doc_id % 5 = 0")
+    ids = ids.select("doc_id").union(ids.select("doc_id").limit(7))
+    left = neardup._sieved(rows, ids)
+    assert left.columns == ["doc_id", "text"]
+    got = [r["doc_id"] for r in left.collect()]
+    assert len(got) == len(set(got)) and {i for i in range(-10_000, 10_000) if i % 5 == 0} <= set(got)
+    assert len(got) < 4_000 + 16_000 / 8
+    assert neardup._sieved(rows, ids.where("false")).count() == 0
+
+
+def test_texts_of_no_bucket_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(6)
+    data = [(i, corpus.prose(rng, 200), "a") for i in range(300)]
+    data += [(1000 + i, data[i][1] + " end", "b") for i in range(10)]
+    profiled = []
+
+    def watched(df, name="table", keep=neardup.saved):
+        if name == "profiles":
+            plan = df._jdf.queryExecution().optimizedPlan()
+            profiled.append(plan.toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(neardup, "saved", watched)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(corpus.documents(spark, data)).collect()}
+    assert all(got[1000 + i] == i for i in range(10))
+    assert "broadcast" in profiled[0] and "_bitmap" in profiled[0]
+
+
 def test_far_pairs_of_a_bucket_are_compared(spark):
     star = spark.createDataFrame(
         [(1, 2, 0.9), (1, 3, 0.7), (1, 4, 0.65), (1, 5, 0.1), (1, 6, 0.05)], "a long, b long, similarity double"
