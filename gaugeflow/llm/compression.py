@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import small_batches, tidy, utf8
+from gaugeflow.llm.common import _give_back, small_batches, tidy, utf8
 
 #: Labelled documents of each class that a dictionary is built from, at most.
 DICTIONARY_DOCS = 3000
@@ -184,6 +184,8 @@ def train(
     pieces.sort(key=lambda r: (r["doc_id"], bytes(r["piece"])))
     by_class = {y: [bytes(r["piece"]) for r in pieces if r["y"] == y] for y in (0, 1)}
     good, bad = (_dictionary(by_class[y], DICTIONARY_BYTES) if by_class[y] else b"" for y in (1, 0))
+    del pieces, by_class
+    _give_back()  # the driver has other uses for what the training took
     ids = F.broadcast(sampled_labels(labels.where(~half), label, held_out, calibration_docs, 5))
     sample = one_text(texts.join(ids, "doc_id"))
     rows = sample.mapInArrow(_feature_rows(good, bad), "doc_id long, y int, difference double, rate double").collect()

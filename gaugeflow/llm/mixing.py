@@ -193,17 +193,26 @@ def mix(
         ["rank"],
     ).select("rank", F.col("quota").alias("wanted"))
     there = groups.groupBy("rank").agg(F.sum("votes").alias("there"))
-    seats = source_seats.join(there, "rank").select(
-        "rank", F.least("wanted", F.col("there") * most_repeats).alias("seats")
+    # Each apportioning names its items twice, so the plan of three in a row, which the
+    # driver plans anew after every stage, would double with each.
+    seats = saved(
+        source_seats.join(there, "rank").select(
+            "rank", F.least("wanted", F.col("there") * most_repeats).alias("seats")
+        ),
+        "seats",
     )
-    group_seats = apportion(groups.join(seats, "rank"), ["rank"], ["group"]).select(
-        "rank", "group", F.col("quota").alias("seats")
+    group_seats = saved(
+        apportion(groups.join(seats, "rank"), ["rank"], ["group"]).select(
+            "rank", "group", F.col("quota").alias("seats")
+        ),
+        "group-seats",
     )
     quotas = apportion(
         cells.withColumn("votes", F.col("blocks")).join(group_seats, ["rank", "group"]),
         ["rank", "group"],
         ["shard"],
     )
+    quotas = saved(quotas, "quotas")
 
     def bound(block_number: Column) -> Column:
         # Blocks of a shard differ by a word at most.

@@ -349,7 +349,8 @@ def _sign_rows(begin: int):
 
 
 def _agreeing(words: int, count: int, threshold: float) -> Column:
-    """Whether two signatures, as columns s0.. and t0.., agree as often as a link may.
+    """Whether two signatures, columns signature and signature_x of so many words, agree as
+    often as a link may.
 
     Draws agree with the probability of the similarity, and other draws in their few
     bits by chance. The bound lies ``SIGN_SLACK`` standard deviations below that, so a
@@ -360,7 +361,7 @@ def _agreeing(words: int, count: int, threshold: float) -> Column:
     ones = ones - (1 << 64) if ones >= 1 << 63 else ones
     differing = F.lit(0)
     for i in range(words):
-        x = F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))
+        x = F.col("signature")[i].bitwiseXOR(F.col("signature_x")[i])
         any_bit = x
         for k in range(1, SIGN_BITS):
             any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, k))
@@ -486,7 +487,6 @@ def _pairs_left(
         .join(rings.select("doc_id").distinct(), "doc_id", "left_semi")
         .dropDuplicates(["doc_id"])
         .mapInArrow(tidy(_sign_rows(count)), "doc_id long, signature array<long>")
-        .select("doc_id", *[F.col("signature")[i].alias(f"s{i}") for i in range(words)])
     )
     # At most one bucket for each band.
     common = rings.groupBy("doc_id").agg(F.collect_list("bucket").alias("buckets"))
@@ -499,7 +499,7 @@ def _pairs_left(
         F.col("far").alias("far_x"),
         F.col("class").alias("class_x"),
         F.col("buckets").alias("buckets_x"),
-        *[F.col(f"s{i}").alias(f"t{i}") for i in range(words)],
+        F.col("signature").alias("signature_x"),
     )
     near = F.abs(F.col("far") - F.col("far_x")) <= reach + 1e-6
     # A link passes in all buckets that both are in, so one of them will do.

@@ -246,6 +246,20 @@ def test_mix_meets_the_targets_of_many_sources(spark, sources, docs):
     assert all(abs(r["taken"] / r["target"] - 1) < 0.02 for r in sums)
 
 
+def test_no_plan_of_the_mix_apportions_more_than_once(spark, monkeypatch):
+    plans = []
+
+    def watched(df, name="table", keep=mixing.saved):
+        plans.append((name, df))
+        return keep(df, name)
+
+    monkeypatch.setattr(mixing, "saved", watched)
+    plans.append(("result", mixing.mix(_many(spark, 3, 300))))
+    windows = {name: df._jdf.queryExecution().optimizedPlan().toString().count("Window ") for name, df in plans}
+    joins = {name: df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for name, df in plans}
+    assert max(windows.values()) <= 9 and max(joins.values()) <= 5, (windows, joins)
+
+
 def test_rows_without_id_are_spread_over_shards(spark):
     docs = _many(spark, 2, 4_000).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
     docs = docs.withColumn("text", F.concat("text", F.monotonically_increasing_id()))
